@@ -30,6 +30,8 @@ from .common import free_shuffles, read_table, shuffle_parts, slices, staged, un
 
 GRAM = 40
 MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Where a unit's anchor lies belongs to what it is.
+MARKS = [k.to_bytes(4, "little") for k in range(1 << 12)]
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -62,33 +64,34 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
         return _mixed(parts[: len(data) - gram + 1])
 
 
+PLACE = np.uint64((1 << 24) - 1)
+
+
 def window_minima(h: np.ndarray, width: int) -> np.ndarray:
-    """Place of the lowest value, the rightmost of equals, of each run of width values."""
-    size = len(h) - width + 1
-    val, pos, done = h, np.arange(len(h), dtype=np.int64), 1
+    """Place of the lowest value (of its upper 40 bits), the rightmost of equals, of each run of width values."""
+    if len(h) > int(PLACE):  # places have 24 bits; longer texts go in pieces that overlap by a run
+        step = int(PLACE) - width + 1
+        return np.concatenate([window_minima(h[k : k + int(PLACE)], width) + k for k in range(0, len(h) - width + 1, step)])
+    val = (h & ~PLACE) | (PLACE - np.arange(len(h), dtype=np.uint64))
+    done = 1
     while done < width:
         step = min(done, width - done)
-        right = val[step:] <= val[: len(val) - step]
-        pos = np.where(right, pos[step:], pos[: len(pos) - step])
-        val = np.where(right, val[step:], val[: len(val) - step])
+        val = np.minimum(val[step:], val[: len(val) - step])
         done += step
-    return pos[:size]
+    return (PLACE - (val & PLACE)).astype(np.int64)
 
 
-def units(text: bytes, length: int = 200, gram: int = GRAM) -> list[tuple[int, int, int]]:
-    """(anchor place, first window, last window) of each unit; windows by their first byte. None for short texts."""
+def units(text: bytes, length: int = 200, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor places, anchor hashes, first and last windows of the units; windows by their first byte. Short texts have none."""
     if len(text) < length:
-        return []
-    data = np.frombuffer(text, np.uint8)
-    at = window_minima(gram_hashes(data, gram), length - gram + 1)
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    h = gram_hashes(np.frombuffer(text, np.uint8), gram)
+    at = window_minima(h, length - gram + 1)
     cut = np.flatnonzero(at[1:] != at[:-1]) + 1
     first = np.concatenate([[0], cut])
     last = np.concatenate([cut - 1, [len(at) - 1]])
-    return list(zip(at[first].tolist(), first.tolist(), last.tolist(), strict=True))
-
-
-def hash8(b: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
+    return at[first], h[at[first]].view(np.int64), first, last
 
 
 def hash16(b: bytes) -> bytes:
@@ -138,13 +141,17 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, block: int = 2
 
     def cut(batches):
         for b in slices(batches, "text", 4 << 20):
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], []]
+            rows, digests = [], []
             for k, t in enumerate(b.column(1).to_pylist()):
                 data = (t or "").encode()
-                for at, first, last in units(data, length, gram):
-                    for c, v in zip(cols, (k, hash8(data[at : at + gram]), hash16((at - first).to_bytes(4, "little") + data[first : last + length]), first, last), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32())], ["anchor", "unit", "row", "first", "last"])
+                at, anchor, first, last = units(data, length, gram)
+                rows.append(np.full(len(at), k))
+                for c, v in zip(cols, (anchor, first, last), strict=True):
+                    c.append(v)
+                digests += [hash16(MARKS[j] + data[f:z]) for j, f, z in zip((at - first).tolist(), first.tolist(), (last + length).tolist(), strict=True)]
+            anchor, first, last = (np.concatenate(c) for c in cols)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(digests, pa.binary()), b.column(0).take(pa.array(np.concatenate(rows))), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["anchor", "unit", "row", "first", "last"])
 
     every = docs.select("row", "text").mapInArrow(cut, f"anchor long, unit binary, row {ids}, first int, last int")
     counts = staged(every.groupBy("anchor", "unit").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("one")), "units")
