@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,27 +41,60 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.held: dict[str, bytes] = {"": b""}
+        vocab = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.is_end[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
         self.most_held = most_held
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.held) > self.most_held:
-            self.held = {"": b""}
-        new = list(set().union(*cut).difference(self.held))
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and where each text's begin (and the last ones end)."""
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [x for x in words if x not in self.held]
+        if len(self.held) + len(new) > self.most_held:
+            self.held = {"": b""} | {x: self.held[x] for x in words if x in self.held}
+        self._learn(new)
+        own = list(map(self.held.__getitem__, words))
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        pool, at = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        n = size[which]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat(at[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+
+    def _learn(self, new: list[str]) -> None:
         split = [self._core(x) for x in new]
         own = list({y for s in split for y in s if y not in self.held})
-        for x, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
-            self.held[x] = np.array(e.ids, "<u4").tobytes()
+        letters = [x for x in own if x.isalpha()]
+        for k in range(0, len(letters), 512):
+            self._letters(letters[k : k + 512])
+        self._each([x for x in own if not x.isalpha()])
         for x, s in zip(new, split, strict=True):
             if len(s) > 1 or s[0] != x:
                 self.held[x] = b"".join(map(self.held.__getitem__, s))
-        return [b"".join(map(self.held.__getitem__, c)) for c in cut]
+
+    def _each(self, words: list[str]) -> None:
+        for x, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.held[x] = np.array(e.ids, "<u4").tobytes()
+
+    def _letters(self, words: list[str]) -> None:
+        """Words of letters only, each one token run: encoded as one text and told apart by the marks of word ends."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._each(words)
+        raw, start = ids.tobytes(), 0
+        for x, z in zip(words, (4 * ends).tolist(), strict=True):
+            self.held[x] = raw[start:z]
+            start = z
 
     @staticmethod
     def _core(x: str) -> list[str]:
         """Letters and the marks after them, which the tokenizer's pattern separates too; lower case where that is plain."""
         m = CORE.fullmatch(x)
-        if not m:
+        if not m or "\u0130" in x:  # whose lower case ends with a mark that joins what follows
             return [x]
         core = m[1].lower() if m[1].isascii() else m[1]
         return [core, m[2]] if m[2] else [core]
@@ -88,10 +122,11 @@ def pack(docs: DataFrame, path: str, context: int = 4096, end_id: int = 2, id_co
 
     def run(batches):
         p = pieces_of(path)
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text"):
             at, start, length, crc, total, ids = [], [], [], [], [], []
-            for k, x in enumerate(p.encode([t or "" for t in b.column(1).to_pylist()])):
-                x += end
+            all_ids, offsets = p.encode(pc.fill_null(b.column(1), ""))
+            for k, (first, last) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                x = all_ids[first:last].tobytes() + end
                 s = 0
                 for n in binary_lengths(len(x) // 4, context):
                     at.append(k)
