@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-FLAGSHIP = "facet_counts"
+from . import registry
+from .functions import queries as _functions  # noqa: F401
+from .operators import aggregates, joins, merging, windows  # noqa: F401
+from .plans import queries as _plans  # noqa: F401
+from .sources import queries as _sources  # noqa: F401
+from .streaming import queries as _streaming  # noqa: F401
 
-
-def _facet_counts(spark, sf_dir: str):
-    from pyspark.sql import functions as F
-
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.filter(F.col("o_orderstatus").isNotNull()).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+FLAGSHIP = "search_jobs"
 
 
 def queries() -> dict[str, Callable]:
-    return {"facet_counts": _facet_counts}
+    return {k: q.run for k, q in registry.FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"facet_counts": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1"}
+    return {k: q.sql for k, q in registry.FOUND.items() if q.sql}
