@@ -49,7 +49,7 @@ def _real(t):
     return t.documents.select("doc_id", text.real_description(F.col("text")).alias("real"))
 
 
-@query("query_words", "T-13 T-14", "SELECT p_partkey, array_to_string(list_filter(string_split_regex(regexp_replace(p_name || ' #' || p_brand, '[^\\p{L}\\p{N}_-]', ' ', 'g'), '\\s+'), x -> x <> ''), ' ') AS words FROM part")
+@query("query_words", "T-13 T-14", "SELECT p_partkey, array_to_string(list_filter(string_split_regex(regexp_replace(p_name || ' #' || p_brand, '[^\\p{L}\\p{N}_-]', ' ', 'g'), '\\s+'), lambda x: x <> ''), ' ') AS words FROM part")
 def _query_words(t):
     return t.part.select("p_partkey", F.array_join(text.query_words(F.concat("p_name", F.lit(" #"), "p_brand")), " ").alias("words"))
 

@@ -44,9 +44,9 @@ def _semi(t):
     return t.companies.select("company_id").join(t.postings.filter("is_remote"), "company_id", "left_semi")
 
 
-@query("anti_join", "J-6", "SELECT company_id FROM {companies} c WHERE NOT EXISTS (SELECT 1 FROM {postings} j WHERE j.company_id = c.company_id)")
+@query("anti_join", "J-6", "SELECT company_id FROM {companies} c WHERE NOT EXISTS (SELECT 1 FROM {postings} j WHERE j.company_id = c.company_id AND j.is_remote)")
 def _anti(t):
-    return t.companies.select("company_id").join(t.postings, "company_id", "left_anti")
+    return t.companies.select("company_id").join(t.postings.filter("is_remote"), "company_id", "left_anti")
 
 
 @query("tuple_semi_join", "J-7", "SELECT company_id, ats, ats_slug FROM {companies} WHERE (ats, ats_slug) IN (SELECT ats, ats_slug FROM {companies} GROUP BY 1, 2 HAVING count(*) > 1)")
