@@ -11,9 +11,13 @@ LATIN = "A-Za-z0-9_"
 
 
 def js_regex(pattern: str) -> str:
-    """A case-insensitive Java pattern that reads \\b and \\s as ECMAScript does: ASCII words, Unicode spaces."""
-    edge = rf"(?:(?<![{LATIN}])(?=[{LATIN}])|(?<=[{LATIN}])(?![{LATIN}]))"
-    out = pattern.replace(r"\b", edge)
+    """A case-insensitive Java pattern that reads \\b and \\s as ECMAScript does: ASCII words, Unicode spaces.
+
+    A boundary before a letter, digit or group opens a word, any other closes one: one side is looked at, not both.
+    """
+    opens, closes = rf"(?<![{LATIN}])(?=[{LATIN}])", rf"(?<=[{LATIN}])(?![{LATIN}])"
+    out = re.sub(r"\\b(?=[A-Za-z0-9(\[\\])(?!\\[sb]|\(\?[!=])", lambda _: opens, pattern)
+    out = out.replace(r"\b", closes)
     return "(?iu)" + re.sub(r"(?<!\\)\\s", r"[\\s\\u00a0\\ufeff\\u2028\\u2029]", out)
 
 

@@ -155,3 +155,55 @@ def _intern(t):
     title = F.lower("title")
     is_one = title.rlike(labels.js_regex(r"\bintern(ship)?s?\b")) & ~title.rlike(labels.js_regex(r"\bintern (kommunikation|revisor|kontroll|auditor|kommunikasjon)\b"))
     return values(t.spark, [(1, "Software Intern"), (2, "Intern kommunikation"), (3, "Internship, sales"), (4, "Internal audit")], ["k", "title"]).select(F.col("k").cast("int").alias("k"), is_one.alias("intern"))
+
+
+CASES = [
+    (1, "Senior Data Engineer (Remote)", "Berlin", None, "Visa sponsorship is available."),
+    (2, "Account Executive", "Remote - US", None, "No visa sponsorship"),
+    (3, "Nurse", "Austin, TX", None, "This is a hybrid role, 2 days per week in the office"),
+    (4, "Director of Sales", "Worldwide", "remote", ""),
+    (5, "Summer Intern", "London", "onsite", "fully remote"),
+    (6, "Remote Sensing Analyst", "Denver", None, "Our team works on site."),
+    (7, "Writer", "", None, "Work from anywhere in the world."),
+]
+
+
+@query(
+    "classified_cases",
+    "C-1 C-2 C-3 C-4 C-5 C-7 C-8",
+    "SELECT * FROM (VALUES (1, true, false, 'yes', 'senior'), (2, true, false, 'no', 'mid'), (3, false, false, NULL, NULL), (4, true, true, NULL, 'executive'), (5, false, false, NULL, 'internship'), (6, false, false, NULL, NULL), (7, true, true, NULL, NULL)) v(k, is_remote, remote_worldwide, visa_sponsorship, experience_level)",
+)
+def _classified(t):
+    from .classify import classify
+
+    rows = values(t.spark, CASES, ["k", "title", "location", "workplace", "description"])
+    return rows.select(F.col("k").cast("int").alias("k"), classify(*(F.col(c) for c in ("title", "location", "workplace", "description"))).alias("c")).select("k", "c.*")
+
+
+@query("workplace_in_text", "C-9 C-10 C-11 T-11", "SELECT * FROM (VALUES (1, 'Remote'), (2, 'Remote'), (3, 'Hybrid'), (4, 'Remote'), (5, 'Remote'), (6, NULL), (7, 'Remote')) v(k, kind)")
+def _workplace_text(t):
+    from .classify import workplace_in_text
+
+    rows = values(t.spark, CASES, ["k", "title", "location", "workplace", "description"])
+    return rows.select(F.col("k").cast("int").alias("k"), workplace_in_text(F.col("title"), F.col("location"), F.col("description")).alias("kind"))
+
+
+@query("classified_documents", "C-7 P-6 C-17", "SELECT doc_id, false AS is_remote FROM documents")
+def _classified_documents(t):
+    from .classify import is_remote
+
+    none = F.lit(None).cast("string")
+    return t.documents.select("doc_id", is_remote(F.substring("text", 1, 60), none, none, F.col("text")).alias("is_remote"))
+
+
+@query(
+    "salary_in_text",
+    "M-1 M-2 M-7",
+    "SELECT k, CAST(low AS BIGINT) AS low, CAST(high AS BIGINT) AS high, currency, interval FROM (VALUES (1, 120000, 150000, 'USD', 'yearly'), (2, 22, 28, 'USD', 'hourly'), (3, 100000, 100000, 'USD', 'yearly'), (4, NULL, NULL, NULL, NULL), (5, 53000, 80000, 'EUR', 'yearly'), (6, 50000, 70000, 'GBP', 'yearly'), (7, 90000, 110000, 'USD', 'yearly')) v(k, low, high, currency, interval)",
+)
+def _salary_text(t):
+    from .money import salary_in_text
+
+    rows = [(1, "We pay $120,000 - $150,000 + bonus"), (2, "$22 - $28 per hour"), (3, "base salary is $100,000 plus commission of $25,000"), (4, "Sign-on bonus $20,000 - $30,000. Great team"), (5, "53,000 EUR - 80,000 EUR"), (6, "£50k-£70k"), (7, "Tuition of $15,000 - $20,000 paid back. Pay: $90,000 - $110,000")]
+    got = values(t.spark, rows, ["k", "text"]).select(F.col("k").cast("int").alias("k"), salary_in_text(F.col("text")).alias("p"))
+    return got.select("k", F.col("p.min").cast("long").alias("low"), F.col("p.max").cast("long").alias("high"), "p.currency", "p.interval")
