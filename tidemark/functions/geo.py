@@ -154,3 +154,19 @@ def per_value(fn, kind: str):
 norm_udf = per_value(norm, "string")
 countries_udf = per_value(countries_in, "array<string>")
 tokens_udf = per_value(location_tokens, "array<string>")
+
+
+def with_country(location: str | None, country: str | None) -> str | None:
+    """The location with the country added, if it then reads as exactly that country."""
+    codes = country_codes(country)
+    if not location or len(codes) != 1 or countries_in(location) == list(codes):
+        return location
+    longer = f"{location}, {country}"
+    return longer if countries_in(longer) == list(codes) else location
+
+
+def with_country_udf(location, country):
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([with_country(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")(location, country)

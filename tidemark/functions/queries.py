@@ -207,3 +207,33 @@ def _salary_text(t):
     rows = [(1, "We pay $120,000 - $150,000 + bonus"), (2, "$22 - $28 per hour"), (3, "base salary is $100,000 plus commission of $25,000"), (4, "Sign-on bonus $20,000 - $30,000. Great team"), (5, "53,000 EUR - 80,000 EUR"), (6, "£50k-£70k"), (7, "Tuition of $15,000 - $20,000 paid back. Pay: $90,000 - $110,000")]
     got = values(t.spark, rows, ["k", "text"]).select(F.col("k").cast("int").alias("k"), salary_in_text(F.col("text")).alias("p"))
     return got.select("k", F.col("p.min").cast("long").alias("low"), F.col("p.max").cast("long").alias("high"), "p.currency", "p.interval")
+
+
+@query("byte_cut", "T-9", "SELECT doc_id, octet_length(encode(text)) > 100 AS longer FROM documents")
+def _byte_cut(t):
+    cut = text.utf8_cut(F.col("text"), 100)
+    return t.documents.filter(F.octet_length(cut).between(0, 100) & F.col("text").startswith(cut)).select("doc_id", (F.octet_length("text") > 100).alias("longer"))
+
+
+LINKS = [(1, "https://boards.greenhouse.io/Acme/jobs/1"), (2, "https://acme-demo.recruitee.com/o/cook"), (3, "https://example.org/jobs"), (4, "https://jobs.lever.co/test-board/x"), (5, "https://big.wd5.myworkdayjobs.com/en-US/Ext")]
+
+
+@query(
+    "company_of_link",
+    "U-6 U-7 U-11 U-12",
+    "SELECT * FROM (VALUES (1, 'greenhouse', 'acme', 'https://boards.greenhouse.io/acme'), (2, 'recruitee', 'acme-demo', 'https://acme-demo.recruitee.com'), (3, NULL, NULL, NULL), (4, 'lever', 'test-board', 'https://jobs.lever.co/test-board'), (5, 'workday', 'big', 'https://big.myworkdayjobs.com')) v(k, ats, slug, career_url)",
+)
+def _company_of(t):
+    return values(t.spark, LINKS, ["k", "url"]).select(F.col("k").cast("int").alias("k"), text.company_of(F.col("url")).alias("c")).select("k", "c.*")
+
+
+@query("sandbox_boards", "U-3 U-4", "SELECT * FROM (VALUES (2), (4)) v(k)")
+def _sandbox(t):
+    rows = values(t.spark, LINKS, ["k", "url"]).select(F.col("k").cast("int").alias("k"), text.company_of(F.col("url"))["slug"].alias("slug"))
+    return text.guarded(rows, "slug")[1].select("k")
+
+
+@query("with_country", "G-12", "SELECT * FROM (VALUES (1, 'Austin, TX'), (2, 'Lyon, France'), (3, 'Berlin, Germany'), (4, NULL), (5, 'Tbilisi')) v(k, location)")
+def _with_country(t):
+    rows = [(1, "Austin, TX", "United States"), (2, "Lyon", "France"), (3, "Berlin, Germany", "France"), (4, None, "France"), (5, "Tbilisi", "nowhere")]
+    return values(t.spark, rows, ["k", "location", "country"]).select(F.col("k").cast("int").alias("k"), geo.with_country_udf(F.col("location"), F.col("country")).alias("location"))

@@ -103,3 +103,53 @@ def verdict(status: Column, final_url: Column, body: Column, dead: str = r"no lo
     text = F.lower(F.coalesce(body, F.lit("")))
     blocked = status.isin(403, 429) | (status >= 500) | text.rlike("captcha|access denied|are you a robot")
     return F.when(status.isin(404, 410), "dead").when(blocked | status.isNull(), "unknown").when(text.rlike(dead), "dead").when(final_url.rlike(r"/(jobs|careers)/?$"), "dead").otherwise("alive")
+
+
+def utf8_cut(c: Column, most_bytes: int) -> Column:
+    """At most so many bytes of UTF-8, without half a character at the end."""
+    cut = F.substring(F.encode(c, "UTF-8"), 1, most_bytes)
+    return F.when(F.octet_length(c) <= most_bytes, c).otherwise(F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(cut.cast("string"))), "\ufffd+$", ""))
+
+
+# Hosts of boards, what in the link is the board's name, and the board's address.
+HOSTS = {
+    "greenhouse": (r"https?://(?:boards|job-boards)\.greenhouse\.io/([^/?#]+)", "https://boards.greenhouse.io/%s"),
+    "lever": (r"https?://jobs\.(?:eu\.)?lever\.co/([^/?#]+)", "https://jobs.lever.co/%s"),
+    "ashby": (r"https?://jobs\.ashbyhq\.com/([^/?#]+)", "https://jobs.ashbyhq.com/%s"),
+    "workable": (r"https?://apply\.workable\.com/([^/?#]+)", "https://apply.workable.com/%s"),
+    "smartrecruiters": (r"https?://(?:jobs|careers)\.smartrecruiters\.com/([^/?#]+)", "https://careers.smartrecruiters.com/%s"),
+    "bamboohr": (r"https?://([^./]+)\.bamboohr\.com", "https://%s.bamboohr.com/careers"),
+    "recruitee": (r"https?://([^./]+)\.recruitee\.com", "https://%s.recruitee.com"),
+    "teamtailor": (r"https?://([^./]+)\.teamtailor\.com", "https://%s.teamtailor.com/jobs"),
+    "breezy": (r"https?://([^./]+)\.breezy\.hr", "https://%s.breezy.hr"),
+    "jazzhr": (r"https?://([^./]+)\.applytojob\.com", "https://%s.applytojob.com/apply"),
+    "pinpoint": (r"https?://([^./]+)\.pinpointhq\.com", "https://%s.pinpointhq.com"),
+    "personio": (r"https?://([^./]+)\.jobs\.personio\.(?:de|com)", "https://%s.jobs.personio.de"),
+    "rippling": (r"https?://ats\.rippling\.com/(?:[a-z]{2}-[A-Z]{2}/)?([^/?#]+)", "https://ats.rippling.com/%s/jobs"),
+    "icims": (r"https?://(?:careers-|jobs-)?([^./]+)\.icims\.com", "https://careers-%s.icims.com"),
+    "workday": (r"https?://([^./]+)\.wd\d+\.myworkdayjobs\.com", "https://%s.myworkdayjobs.com"),
+}
+SANDBOX = "sandbox demo test testing qa uat staging dev example sample dummy".split()
+
+
+def company_of(url: Column) -> Column:
+    """struct(ats, slug, career_url) of a link to a known board, or null."""
+    out = None
+    for ats, (pattern, address) in HOSTS.items():
+        slug = F.lower(F.regexp_extract(url, "(?i)" + pattern, 1))
+        value = F.struct(F.lit(ats).alias("ats"), slug.alias("slug"), F.format_string(address, slug).alias("career_url"))
+        hit = url.rlike("(?i)^" + pattern)
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return out
+
+
+def is_sandbox(slug: Column) -> Column:
+    """Whether a part of a board's name says that it is no real employer's."""
+    return F.exists(F.split(F.lower(F.coalesce(slug, F.lit(""))), r"[-_.\s]+|(?<=[a-z])(?=\d)"), lambda p: p.isin(SANDBOX))
+
+
+def guarded(df, slug: str, mode: str = "enforce"):
+    """(kept, rejected) by the guard's mode: off and log keep all; log and enforce tell what a board's name rejects."""
+    hit = is_sandbox(F.col(slug))
+    kept = df.filter(~hit) if mode == "enforce" else df
+    return kept, df.filter(hit) if mode != "off" else df.limit(0)

@@ -11,11 +11,7 @@ from ..functions.text import json_ld, strip_html
 POSTING = "external_id string, title string, location string, url string, department string, employment_type string, description string, posted_at timestamp, raw_data string"
 
 
-def field(*paths: str):
-    return lambda j: F.coalesce(*(F.get_json_object(j, f"$.{p}") for p in paths))
-
-
-#: By source: where the list of postings lies in the payload, and where their fields lie in each.
+#: By source: where the list of postings lies in the payload, and where their fields lie in each; a|b: the first there is.
 LAYOUTS: dict[str, dict] = {
     "greenhouse": {"list": "jobs", "id": "id", "title": "title", "location": "location.name", "url": "absolute_url", "department": "departments[0].name", "description": "content", "posted": "updated_at"},
     "lever": {"list": "", "id": "id", "title": "text", "location": "categories.location", "url": "hostedUrl", "department": "categories.team", "employment": "categories.commitment", "description": "descriptionPlain", "posted": "createdAt"},
@@ -34,6 +30,21 @@ LAYOUTS: dict[str, dict] = {
     "workday": {"list": "jobPostings", "id": "bulletFields[0]", "title": "title", "location": "locationsText", "url": "externalPath"},
     "oracle": {"list": "items[0].requisitionList", "id": "Id", "title": "Title", "location": "PrimaryLocation", "posted": "PostedDate"},
     "amazon": {"list": "jobs", "id": "id_icims", "title": "title", "location": "normalized_location", "url": "job_path", "department": "business_category", "employment": "job_schedule_type", "description": "description", "posted": "posted_date"},
+    "adp": {"list": "jobRequisitions", "id": "reqId", "title": "publishedJobTitle|jobTitle", "employment": "workLevelCode", "description": "jobDescription", "posted": "postingDate"},
+    "adpwfn": {"list": "jobRequisitions", "id": "itemID", "title": "requisitionTitle", "location": "requisitionLocations[0].nameCode.shortName", "employment": "workLevelCode.shortName", "description": "requisitionDescription", "posted": "postDate"},
+    "dayforce": {"list": "jobPostings", "id": "jobPostingId", "title": "jobTitle", "location": "postingLocations[0].formattedAddress", "description": "jobDescription", "posted": "postingStartTimestampUTC"},
+    "paycom": {"list": "jobs", "id": "jobId", "title": "jobTitle", "location": "locations", "department": "jobCategory", "employment": "positionType", "description": "description"},
+    "paylocity": {"list": "Jobs", "id": "JobId", "title": "JobTitle", "location": "LocationName", "department": "HiringDepartment", "posted": "PublishedDate"},
+    "recman": {"list": "posts", "id": "AdID", "title": "Name|JobTitle", "location": "Place", "posted": "Created"},
+    "talentadore": {"list": "jobs", "id": "job_token", "title": "name", "location": "location", "url": "link", "employment": "employment_type", "description": "description_html"},
+    "ukg": {"list": "opportunities", "id": "Id", "title": "Title", "location": "Locations[0].LocalizedName", "department": "JobCategoryName", "posted": "PostedDate"},
+    "visma": {"list": "hits", "id": "id", "title": "headline", "location": "workplace_address.municipality", "url": "webpage_url", "employment": "working_hours_type.label", "description": "description.text_formatted|description.text", "posted": "publication_date"},
+    "zoho": {"list": "", "id": "id", "title": "Posting_Title|Job_Opening_Name", "location": "City", "department": "Department|Industry", "employment": "Job_Type", "description": "Job_Description", "posted": "Date_Opened"},
+    "icims": {"list": "jobs", "id": "data.req_id|data.slug", "title": "data.title", "location": "data.full_location|data.short_location|data.location_name", "url": "data.apply_url", "department": "data.categories[0].name", "employment": "data.employment_type", "description": "data.description", "posted": "data.posted_date|data.create_date"},
+    "hrmanager": {"list": "Items", "id": "Id", "title": "Name", "location": "PositionLocation.Name", "url": "AdvertisementUrlSecure|AdvertisementUrl", "department": "Department.Name", "posted": "Published|Created"},
+    "jobylon": {"list": "", "id": "id", "title": "title", "location": "town", "url": "url", "department": "department"},
+    "brassring": {"list": "Jobs.Job", "id": "Questions.reqid", "title": "Questions.jobtitle", "location": "Questions.location", "url": "Link", "department": "Questions.department", "description": "Questions.jobdescription", "posted": "Questions.lastupdated"},
+    "breezy": {"list": "", "id": "id", "title": "name", "location": "location.name", "url": "url", "department": "department", "employment": "type.name", "posted": "published_date"},
     "netflix": {"list": "positions", "id": "id", "title": "name", "location": "location", "url": "canonicalPositionUrl", "department": "department", "posted": "t_create"},
 }
 
@@ -49,7 +60,7 @@ def parse_json(df: DataFrame, source: str, payload: str = "payload") -> DataFram
     at = LAYOUTS[source]
     listed = F.get_json_object(payload, f"$.{at['list']}") if at["list"] else F.col(payload)
     each = df.select("*", F.explode(F.from_json(listed, "array<string>")).alias("j"))
-    get = lambda k: F.get_json_object("j", f"$.{at[k]}") if k in at else F.lit(None).cast("string")
+    get = lambda k: F.coalesce(*(F.get_json_object("j", f"$.{p}") for p in at[k].split("|"))) if k in at else F.lit(None).cast("string")
     own = get("id")
     return each.filter(own.isNotNull()).select(
         F.concat(F.lit(source + "_"), own).alias("external_id"), F.trim(get("title")).alias("title"), get("location").alias("location"), get("url").alias("url"), get("department").alias("department"),
@@ -69,6 +80,17 @@ def parse_feed(df: DataFrame, source: str, payload: str = "payload") -> DataFram
     )
 
 
+def parse_positions(df: DataFrame, source: str = "personio", payload: str = "payload") -> DataFrame:
+    """Position feeds in XML: one posting a position."""
+    shape = "struct<position:array<struct<id:string,name:string,office:string,department:string,schedule:string,employmentType:string,createdAt:string,jobDescriptions:struct<jobDescription:array<struct<name:string,value:string>>>>>>"
+    each = df.select(F.explode(F.from_xml(payload, shape)["position"]).alias("i"))
+    text = F.array_join(F.transform("i.jobDescriptions.jobDescription", lambda d: F.concat_ws("\n", d["name"], d["value"])), "\n")
+    return each.select(
+        F.concat(F.lit(source + "_"), "i.id").alias("external_id"), F.col("i.name").alias("title"), F.coalesce("i.office", F.lit("Remote")).alias("location"), F.lit(None).cast("string").alias("url"), F.col("i.department").alias("department"),
+        F.coalesce("i.schedule", "i.employmentType").alias("employment_type"), strip_html(text).alias("description"), F.try_to_timestamp(F.col("i.createdAt")).alias("posted_at"), F.to_json("i").alias("raw_data"),
+    )
+
+
 def parse_page(df: DataFrame, source: str, html: str = "html", url: str = "url") -> DataFrame:
     """Pages that state a posting as JSON-LD, with its pay."""
     j = F.col("j")

@@ -51,3 +51,36 @@ def _federated(t):
     a = t.part.filter("p_name LIKE '%ring%'").select(F.lit("part").alias("source"), F.col("p_name").alias("key"))
     b = t.customer.filter("c_name LIKE '%77%'").select(F.lit("customer").alias("source"), F.col("c_name").alias("key"))
     return a.unionByName(b).distinct()
+
+
+@query("parse_positions", "adapters:personio", "SELECT concat('personio_', CAST(p_partkey AS VARCHAR)) AS external_id, p_name AS title, 'Remote' AS location FROM part")
+def _positions(t):
+    xml = F.concat(F.lit("<workzag-jobs><position><id>"), F.col("p_partkey").cast("string"), F.lit("</id><name>"), "p_name", F.lit("</name></position></workzag-jobs>"))
+    return payloads.parse_positions(t.part.select(xml.alias("payload"))).select("external_id", "title", "location")
+
+
+@query("parse_every_layout", "adapters:json", "SELECT s AS source, count(*) AS n FROM (SELECT unnest([" + ", ".join(f"'{k}'" for k in payloads.LAYOUTS) + "]) AS s) GROUP BY 1")
+def _layouts(t):
+    """A payload of one posting for each source, built from its layout, through its parser."""
+    from functools import reduce
+
+    def nest(path, value):
+        for step in reversed(path.split(".")):
+            name, _, index = step.partition("[")
+            value = {name: [value] if index else value}
+        return value
+
+    def merged(a, b):
+        for k, v in b.items():
+            a[k] = merged(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else [merged(a[k][0], v[0])] if isinstance(v, list) and isinstance(a.get(k), list) and isinstance(v[0], dict) else v
+        return a
+
+    import json
+
+    out = []
+    for source, at in payloads.LAYOUTS.items():
+        job = reduce(merged, (nest(at[k].split("|")[0], "x7") for k in at if k != "list"), {})
+        whole = nest(at["list"], [job]) if at["list"] else [job]
+        df = t.spark.range(1).select(F.lit(json.dumps(whole)).alias("payload"))
+        out.append(payloads.parse_json(df, source).filter((F.col("external_id") == f"{source}_x7") & (F.col("title") == "x7")).select(F.lit(source).alias("source")))
+    return reduce(lambda a, b: a.unionByName(b), out).groupBy("source").agg(F.count("*").alias("n"))
