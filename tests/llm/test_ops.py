@@ -120,13 +120,27 @@ def test_jaccard_join(spark, docs, none, small):
         for a, b in links:
             of[a] = of[b] = min(of[a], of[b])
     assert [got[k].class_id for k in range(len(texts))] == of
+    degree = Counter(x for pair in links for x in pair)
+    assert [got[k].n_links for k in range(len(texts))] == [degree[k] for k in range(len(texts))]
     if small == 48:
-        degree = Counter(x for pair in links for x in pair)
-        assert [got[k].n_links for k in range(len(texts))] == [degree[k] for k in range(len(texts))]
         assert jaccard_join.near_duplicates(none).count() == 0
         assert jaccard_join.one_of_each(rows).count() == len(set(of))
 
 
+def test_blocks_count_links():
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[k % 17 :], np.array([1000 + k], np.uint64)])) for k in range(60)]
+    copies = np.arange(1, 61)
+    want = [sum(copies[j] for j in range(60) if j != i and len(np.intersect1d(g, sets[j])) / len(np.union1d(g, sets[j])) >= 0.9) for i, g in enumerate(sets)]
+    whole = jaccard_join.block_links(sets, copies, np.zeros(60, int), 0.9)
+    half = np.arange(60) % 2
+    split = np.zeros(60, int)
+    for own in (half == 0, half == 1):
+        split[own] += jaccard_join.block_links([g for g, o in zip(sets, own, strict=True) if o], copies[own], np.zeros(own.sum(), int), 0.9)
+    split += jaccard_join.block_links(sets, copies, half, 0.9)
+    assert whole.tolist() == want and split.tolist() == want
+
+
 def test_byte_bpe(docs, none):
     tiktoken = pytest.importorskip("tiktoken")
     with open(RANKS, "rb") as f:

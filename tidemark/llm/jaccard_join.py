@@ -6,7 +6,8 @@ two with probability 1/threshold - 1, and sends each class to the child that its
 are compared whole; larger ones are split again, `depth` levels at most. Two sets of the least similarity stay together
 through a level about once on average, so a run finds them with the probability that such a branching survives, and runs
 are repeated until all of them together reach the target recall. What still shares a large bucket after the last level is
-near to all of it: each member is compared with the pivot of its run's bucket instead of with every other member.
+near to all of it: each member is compared with the pivot of its run's bucket, which settles the class; the links of such
+classes are counted block by block.
 Candidates pass a sketch test, are verified exactly on their texts, and components of the links are the classes.
 """
 
@@ -213,21 +214,74 @@ def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float
     return sets.select("id", "set").join(reps, "set", "left"), sure
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def block_links(sets: list[np.ndarray], copies: np.ndarray, blocks: np.ndarray, threshold: float) -> np.ndarray:
+    """For each set, the copies of the other sets that it is linked with: of its own block if there is one, else of the other.
+
+    Shared counts are a matrix product over the tokens that at least two of the sets hold.
+    """
+    n, size = len(sets), np.array([len(g) for g in sets])
+    token, count = np.unique(np.concatenate(sets), return_counts=True)
+    token = token[count > 1]
+    shared = np.zeros((n, n), np.float32)
+    for k in range(0, len(token), 4096):
+        part = token[k : k + 4096]
+        grid = np.zeros((n, len(part)), np.float32)
+        for row, g in enumerate(sets):
+            at = np.searchsorted(part, g)
+            at[at == len(part)] = 0
+            grid[row, at[part[at] == g]] = 1
+        shared += grid @ grid.T
+    linked = shared / (size[:, None] + size - shared) >= threshold - 1e-12
+    linked &= (blocks[:, None] != blocks) if blocks.min() != blocks.max() else ~np.eye(n, dtype=bool)
+    return linked @ copies
+
+
+def links_in_large(large: DataFrame, text: DataFrame, threshold: float, width: int, block: int = 256) -> DataFrame:
+    """(rep, linked) for classes of many different sets: large has rep, c, m (sets of the class) and copies.
+
+    A class is dealt over blocks, and each pair of its blocks is compared in one task, which returns sums, not pairs. The
+    work grows with the square of a class's different sets, the memory of a task does not grow.
+    """
+    kind = dict(large.dtypes)["rep"]
+    n_blocks = F.ceil(F.col("m") / block)
+    rows = large.withColumn("own", F.pmod(F.xxhash64("rep"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+    rows = rows.select("rep", "c", "copies", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    told = rows.join(text, "rep")
+
+    def run(pdf):
+        import pandas as pd
+
+        shingles = Shingler(width)
+        blocks = pdf["own"].to_numpy()
+        if pdf["lo"].iloc[0] != pdf["hi"].iloc[0] and blocks.min() == blocks.max():
+            return pd.DataFrame({"rep": pdf["rep"], "linked": 0})
+        got = block_links([shingles(t) for t in pdf["text"]], pdf["copies"].to_numpy(), blocks, threshold)
+        return pd.DataFrame({"rep": pdf["rep"], "linked": got.astype("int64")})
+
+    return told.groupBy("c", "lo", "hi").applyInPandas(run, f"rep {kind}, linked long").groupBy("rep").agg(F.sum("linked").alias("linked"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, small: int = 48, count_all: bool = True, **how) -> DataFrame:
     """Per row: id, class_id (least id of its class), rep_id (least id with the same shingle set), n_links.
 
     n_links counts the other rows that the row is linked with: those of its own set, and of the sets linked with it. In
-    buckets that stay large to the last level only links with pivots are made, so there n_links is of those. Texts without
-    words have no set: each is a class of its own, without links. Rows that repeat an id and text are copies of each
-    other; ids are otherwise unique. Other columns are ignored.
+    classes of more than `small` different sets, where large buckets are compared with pivots only, the links are counted
+    anew, block by block (not if count_all is off: classes alone need no more than the pivots). Texts without words have no set: each is a class of its own, without links. Rows that repeat an
+    id and text are copies of each other; ids are otherwise unique. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    members, sure = links(rows, **how)
+    members, sure = links(rows, threshold=threshold, width=width, small=small, **how)
     labels = components(sure)
     sizes = members.filter(F.col("id") == F.col("rep")).select("rep", "copies").distinct()
     both = sure.select("a", "b").union(sure.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("linked"))
     of_rep = staged(labels.join(degree, labels["v"] == degree["rep"], "left").select(F.col("v").alias("rep"), "c", "linked"), "classes")
+    wide = staged(of_rep.groupBy("c").agg(F.count("*").alias("m")).filter(F.col("m") > small), "large-classes")
+    if count_all and not wide.isEmpty():
+        large = staged(of_rep.join(wide, "c").join(sizes, "rep").select("rep", "c", "m", "copies"), "large")
+        text = rows.join(large.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "text")
+        anew = staged(links_in_large(large, text, threshold, width), "anew").withColumnRenamed("linked", "exact")
+        of_rep = staged(of_rep.join(anew, "rep", "left").select("rep", "c", F.coalesce("exact", "linked").alias("linked")), "classes")
     out = members.join(of_rep, "rep", "left")
     return out.select(
         F.col("id").alias(id_col),
@@ -239,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs of the least id of each class, with all their columns."""
-    keep = near_duplicates(docs, id_col, text_col, **how).filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col)).distinct()
+    keep = near_duplicates(docs, id_col, text_col, count_all=False, **how).filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col)).distinct()
     return docs.join(staged(keep, "kept"), id_col, "left_semi").dropDuplicates([id_col])
 
 
