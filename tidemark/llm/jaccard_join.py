@@ -44,7 +44,7 @@ def runs_for(recall: float, threshold: float, depth: int) -> int:
 class Shingler:
     """Hashed shingle sets. Words hash the same in every process."""
 
-    def __init__(self, width: int = 5, most_held: int = 1_000_000):
+    def __init__(self, width: int = 5, most_held: int = 300_000):
         self.width, self.held, self.most_held = width, {}, most_held
 
     def __call__(self, text: str | None) -> np.ndarray:

@@ -165,3 +165,35 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: LineRules | None =
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+def _sql(rules: LineRules) -> str:
+    """The same verdicts in DuckDB's SQL."""
+    count = lambda c: f"(length(line) - length(replace(line, '{c}', '')))"
+    starts = " OR ".join(f"starts_with(lower(ltrim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))), '{b}')" for b in BOILERPLATE)
+    symbols = "length(regexp_replace({0}, '[^#*$%&|<>]', '', 'g'))"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+words AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+grams AS (SELECT doc_id, i, ws[i:i + 4] AS g FROM words, unnest(range(1, len(ws) - 3)) AS r(i)),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) > 1 AS again FROM grams),
+repeated AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM twice, unnest(range(0, 5)) AS r(j) WHERE again GROUP BY 1),
+split AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d),
+lines AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM split),
+told AS (SELECT doc_id, line, len(ws) AS n, length(array_to_string(ws, '')) AS chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS again,
+  {symbols.format("line")} AS sym, {count("|")} AS pipes, {count("!")} AS bangs, {count(" > ")} / 3 + {count("»")} AS arrows,
+  length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) AS upper, length(line) - {count(" ")} AS letters,
+  coalesce(list_sum(list_transform(range(1, len(ws)), lambda i: CAST(ws[i] = ws[i + 1] AS INTEGER))), 0) AS same,
+  {starts} AS boiler FROM lines WHERE len(ws) > 0),
+judged AS (SELECT doc_id, chars, again, again OR (sym > {rules.symbols} * n AND pipes <= {rules.separators} * n) OR pipes > {rules.separators} * n OR arrows > {rules.separators} * n
+  OR (bangs > {rules.bangs} * n AND n >= 3) OR (n >= 4 AND upper > {rules.upper} * letters) OR (n >= {rules.long_line} AND same > {rules.same_word} * n) OR (boiler AND n <= 40) AS fails FROM told),
+lost AS (SELECT doc_id, count(*) FILTER (WHERE again) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE fails), 0) AS lost_chars FROM judged GROUP BY 1),
+base AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, {symbols.format("t")} AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost_chars, 0) AS lost_chars
+  FROM words LEFT JOIN repeated USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < {rules.min_words} OR 100 * n_repeat_words > {100 * rules.repeat_share} * n_words AS base_failed, CAST(lost_chars AS BIGINT) AS lost_chars,
+  NOT (n_words < {rules.min_words} OR 100 * n_repeat_words > {100 * rules.repeat_share} * n_words) AND lost_chars <= {rules.most_lost} * word_chars AS kept FROM base
+"""
+
+
+SQL = _sql(LineRules())
