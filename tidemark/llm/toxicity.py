@@ -31,7 +31,7 @@ ADDRESS = frozenset("you your youre u ur du dich ihr tu toi vous te tú vos uste
 
 @dataclass(frozen=True)
 class Params:
-    per_class: int = 3000  #: most labelled texts of each class that the model is fitted on
+    per_class: int = 2000  #: most labelled texts of each class that the model is fitted on
     least_toxic: int = 6  #: toxic texts of the sample that hold a term, and the least share of them
     least_share: float = 0.005
     precision: float = 0.9  #: toxic share, at equal class sizes, of the texts that hold a term
