@@ -35,7 +35,7 @@ class Pieces:
     Only white space is cut at, which the tokenizer's own pattern never crosses and drops.
     """
 
-    def __init__(self, path: str, most_held: int = 1_000_000):
+    def __init__(self, path: str, most_held: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
