@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import read_table, staged
+from tidemark.llm.common import bound_batches, read_table, staged
 from tidemark.llm.exact_dedup import unique_documents
 from tidemark.llm.jaccard_join import one_of_each
 from tidemark.llm.packing import pack
@@ -16,6 +16,7 @@ from tidemark.llm.secret_scan import redact
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules reject go."""
+    bound_batches(spark)
     return keep_good(docs)
 
 

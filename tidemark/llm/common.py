@@ -12,7 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of 8 MB instead of the default 64, which a task holds several times over in the JVM and in Python.
+
+    A session whose setting is not the default keeps its own.
+    """
+    if spark.conf.get(BATCH) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(BATCH, str(most))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -36,6 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and no executor's loss can undo it."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
