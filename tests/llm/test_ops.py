@@ -127,6 +127,36 @@ def test_jaccard_join(spark, docs, none, small):
         assert jaccard_join.one_of_each(rows).count() == len(set(of))
 
 
+def test_large_buckets_of_several_classes(spark):
+    """Groups alike at 0.6 to 0.8 share large buckets, where most members are not linked with the pivot."""
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for g in range(6):
+        own = list(base)
+        for k in range(9):
+            own[r.randrange(400)] = f"g{g}x{k}"
+        for m in range(6):
+            words = list(own)
+            for k in range(2):
+                words[r.randrange(400)] = f"g{g}m{m}x{k}"
+            texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    of = list(range(len(texts)))
+    for _ in texts:
+        for a, b in links:
+            of[a] = of[b] = min(of[a], of[b])
+    assert len(set(of)) > 1
+    degree = Counter(x for pair in links for x in pair)
+    how = {"small": 2, "first_level": 1, "depth": 1}
+    got = by_id(jaccard_join.near_duplicates(rows, **how))
+    assert [got[k].class_id for k in range(len(texts))] == of
+    assert [got[k].n_links for k in range(len(texts))] == [degree[k] for k in range(len(texts))]
+    assert {r.doc_id for r in jaccard_join.one_of_each(rows, **how).collect()} == set(of)
+
+
 def test_blocks_count_links():
     base = np.arange(100, dtype=np.uint64)
     sets = [np.unique(np.concatenate([base[k % 17 :], np.array([1000 + k], np.uint64)])) for k in range(60)]

@@ -5,9 +5,10 @@ tokens. A run starts with all classes in one bucket and splits it on sampled tok
 two with probability 1/threshold - 1, and sends each class to the child that its token there names. Buckets up to `small`
 are compared whole; larger ones are split again, `depth` levels at most. Two sets of the least similarity stay together
 through a level about once on average, so a run finds them with the probability that such a branching survives, and runs
-are repeated until all of them together reach the target recall. What still shares a large bucket after the last level is
-near to all of it: each member is compared with the pivot of its run's bucket, which settles the class; the links of such
-classes are counted block by block.
+are repeated until all of them together reach the target recall. Of what still shares a large bucket after the last level,
+each member is compared with the pivot of its run's bucket first. Similarity is not transitive, so a bucket whose members
+are not of one class by then is compared whole, block by block; and the links of every class that met a large bucket are
+counted block by block.
 Candidates pass a sketch test, are verified exactly on their texts, and components of the links are the classes.
 """
 
@@ -116,8 +117,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.99, coords: int = 64, small: int = 48, first_level: int = 2, depth: int = 5) -> tuple[DataFrame, DataFrame]:
-    """docs: (id, text). Classes of equal sets: (id, set, rep, copies); verified links between them: (a, b, similarity), a < b."""
+def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.99, coords: int = 64, small: int = 48, first_level: int = 2, depth: int = 5) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """docs: (id, text). Classes of equal sets: (id, set, rep, copies); verified links between them: (a, b, similarity), a < b;
+    and, if there are any, the large buckets of the last level, whose members met their pivot only: (key, rep)."""
     kind = dict(docs.dtypes)["id"]
     two = 1 / threshold - 1
     n_runs = runs_for(recall, threshold, depth)
@@ -157,6 +159,7 @@ def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float
 
     shape = f"key long, rep {kind}, n int, run int"
     found: list[DataFrame] = []
+    crowd = None
     rows = staged(told.mapInArrow(start, shape), "paths")
     for level in range(first_level, depth + 1):
         sizes = staged(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
@@ -169,12 +172,12 @@ def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float
             break
         left = rows.join(large.select("key"), "key")
         if level == depth:
-            left = staged(left, "large")
+            crowd = left = staged(left, "large")
             order = F.xxhash64("rep", "run")
             pivots = staged(left.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("pivot"), F.col("n").alias("m"))).alias("p")).select("key", "p.pivot", "p.m"), "pivots")
             star = left.join(pivots, "key").filter((F.col("rep") != F.col("pivot")) & (F.col("n") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("n")))
             found.append(staged(star.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), "pairs"))
-            unstage(rows, sizes, left, pivots)
+            unstage(rows, sizes, pivots)
         else:
             new = staged(left.join(told.select("rep", "sig"), "rep").select("key", "rep", "n", "run", "sig").mapInArrow(onward(level), shape), "paths")
             unstage(rows, sizes)
@@ -211,14 +214,11 @@ def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float
     sure = staged(both.select("a", "b", "s", "t").mapInArrow(verify, f"a {kind}, b {kind}, similarity double"), "links")
     unstage(near, told)
     free_shuffles(docs.sparkSession)
-    return sets.select("id", "set").join(reps, "set", "left"), sure
+    return sets.select("id", "set").join(reps, "set", "left"), sure, crowd.select("key", "rep") if crowd is not None else None
 
 
-def block_links(sets: list[np.ndarray], copies: np.ndarray, blocks: np.ndarray, threshold: float) -> np.ndarray:
-    """For each set, the copies of the other sets that it is linked with: of its own block if there is one, else of the other.
-
-    Shared counts are a matrix product over the tokens that at least two of the sets hold.
-    """
+def linked_sets(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which of the sets are linked, as a matrix. Shared counts are a product over the tokens that at least two sets hold."""
     n, size = len(sets), np.array([len(g) for g in sets])
     token, count = np.unique(np.concatenate(sets), return_counts=True)
     token = token[count > 1]
@@ -231,11 +231,52 @@ def block_links(sets: list[np.ndarray], copies: np.ndarray, blocks: np.ndarray,
             at[at == len(part)] = 0
             grid[row, at[part[at] == g]] = 1
         shared += grid @ grid.T
-    linked = shared / (size[:, None] + size - shared) >= threshold - 1e-12
-    linked &= (blocks[:, None] != blocks) if blocks.min() != blocks.max() else ~np.eye(n, dtype=bool)
+    return shared / (size[:, None] + size - shared) >= threshold - 1e-12
+
+
+def block_links(sets: list[np.ndarray], copies: np.ndarray, blocks: np.ndarray, threshold: float) -> np.ndarray:
+    """For each set, the copies of the other sets that it is linked with: of its own block if there is one, else of the other."""
+    linked = linked_sets(sets, threshold)
+    linked &= (blocks[:, None] != blocks) if blocks.min() != blocks.max() else ~np.eye(len(sets), dtype=bool)
     return linked @ copies
 
 
+def in_block_pairs(large: DataFrame, block: int) -> DataFrame:
+    """large has rep and m, the size of the row's group: each row once for every pair of the group's blocks (lo, hi) with its own."""
+    n_blocks = F.ceil(F.col("m") / block)
+    rows = large.withColumn("own", F.pmod(F.xxhash64("rep"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+    return rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
+
+def links_across(crowd: DataFrame, labels: DataFrame, rows: DataFrame, threshold: float, width: int, block: int = 256) -> DataFrame:
+    """(a, b): verified links that join the classes which a large bucket's members are of so far. crowd: (key, rep).
+
+    Buckets of one class are settled, and of buckets with the same members one is enough. The others are dealt over blocks,
+    and each pair of blocks is compared in one task, which returns at most one link for two classes.
+    """
+    kind = dict(crowd.dtypes)["rep"]
+    of = crowd.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    mixed = of.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c"), F.max("c").alias("d"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.max(F.xxhash64("rep")).alias("y")).filter("c <> d")
+    once = mixed.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m")
+    dealt = staged(in_block_pairs(of.join(once, "key"), block).select("key", "rep", "c", "own", "lo", "hi"), "dealt")
+    text = rows.join(dealt.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "text")
+
+    def run(pdf):
+        import pandas as pd
+
+        out = []
+        rep, blocks, code = pdf["rep"].to_numpy(), pdf["own"].to_numpy(), pd.factorize(pdf["c"])[0]
+        alone = pdf["lo"].iloc[0] != pdf["hi"].iloc[0] and blocks.min() == blocks.max()
+        if not alone and code.max() > 0:
+            shingles = Shingler(width)
+            i, j = np.nonzero(linked_sets([shingles(t) for t in pdf["text"]], threshold) & (code[:, None] < code))
+            first = np.unique(code[i].astype(np.int64) * len(code) + code[j], return_index=True)[1]
+            out = [(min(x, y), max(x, y)) for x, y in zip(rep[i[first]], rep[j[first]], strict=True)]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return dealt.join(text, "rep").groupBy("key", "lo", "hi").applyInPandas(run, f"a {kind}, b {kind}")
+
+
 def links_in_large(large: DataFrame, text: DataFrame, threshold: float, width: int, block: int = 256) -> DataFrame:
     """(rep, linked) for classes of many different sets: large has rep, c, m (sets of the class) and copies.
 
@@ -243,10 +284,8 @@ def links_in_large(large: DataFrame, text: DataFrame, threshold: float, width: i
     work grows with the square of a class's different sets, the memory of a task does not grow.
     """
     kind = dict(large.dtypes)["rep"]
-    n_blocks = F.ceil(F.col("m") / block)
-    rows = large.withColumn("own", F.pmod(F.xxhash64("rep"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-    rows = rows.select("rep", "c", "copies", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    told = rows.join(text, "rep")
+    told = in_block_pairs(large, block).select("rep", "c", "copies", "own", "lo", "hi")
+    told = told.join(text, "rep")
 
     def run(pdf):
         import pandas as pd
@@ -265,18 +304,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: id, class_id (least id of its class), rep_id (least id with the same shingle set), n_links.
 
     n_links counts the other rows that the row is linked with: those of its own set, and of the sets linked with it. In
-    classes of more than `small` different sets, where large buckets are compared with pivots only, the links are counted
-    anew, block by block (not if count_all is off: classes alone need no more than the pivots). Texts without words have no set: each is a class of its own, without links. Rows that repeat an
+    classes of more than `small` different sets, and in those with a set of a large bucket, the links are counted anew,
+    block by block (not if count_all is off). Texts without words have no set: each is a class of its own, without links. Rows that repeat an
     id and text are copies of each other; ids are otherwise unique. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    members, sure = links(rows, threshold=threshold, width=width, small=small, **how)
+    members, sure, crowd = links(rows, threshold=threshold, width=width, small=small, **how)
     labels = components(sure)
+    if crowd is not None:
+        more = staged(links_across(crowd, labels, rows, threshold, width), "across")
+        if not more.isEmpty():
+            labels = components(labels.filter("c <> v").select(F.col("c").alias("a"), F.col("v").alias("b")).union(more))
     sizes = members.filter(F.col("id") == F.col("rep")).select("rep", "copies").distinct()
     both = sure.select("a", "b").union(sure.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("linked"))
     of_rep = staged(labels.join(degree, labels["v"] == degree["rep"], "left").select(F.col("v").alias("rep"), "c", "linked"), "classes")
-    wide = staged(of_rep.groupBy("c").agg(F.count("*").alias("m")).filter(F.col("m") > small), "large-classes")
+    met = of_rep.select(F.lit(False).alias("met"), "rep", "c") if crowd is None else of_rep.join(crowd.select("rep", F.lit(True).alias("met")).distinct(), "rep", "left").select("met", "rep", "c")
+    wide = staged(met.groupBy("c").agg(F.count("*").alias("m"), F.max("met").alias("met")).filter((F.col("m") > small) | F.col("met")).select("c", "m"), "large-classes")
     if count_all and not wide.isEmpty():
         large = staged(of_rep.join(wide, "c").join(sizes, "rep").select("rep", "c", "m", "copies"), "large")
         text = rows.join(large.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "text")
