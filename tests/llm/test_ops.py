@@ -322,6 +322,18 @@ def test_html_extraction(spark):
     assert joined == {k: r.text for k, r in got.items()}
 
 
+def test_templates_in_main_content(spark):
+    """Blocks inside the article that recur on the host go, wherever they stand; text between them and links in it stay."""
+    box = '<div class="xq7"><p>Join <b>the</b> list</div>'
+    page = "<body><main>" + box + '<p>Own words {k}, see <a href="/">here</a> for more' + box + "</main></body>"
+    rows = [(k, f"http://m.org/{k}", page.replace("{k}", str(k))) for k in range(6)]
+    copy = f"<article>{box}<p>Copied words</article>"
+    rows += [(10 + k, f"http://c.org/{k}", copy) for k in range(6)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(6)] == [f"Own words {k}, see here for more" for k in range(6)]
+    assert all(got[10 + k] == "Join the list\nCopied words" for k in range(6))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -1,6 +1,6 @@
 """Main text of web pages, with site templates removed.
 
-Two passes. The first hashes the element subtrees that lie outside a page's main content (tags, classes and text),
+Two passes. The first hashes a page's element subtrees (tags, classes and text), in its main content and outside,
 counts in Spark on how many pages of its host each subtree occurs, and keeps those that recur. The second drops these
 subtrees, the chrome elements and everything marked as such, and joins the blocks that remain.
 """
@@ -131,42 +131,48 @@ def main_parts(root: Node) -> list[Node]:
     return find(root, "article") or find(root, "main") or [root]
 
 
-def subtree_hashes(root: Node) -> dict[int, Node]:
-    """Hash to element, of the element subtrees with text outside the page's main content."""
-    inside = {id(x) for x in main_parts(root) if x is not root}
-    out: dict[int, Node] = {}
+def subtree_hashes(root: Node) -> tuple[list[tuple[int, Node]], int]:
+    """(hash, element) of the element subtrees with text that can be a template; and the hash of the main content.
 
+    The roots of the main content and what holds them are none, nor are inline elements with other text beside them.
+    """
+    parts = main_parts(root)
+    heads = {id(x) for x in parts if x is not root}
+    out: list[tuple[int, Node]] = []
     order, stack = [], [root]
     while stack:
         x = stack.pop()
         order.append(x)
-        stack.extend(k for k in x.kids if not isinstance(k, str) and id(k) not in inside)
-    seen: dict[int, bytes] = {}
+        stack.extend(k for k in x.kids if not isinstance(k, str))
+    seen: dict[int, tuple[bytes, bool, bool]] = {}  # digest, has text, is or holds a root of the main content
     for x in reversed(order):
         h = hashlib.blake2b(f"{x.tag} {SPACE.sub(' ', x.attrs)}".encode("utf-8", "replace"), digest_size=8)
-        text = False
+        text, holds, runs, own = False, id(x) in heads, 0, []
         for k in x.kids:
             if isinstance(k, str):
                 k = SPACE.sub(" ", k).strip()
                 text |= bool(k)
+                runs += bool(k)
                 h.update(k.encode("utf-8", "replace"))
-            elif id(k) in inside:
-                h.update(b"<main>")
-            else:
-                got = seen[id(k)]
-                text |= got[8:] == b"t"
-                h.update(got[:8])
-        seen[id(x)] = h.digest() + (b"t" if text else b"")
-        if text and x.tag not in ("", "html", "body") and not any(not isinstance(k, str) and id(k) in inside for k in x.kids):
-            out[int.from_bytes(seen[id(x)][:8], "little", signed=True)] = x
-    return out
+                continue
+            digest, says, above = seen[id(k)]
+            h.update(digest)
+            text |= says
+            holds |= above
+            runs += says and k.tag in INLINE
+            if says and not above and k.tag not in CHROME and k.tag not in ("html", "body"):
+                own.append((digest, k))
+        seen[id(x)] = h.digest(), text, holds
+        out += [(int.from_bytes(d, "little", signed=True), k) for d, k in own if runs < 2 or k.tag not in INLINE]
+    main = hashlib.blake2b(b"".join(seen[id(x)][0] for x in parts), digest_size=8).digest()
+    return out, int.from_bytes(main, "little", signed=True)
 
 
 def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
     """The page's blocks, one a line. Entities are decoded, white space in a block is one space, empty blocks go."""
     root = parse(html or "")
     if templates:
-        for h, x in subtree_hashes(root).items():
+        for h, x in subtree_hashes(root)[0]:
             x.skip = h in templates
     blocks: list[str] = []
     held: list[str] = []
@@ -199,48 +205,58 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
     return "\n".join(blocks)
 
 
-def host_of(url: str | None) -> str:
-    m = HOST.match(url or "")
-    return m[1].lower() if m else ""
+def with_host(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """id, url, html, host and page, a hash of host and html."""
+    rows = pages.selectExpr(f"`{id_col}` AS id", f"`{url_col}` AS url", f"`{html_col}` AS html")
+    rows = rows.withColumn("host", F.xxhash64(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST.pattern, 1))))
+    return rows.withColumn("page", F.xxhash64("host", "html"))
 
 
-def templates_by_host(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 4, least_share: float = 0.05) -> DataFrame:
-    """host, templates: hashes of the subtrees on at least least_pages pages and that share of the host's pages.
+def templates_by_page(rows: DataFrame, least_pages: int = 4, least_share: float = 0.05, broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """page, templates: hashes of the page's subtrees that recur on its host. rows: as of with_host.
 
-    A host can have at most (subtrees of a page / least_share) of them, so the arrays are bounded by page size.
+    A subtree recurs if it is on least_pages pages and that share of the host's pages. Pages count once for a url and once for the same main content, so that copies of a page
+    are no evidence. An array holds a page's own templates only: its size does not grow with the host.
     """
 
     def run(batches):
         for b in slices(batches, "html"):
-            hosts, found = [], []
-            for url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = subtree_hashes(parse(html or ""))
-                hosts += [host_of(url)] * (len(own) + 1)
-                found += [None, *own]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "subtree"])
-
-    counts = pages.selectExpr(f"`{url_col}` AS url", f"`{html_col}` AS html").mapInArrow(run, "host string, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    counts = staged(counts.filter((F.col("n") >= least_pages) | F.col("subtree").isNull()), "subtree-counts")
+            hosts, pages, urls, mains, found = [], [], [], [], []
+            for host, page, url, html in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                own, main = subtree_hashes(parse(html or ""))
+                own = [None, *{h for h, _ in own}]
+                hosts += [host] * len(own)
+                pages += [page] * len(own)
+                urls += [main if url is None else url] * len(own)
+                mains += [main] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, pages, urls, mains, found)], ["host", "page", "url", "main", "subtree"])
+
+    told = rows.select("host", "page", F.expr("if(url IS NULL, NULL, xxhash64(url))").alias("url"), "html")
+    found = staged(told.mapInArrow(run, "host long, page long, url long, main long, subtree long"), "subtrees")
+    counts = found.groupBy("host", "subtree", "url").agg(F.min("main").alias("main")).groupBy("host", "subtree").agg(F.countDistinct("main").alias("n"))
+    counts = staged(counts.filter((F.col("n") > 1) | F.col("subtree").isNull()), "subtree-counts")
     n_pages = counts.filter(F.col("subtree").isNull()).select("host", F.col("n").alias("n_pages"))
-    often = counts.filter(F.col("subtree").isNotNull()).join(n_pages, "host").filter(F.col("n") >= F.lit(least_share) * F.col("n_pages"))
-    return often.groupBy("host").agg(F.collect_set("subtree").alias("templates"))
+    often = counts.filter(F.col("subtree").isNotNull()).join(n_pages, "host").filter((F.col("n") >= least_pages) & (F.col("n") >= F.lit(least_share) * F.col("n_pages")))
+    often = staged(often.select("host", "subtree"), "templates")
+    hits = found.join(F.broadcast(often) if 16 * often.count() < broadcast_bytes else often, ["host", "subtree"])
+    return hits.groupBy("page").agg(F.collect_set("subtree").alias("templates"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 16 << 20) -> DataFrame:
     """Per page: id, url, text, n_chars (code points).
 
     Null or empty html, and pages that hold nothing but chrome, give ''. Null urls share the host ''. Repeated rows give
-    repeated results. Pages join their host's templates by broadcast only if those measure under broadcast_bytes.
+    repeated results. Pages join their templates by broadcast only if those measure under broadcast_bytes.
     """
     kind = dict(pages.dtypes)[id_col]
-    rows = pages.selectExpr(f"`{id_col}` AS id", f"`{url_col}` AS url", f"`{html_col}` AS html")
-    templates = staged(templates_by_host(pages, url_col, html_col), "templates")
-    size = templates.agg(F.sum(F.length("host") + 16 + 8 * F.size("templates"))).first()[0] or 0
-    rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST.pattern, 1)))
+    rows = with_host(pages, id_col, url_col, html_col)
+    templates = staged(templates_by_page(rows, broadcast_bytes=broadcast_bytes), "page-templates")
+    size = templates.agg(F.sum(24 + 8 * F.size("templates"))).first()[0] or 0
     if size == 0:
         joined = rows.withColumn("templates", F.lit(None).cast("array<bigint>"))
     else:
-        joined = rows.join(F.broadcast(templates) if size < broadcast_bytes else templates, "host", "left")
+        joined = rows.join(F.broadcast(templates) if size < broadcast_bytes else templates, "page", "left")
 
     def run(batches):
         for b in slices(batches, "html"):
