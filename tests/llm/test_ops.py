@@ -334,6 +334,19 @@ def test_templates_in_main_content(spark):
     assert all(got[10 + k] == "Join the list\nCopied words" for k in range(6))
 
 
+def test_templates_by_absolute_count(spark):
+    """Four pages make a template on a host of any size, all pages on a smaller host; every equal block of a page goes."""
+    menu = "<div>Menu of the section</div>"
+    rows = [(k, f"http://big.org/{k}", f"<body>{menu if k < 4 else ''}<p>Own words {k}</p>{menu if k < 4 else ''}") for k in range(120)]
+    rows += [(200 + k, f"http://two.org/{k}", f"<body>{menu}<p>Own words {k}</p>") for k in range(2)]
+    rows += [(300, "http://one.org/", f"<body>{menu}<p>Own words</p>")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for how in ({}, {"broadcast_bytes": 0}):
+        got = {r.page_id: r.text for r in html_extraction.extract(pages, **how).collect()}
+        assert [got[k] for k in range(120)] == [f"Own words {k}" for k in range(120)]
+        assert [got[200], got[201]] == ["Own words 0", "Own words 1"] and got[300] == "Menu of the section\nOwn words"
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -212,10 +212,11 @@ def with_host(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
     return rows.withColumn("page", F.xxhash64("host", "html"))
 
 
-def templates_by_page(rows: DataFrame, least_pages: int = 4, least_share: float = 0.05, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def templates_by_page(rows: DataFrame, least_pages: int = 4, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """page, templates: hashes of the page's subtrees that recur on its host. rows: as of with_host.
 
-    A subtree recurs if it is on least_pages pages and that share of the host's pages. Pages count once for a url and once for the same main content, so that copies of a page
+    A subtree recurs if it is on least_pages pages, whatever the size of the host; on a host of fewer pages, but two at
+    least, if it is on all of them. Pages count once for a url and once for the same main content, so that copies of a page
     are no evidence. An array holds a page's own templates only: its size does not grow with the host.
     """
 
@@ -237,7 +238,7 @@ def templates_by_page(rows: DataFrame, least_pages: int = 4, least_share: float
     counts = found.groupBy("host", "subtree", "url").agg(F.min("main").alias("main")).groupBy("host", "subtree").agg(F.countDistinct("main").alias("n"))
     counts = staged(counts.filter((F.col("n") > 1) | F.col("subtree").isNull()), "subtree-counts")
     n_pages = counts.filter(F.col("subtree").isNull()).select("host", F.col("n").alias("n_pages"))
-    often = counts.filter(F.col("subtree").isNotNull()).join(n_pages, "host").filter((F.col("n") >= least_pages) & (F.col("n") >= F.lit(least_share) * F.col("n_pages")))
+    often = counts.filter(F.col("subtree").isNotNull()).join(n_pages, "host").filter(F.col("n") >= F.least(F.lit(least_pages), "n_pages"))
     often = staged(often.select("host", "subtree"), "templates")
     hits = found.join(F.broadcast(often) if 16 * often.count() < broadcast_bytes else often, ["host", "subtree"])
     return hits.groupBy("page").agg(F.collect_set("subtree").alias("templates"))
