@@ -288,6 +288,16 @@ def test_automaton_is_levenshtein():
     assert toxicity.Automaton({"lowei": True}).match("loweischaft") == (0, 0)
 
 
+def test_stems_take_errors_and_signs_are_letters():
+    """A stem starts a word within the errors of its length; @ and $ are letters, and words beside them still count."""
+    stems = toxicity.Automaton({"réeux": True, "boco": True})
+    assert stems.match("réeuxment") == (0, 0) and stems.match("reeuxment") == (0, 1) and stems.match("bocoter") == (1, 0)
+    assert stems.match("raeaxment") is None and stems.match("bacoter") is None
+    model = toxicity.Model({"asshole": False, "idiot": False}, {"asshole": 1.0, "idiot": 1.0}, toxicity.Params(), logistic=())
+    assert [model.features(t)[1] for t in ("you @$$hole there", "a$$hole", "@idiot", "idiot$", "x@idiot.org", "$100 @ all", "fine")] == [1, 1, 1, 1, 1, 0, 0]
+    assert model.hits["@idiot"] == ("idiot", 0) and model.hits["a$$hole"] == ("asshole", 1)
+
+
 def test_quality_crf(spark, docs, none):
     train, held = sample(spark, "/root/testdata/sf0.1", "quality", 5, 0)
     model = quality_crf.fit(train, quality_crf.Params(steps=60))

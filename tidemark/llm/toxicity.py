@@ -2,7 +2,7 @@
 
 A bounded sample of labelled texts gives the lexicon: whole words, and stems that start words, which occur in toxic
 texts and hardly in others. Its trie is intersected with Levenshtein automata, one error for terms of `one_error`
-letters or more, two from `two_errors`; the product is determinised lazily, so that a token costs a table lookup a
+letters or more, two from `two_errors`, in words and in stems alike; the product is determinised lazily, so that a token costs a table lookup a
 letter and most tokens die within a few letters. Each hit is scored by its window of words: quotation marks and words of
 report lower it, direct address raises it. A logistic model of the document's hits gives the score.
 """
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import read_table, slices
 from .labelled import apply_logistic, fit_logistic, labelled_sample, remainder, shifted
 
-TOKEN = re.compile(r"\w+")
+WORD = re.compile(r"\w+")
+#: A word as it is matched: @ and $ may stand for letters of it.
+TOKEN = re.compile(r"[@$]*\w[\w@$]*|[@$]{3,}")
 # Digits and signs that stand for letters, marks of quotation, words of report, words of address.
 LEET = str.maketrans("013457@$", "oieastas")
 QUOTES = "\"“”„«»‘’"
@@ -86,7 +88,7 @@ class Automaton:
         stems = dict(stems)
         for n, e in nodes.items():
             for k in self.ends[n]:
-                if self.stem[k] and e <= self.errors[k] - 1 + (self.errors[k] == 0) and stems.get(k, 9) > e:
+                if self.stem[k] and e <= self.errors[k] and stems.get(k, 9) > e:
                     stems[k] = e
         key = (frozenset(nodes.items()), frozenset(stems.items()))
         if key not in self.ids:
@@ -148,10 +150,13 @@ class Model:
             self.seen.clear()
         new = tokens.difference(self.seen)
         for t in new:
-            folded = t.translate(LEET) if not t.isalpha() and not t.isdigit() else t
-            got = self.automaton.match(folded)
-            if got:
-                self.hits[t] = (self.automaton.terms[got[0]], got[1] + (folded != t))
+            folded = t.translate(LEET) if not t.isalpha() and not t.strip("@$").isdigit() else t
+            # The words beside an @ or $ are matched too: a mention or an address is no misspelling.
+            for way in {folded: None} | ({x: None for w in WORD.findall(t) for x in (w, w.translate(LEET) if not w.isdigit() else w)} if "@" in t or "$" in t else {}):
+                got = self.automaton.match(way)
+                errors = got and got[1] + (way not in t)
+                if got and (t not in self.hits or errors < self.hits[t][1]):
+                    self.hits[t] = (self.automaton.terms[got[0]], errors)
         self.seen |= new
         return tokens & self.hits.keys()
 
@@ -167,7 +172,7 @@ class Model:
                     continue
                 term, errors = self.hits[w]
                 weight = self.weights[term] * 0.7**errors * self.near_weights.get((term, errors), 1.0)
-                around = {x for x, _, _ in words[max(0, i - self.params.window) : i + self.params.window + 1]}
+                around = {x.strip("@$") for x, _, _ in words[max(0, i - self.params.window) : i + self.params.window + 1]}
                 before, after = low[max(0, a - 2) : a], low[b : b + 2]
                 is_quoted = any(q in before for q in QUOTES) and any(q in after for q in QUOTES) or bool(around & REPORT)
                 context = (0.5 if is_quoted else 1.0) * (1.25 if around & ADDRESS and not is_quoted else 1.0)
@@ -186,7 +191,7 @@ def fit(sample: list[tuple[str, int]], params: Params, prior_shift: float = 0.0)
     clean_words, clean_stems, in_toxic = Counter(), Counter(), Counter()
     toxic_words, toxic_stems, grown = defaultdict(set), defaultdict(set), defaultdict(set)
     for text, y in sample:
-        words = TOKEN.findall(text.lower())
+        words = WORD.findall(text.lower())
         if not y:
             clean_words.update(set(words))
             clean_stems.update({w[:k] for w in set(words) for k in range(lo, hi + 1) if len(w) > k})
