@@ -239,6 +239,24 @@ def test_secret_scan(spark, docs, none):
     assert np.mean([(r.score >= 0.5) == r.label for r in scored]) > 0.93
 
 
+def test_secrets_of_any_shape(spark):
+    """Values set to a name of a secret, of any characters and length; runs without a digit; look-alikes stay."""
+    secret = [
+        ('password = "Tr0ub4dor&3x!" is set', "Tr0ub4dor&3x!"),
+        ("we use password=Tr0ub4dor&3x! here", "Tr0ub4dor&3x!"),
+        ("client_secret: 'kP#9vq!x'", "kP#9vq!x"),
+        ('passphrase = "correct horse battery staple"', "correct horse battery staple"),
+        ("token QzVbXwKjRtPmLsHgFdNcYaZqTrWe now", "QzVbXwKjRtPmLsHgFdNcYaZqTrWe"),
+        ('secret = "' + "QzVbXwKjRtPm" * 6 + '7a"', "QzVbXwKjRtPm" * 6 + "7a"),
+    ]
+    plain = ["the internationalization of misunderstandings", "a self-explanatory state-of-the-art thing", "see src/main/resources/templates", "Password: the user must choose one"]
+    rows = spark.createDataFrame(list(enumerate([t for t, _ in secret] + plain)), "doc_id long, text string")
+    clean = [r.text for r in secret_scan.redact(rows).orderBy("doc_id").collect()]
+    assert [s in t for t, (_, s) in zip(clean, secret)] == [False] * len(secret)  # noqa: B905
+    assert clean[0] == 'password = "[SECRET]" is set' and "&3x!" not in clean[1]
+    assert clean[len(secret) :] == plain
+
+
 def sample(spark, sf_dir, label, mod, held):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").select("doc_id", "text", label).collect()
     split = [(zlib.crc32(str(r[0]).encode()) % mod == held, r[1], r[2]) for r in rows]

@@ -1,6 +1,7 @@
 """Secret scans in DataFrame and SQL functions only.
 
-A regular expression finds candidates: runs of token characters with a digit, and private-key headers. Splitting the text
+A regular expression finds candidates: runs of token characters, values that a name of a secret is set to, and
+private-key headers. Splitting the text
 at them gives their places and the words beside them. Features (length, kinds of characters and transitions between
 them, distinct pairs, coverage by dictionary words, shape of a path, neighbouring words) go through a random forest that
 tells findings from look-alikes. The forest is trained on the driver from labelled findings, a bounded set that is
@@ -21,11 +22,22 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 CHARS = "A-Za-z0-9_+/=\\-"
-#: A candidate: at least 12 token characters with a digit (before it at most 64 without one), or the header of a private key.
-CANDIDATE = rf"(?<![{CHARS}])(?=[A-Za-z_+/=\-]{{0,64}}[0-9])[{CHARS}]{{12,}}+|-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----"
+ASSIGNED_TO = "(?i:passwords?|passwd|passphrase|passcode|pwd|secret|token|credentials?|bearer|auth|authorization|api[_-]?key|(?:access|private|secret|signing|auth|account|client|encryption)[_ -]?key)"
+SEPARATOR = r"[\"']?[ \t]{0,3}[=:]{1,2}>?[ \t]{0,3}"
+BARE = r"[^\s\"'`<>]*[^\s\"'`<>.,;:)\]}]"
+#: A candidate: the header of a private key; what a name of a secret is set to, of any characters and length, bare (with
+#: the name, if no space is between) or in quotes; or at least 12 token characters.
+CANDIDATE = "|".join([
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+    rf"(?<![{CHARS}])[A-Za-z_\-]{{0,30}}{ASSIGNED_TO}=+{BARE}",
+    rf"(?<=[=:>][ \t]{{0,3}}\")(?<={ASSIGNED_TO}{SEPARATOR}\")[^\"\r\n]+(?=\")",
+    rf"(?<=[=:>][ \t]{{0,3}}')(?<={ASSIGNED_TO}{SEPARATOR}')[^'\r\n]+(?=')",
+    rf"(?<=[=:>][ \t]{{0,3}})(?<={ASSIGNED_TO}{SEPARATOR})(?![=:> \t]){BARE}",
+    rf"(?<![{CHARS}])[{CHARS}]{{12,}}+",
+])
 
 # Words that speak for a secret beside it, for another kind of value, and words of ordinary identifiers.
-SECRET_WORDS = "password passwd pwd secret token apikey api_key api-key access_key auth bearer credential private key signing aws client_secret"
+SECRET_WORDS = "password passwd passphrase passcode pwd secret token apikey api_key api-key access_key auth bearer credential private key signing aws client_secret"
 OTHER_WORDS = "sha1 sha256 md5 checksum digest commit hash uuid guid etag revision version id order invoice isbn card phone example sample dummy placeholder test serial build"
 DICTIONARY = "password secret token access client server service config default example sample test user admin data file image index page module version release build source package model order number report record session request response status value"
 
@@ -63,13 +75,16 @@ def features(cand: Column, before: Column, after: Column) -> dict[str, Column]:
         "quoted": flag(before.rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]")),
         "secret_words": flag(lead.rlike(word_pattern(SECRET_WORDS))),
         "other_words": flag(F.concat(lead, F.lit(" "), F.substring(after, 1, 24)).rlike(word_pattern(OTHER_WORDS))),
+        "others": share(rf"[^{CHARS}]"),
+        "vowels": share("(?i)[aeiouy]"),
+        "words": flag(value.rlike(r"^[A-Z]?[a-z]+(?:[-_/][A-Z]?[a-z]+)*$")),
         "placeholder": flag(F.lower(value).rlike("example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0000000|1234567|abcdef")),
     }
 
 
 NAMES = [
     "length", "digits", "upper", "lower", "signs", "hex_only", "kind_changes", "case_changes", "consonant_runs", "distinct",
-    "dictionary", "path", "parts", "uuid", "prefix", "assigned", "quoted", "secret_words", "other_words", "placeholder",
+    "dictionary", "path", "parts", "uuid", "prefix", "assigned", "quoted", "secret_words", "other_words", "others", "vowels", "words", "placeholder",
 ]
 
 
@@ -81,6 +96,8 @@ def labelled_findings(n: int = 1600, seed: int = 7) -> list[dict]:
     word = lambda: r.choice([pick(low, r.randint(2, 9)), *"the and for with from value entry".split()])
     prose = lambda: " ".join(word() for _ in range(r.randint(1, 6)))
     b64 = lambda k: base64.b64encode(r.randbytes(k)).decode().rstrip("=")
+    said = lambda k: "".join(r.choice("bcdfghklmnprstvw") * (r.random() < 0.85) + r.choice("aeiou") + r.choice(["", "", "n", "r", "s", "t", "l", "th", "nd"]) for _ in range(k))
+    mixed = lambda k: "".join(r.sample(pick(low + up, k - 3) + pick(num, 2) + r.choice("&!#%*@^?"), k))
     keys = "password passwd pwd secret token api_key apikey access_key client_secret auth_token".split()
     others = "sha256 md5 checksum commit digest etag revision build serial order invoice".split()
     out: list[dict] = []
@@ -92,7 +109,7 @@ def labelled_findings(n: int = 1600, seed: int = 7) -> list[dict]:
         p, q = prose() + " ", " " + prose()
         name, quote = r.choice(keys), r.choice(['"', "'"])
         eq = r.choice([" = ", "=", ": ", " : "])
-        kind = r.randrange(20)
+        kind = r.randrange(29)
         if kind == 0:
             add(1, p, r.choice(["AKIA", "ASIA"]) + pick(up + "234567", 16), q)
         elif kind == 1:
@@ -131,8 +148,24 @@ def labelled_findings(n: int = 1600, seed: int = 7) -> list[dict]:
             add(0, f"{p}{name}{eq}{quote}", r.choice(["your-token-here-123", "example1234567", "changeme-12345", "xxxxxxxxxxxx1234", "dummy-secret-000001", "sample_key_123456"]), quote + q)
         elif kind == 18:
             add(0, p, "_".join([r.choice(DICTIONARY.split()) for _ in range(r.randint(2, 4))]) + "_" + pick(num, r.randint(1, 4)), q)
-        else:
+        elif kind == 19:
             add(0, p, pick(low, r.randint(10, 24)) + pick(num, r.randint(1, 2)), q)
+        elif kind == 20:
+            add(1, f"{p}{name}{eq}{quote}", mixed(r.randint(6, 20)), quote + q)
+        elif kind == 21:
+            add(1, *((f"{p}", f"{name}={mixed(r.randint(6, 20))}") if eq == "=" else (f"{p}{name}{eq}", mixed(r.randint(6, 20)))), q)
+        elif kind == 22:
+            add(1, f"{p}{name}{eq}{quote}", " ".join(said(r.randint(1, 3)) for _ in range(r.randint(3, 6))), quote + q)
+        elif kind == 23:
+            add(1, f"{p}{name}{eq}{quote}", r.choice([pick(low + up, r.randint(8, 40)), said(r.randint(2, 4)) + pick(num, r.randint(1, 4)), pick(low, r.randint(8, 20)), said(r.randint(3, 5))]), quote + q)
+        elif kind == 24:
+            add(1, p + r.choice(["", name + " "]), pick(low + up, r.randint(20, 48)), q)
+        elif kind in (25, 26):
+            add(0, p, r.choice([said(r.randint(5, 9)), said(r.randint(5, 9)).capitalize(), said(6).upper()]), r.choice([q, "." + q, ":" + q]))
+        elif kind == 27:
+            add(0, p + r.choice(["", "see ", "/"]), r.choice(["-", "_", "/", ""]).join(r.choice([str.capitalize, str])(said(r.randint(2, 4))) for _ in range(r.randint(3, 5))), r.choice([q, ": " + word()]))
+        else:
+            add(0, f"{p}{name}: ", r.choice([*"the this is your must are for and that it a what see not required optional".split(), said(r.randint(1, 3))]), q)
     return out
 
 
@@ -224,8 +257,10 @@ def with_scores(rows: DataFrame, text_col: str, trees: list) -> DataFrame:
     marked = rows.withColumn("gaps", F.split(text_col, CANDIDATE, -1)).withColumn("cands", F.when(F.size("gaps") > 1, F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
     n = F.size("cands")
     steps = F.zip_with(F.slice("gaps", F.lit(1), n), "cands", lambda g, c: F.struct(g.alias("gap"), c.alias("cand")))
-    steps = F.zip_with(steps, F.slice("gaps", F.lit(2), F.greatest(n, F.lit(1))), lambda s, g: F.struct(s["gap"].alias("gap"), s["cand"].alias("cand"), g.alias("next")))
-    valued = F.transform(steps, lambda s: F.struct(F.length(s["gap"]).alias("skip"), F.length(s["cand"]).alias("chars"), *(v.alias(k) for k, v in features(s["cand"], F.right(s["gap"], F.lit(60)), F.left(s["next"], F.lit(60))).items())))
+    # A name of over 12 characters is a candidate itself; the value after it has it in the words before.
+    steps = F.zip_with(steps, F.slice(F.concat(F.array(F.lit("")), "cands"), F.lit(1), n), lambda s, c: F.struct(s["gap"].alias("gap"), s["cand"].alias("cand"), F.concat(F.right(c, F.lit(60)), F.right(s["gap"], F.lit(60))).alias("lead")))
+    steps = F.zip_with(steps, F.slice("gaps", F.lit(2), F.greatest(n, F.lit(1))), lambda s, g: F.struct(s["gap"].alias("gap"), s["cand"].alias("cand"), s["lead"].alias("lead"), g.alias("next")))
+    valued = F.transform(steps, lambda s: F.struct(F.length(s["gap"]).alias("skip"), F.length(s["cand"]).alias("chars"), *(v.alias(k) for k, v in features(s["cand"], F.right(s["lead"], F.lit(60)), F.left(s["next"], F.lit(60))).items())))
     marked = marked.withColumn("valued", F.when(n > 0, valued))
     marked = marked.withColumn("judged", F.expr(f"transform(valued, v -> named_struct('skip', v.skip, 'length', v.chars, 'score', {forest_sql(trees, NAMES, 'v.')}))"))
     begun = F.expr("aggregate(judged, named_struct('at', 0L, 'all', cast(array() AS array<struct<start:bigint,length:int,score:double>>)), (a, v) -> named_struct('at', a.at + v.skip + v.length, 'all', concat(a.all, array(named_struct('start', a.at + v.skip, 'length', v.length, 'score', v.score)))), a -> a.all)")
