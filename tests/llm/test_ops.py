@@ -157,6 +157,12 @@ def test_large_buckets_of_several_classes(spark):
     assert {r.doc_id for r in jaccard_join.one_of_each(rows, **how).collect()} == set(of)
 
 
+def test_one_of_each_without_unique_ids(spark):
+    rows = [(None, PROSE[0]), (None, PROSE[1]), (None, PROSE[1]), (4, PROSE[2]), (4, PROSE[3]), (5, NEAR)]
+    got = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(None, PROSE[0]), (None, PROSE[1]), (4, PROSE[2]), (4, PROSE[3])])
+
+
 def test_blocks_count_links():
     base = np.arange(100, dtype=np.uint64)
     sets = [np.unique(np.concatenate([base[k % 17 :], np.array([1000 + k], np.uint64)])) for k in range(60)]

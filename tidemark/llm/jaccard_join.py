@@ -336,7 +336,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs of the least id of each class, with all their columns."""
+    """The rows of docs of the least id of each class, with all their columns.
+
+    Where ids are null or several texts share one, rows are told apart by id and text: they are numbered in that order.
+    """
+    told = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    if not told.groupBy("id").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).filter("id IS NULL OR lo <> hi").isEmpty():
+        numbers = staged(told.distinct().orderBy("id", "hash").withColumn("__row", F.monotonically_increasing_id()), "numbers")
+        same = docs[id_col].eqNullSafe(numbers["id"]) & (F.xxhash64(docs[text_col]) == numbers["hash"])
+        numbered = staged(docs.join(numbers, same).select(*(docs[c] for c in docs.columns), "__row"), "numbered")
+        return one_of_each(numbered, "__row", text_col, **how).drop("__row")
     keep = near_duplicates(docs, id_col, text_col, count_all=False, **how).filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col)).distinct()
     return docs.join(staged(keep, "kept"), id_col, "left_semi").dropDuplicates([id_col])
 
