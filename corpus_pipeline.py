@@ -15,7 +15,7 @@ from tidemark.llm.secret_scan import redact
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line rules reject go."""
+    """Documents that the line rules reject go, and so do the lines that fail in the others."""
     bound_batches(spark)
     return keep_good(docs)
 

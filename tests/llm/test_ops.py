@@ -101,6 +101,15 @@ def test_quality_rules(docs, none):
     assert not quality_rules.judge(shout, quality_rules.LineRules())["kept"]
 
 
+def test_failing_lines_leave_kept_texts(spark):
+    lines = [PROSE[2], "a | b | c | d | e | f | g | h | i | j", "", PROSE[3], PROSE[3]]
+    rows = spark.createDataFrame([(0, "\n".join(lines)), (1, f"{PROSE[2]}\n\n{PROSE[1]}")], "doc_id long, text string")
+    assert quality_rules.judge("\n".join(lines[:4]), quality_rules.LineRules())["kept"]
+    rows = rows.union(spark.createDataFrame([(2, "\n".join(lines[:4]))], rows.schema))
+    got = by_id(quality_rules.keep_good(rows))
+    assert got[2].text == f"{PROSE[2]}\n{PROSE[3]}" and got[1].text == f"{PROSE[2]}\n\n{PROSE[1]}"
+
+
 def shingles(t):
     words = jaccard_join.WORD.findall(t or "")
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()

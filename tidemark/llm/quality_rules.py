@@ -152,13 +152,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: LineRules | None = None) -> DataFrame:
-    """The rows of docs whose verdict is kept, unchanged, with all their columns."""
+    """The rows of docs whose verdict is kept, with all their columns; lines that fail are cut from the text.
+
+    Texts without such a line are unchanged. Other columns that tell of the text, such as its length, are not adjusted.
+    """
     rules = rules or LineRules()
 
     def run(batches):
         for b in slices(batches, text_col):
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            yield b.filter(pa.array([judge(t, rules)["kept"] for t in texts], pa.bool_()))
+            k = b.schema.get_field_index(text_col)
+            texts = b.column(k).to_pylist()
+            told = [judge(t, rules) for t in texts]
+            clean = pa.array([r["clean_text"] if r["lost_chars"] else t for t, r in zip(texts, told, strict=True)], b.schema.field(k).type)
+            yield b.set_column(k, b.schema.field(k), clean).filter(pa.array([r["kept"] for r in told], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
