@@ -193,7 +193,7 @@ def _classified_documents(t):
     from .classify import is_remote
 
     none = F.lit(None).cast("string")
-    return t.documents.select("doc_id", is_remote(F.substring("text", 1, 60), none, none, F.col("text")).alias("is_remote"))
+    return t.documents.select("doc_id", is_remote(F.col("text"), none, none, F.col("text")).alias("is_remote"))
 
 
 @query(
