@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,15 +34,21 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a session on a local master, such as a test's, gets a folder of its own; on a cluster that would be
+    another folder on every machine, so there it is an error.
+    """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             got = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
             got = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
             spark.sparkContext.setCheckpointDir(got)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return got.rstrip("/")
 
 
@@ -72,6 +78,25 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, or name with underscores before it, so that no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def with_row(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """id, text (null is empty) and row, a key: the id, if ids are that, else a number that is written down with the text.
+
+    Also whether row is the id.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if rows.groupBy("id").agg(F.count("*").alias("n")).filter("id IS NULL OR n > 1").isEmpty():
+        return rows.withColumn("row", F.col("id")), True
+    return staged(rows.withColumn("row", F.monotonically_increasing_id()), "numbered"), False
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -92,5 +117,19 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 <
         yield b.slice(start)
 
 
-def in_blocks(df: DataFrame, fn, schema: str, barrier: bool = False) -> DataFrame:
-    return df.mapInArrow(fn, schema, barrier)
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, by: Column, how: str = "inner", also: DataFrame | None = None) -> DataFrame:
+    """left joined with right on keys, the hot keys spread over several tasks. right is staged and has a row for each key.
+
+    weight, a column of right, is about how many rows of left have the key. A key with more than 1 / (8 * partitions) of
+    them all is dealt over salts of that size, by the hash of `by`, and its row of right is repeated for each. There are
+    fewer than 8 * partitions such keys, whatever the data, so they may be broadcast. left is read once. Null keys meet
+    nothing. The weight stays a column of the result. also, with a row for each key too, is joined to right on the way.
+    """
+    least = max(1000, int(right.agg(F.sum(weight)).first()[0] or 0) // (8 * shuffle_parts(left.sparkSession)))
+    salts = F.ceil(F.col(weight) / least).cast("long")
+    hot = right.filter(F.col(weight) > least).select(*keys, salts.alias("__salts"))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("__salts")))).drop("__salts")
+    repeated = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(salts, F.lit(1).cast("long")) - 1)))
+    if also is not None:
+        repeated = repeated.join(also, keys)
+    return dealt.withColumn("__salt", F.col("__salt").cast("long")).join(repeated, [*keys, "__salt"], how).drop("__salt")
