@@ -9,11 +9,13 @@ Equal windows have equal anchors at equal places, so only strings around equal a
    They are aligned at the anchor, and the collection is built column by column from the right: each round inserts one
    symbol of every string, and updates the order of all suffixes (the collection's positional Burrows-Wheeler transform)
    and the common prefixes of neighbours. A window repeats if its common prefix with a neighbour reaches `length`.
-   The rounds run over sequential blocks of at most `block` strings, which Spark's sort hands over as sorted runs and
+   The rounds run over sequential blocks of about `block` strings, which Spark's sort hands over as sorted runs and
    spills to disk if need be; an anchor's strings are always in one block.
-3. Anchors with more than `block` different units go by an exact way beside it: their windows are counted by hash.
+3. Anchors with more than `widest` different units go by an exact way beside it, so that no task gets them all: their
+   windows are counted by hash.
 
-Runs of repeated windows then meet per document, are united and cut out.
+Runs of repeated windows then meet per document, are united and cut out. Anchors, units and windows that many rows share
+are dealt over many tasks (`salted_join`).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, read_table, shuffle_parts, slices, staged, unstage
+from .common import free_shuffles, read_table, salted_join, shuffle_parts, slices, staged, unstage, with_row
 
 GRAM = 40
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -134,8 +136,8 @@ def runs_of(flags: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True)
 
 
-def repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, block: int = 20_000) -> DataFrame:
-    """docs: (row, text); row is a key of docs. A row per run of repeated windows: row, first, last (bytes)."""
+def repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, block: int = 20_000, widest: int = 1_000) -> DataFrame:
+    """docs: (row, text); row is a key of docs, never null. A row per run of repeated windows: row, first, last (bytes)."""
     spark = docs.sparkSession
     ids = dict(docs.dtypes)["row"]
 
@@ -157,16 +159,16 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, block: int = 2
     counts = staged(every.groupBy("anchor", "unit").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("one")), "units")
     shared = staged(counts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("n").alias("n")).filter((F.col("kinds") > 1) | (F.col("n") > 1)), "anchors")
     free_shuffles(spark)
-    told = staged(counts.join(shared.select("anchor", "kinds"), "anchor").filter((F.col("kinds") > 1) | (F.col("n") > 1)), "shared-units")
+    told = staged(salted_join(counts, shared.select("anchor", "kinds"), ["anchor"], "kinds", F.col("unit")).filter((F.col("kinds") > 1) | (F.col("n") > 1)), "shared-units")
     unstage(counts, shared)
     # Only units that need more than their count: a unit of its own kind, or the one that stands for its copies.
     used = told.select("unit", "kinds", "n", "one")
-    met = staged(every.join(used, "unit"), "met")
+    met = staged(salted_join(every.drop("anchor"), told.select("anchor", *used.columns), ["unit"], "n", F.struct("row", "first")), "met")
     unstage(told)
     free_shuffles(spark)
     whole = met.filter(F.col("n") > 1).select("row", "first", "last")
     ragged = met.filter((F.col("kinds") > 1) & (F.struct("row", "first") == F.col("one")))
-    need = staged(ragged.groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "last", (F.col("n") == 1).alias("open"), (F.col("kinds") > block).alias("wide"))).alias("need")), "need")
+    need = staged(ragged.groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "last", (F.col("n") == 1).alias("open"), (F.col("kinds") > widest).alias("wide"))).alias("need")), "need")
 
     def strings(batches):
         for b in slices(batches, "text", 4 << 20):
@@ -240,8 +242,8 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, block: int = 2
     found = [whole, staged(by_columns, "columns")]
     if not cuts.filter("wide").isEmpty():
         wide = staged(cuts.filter(F.col("wide")).select("row", "first", "last", "open", "data").mapInArrow(windows, f"window binary, row {ids}, first int, open boolean"), "windows")
-        twice = staged(wide.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window"), "twice")
-        found.append(wide.filter("open").join(twice, "window").select("row", "first", F.col("first").alias("last")))
+        twice = staged(wide.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
+        found.append(salted_join(wide.filter("open"), twice, ["window"], "n", F.struct("row", "first")).select("row", "first", F.col("first").alias("last")))
     unstage(cuts)
     return found[0].unionByName(found[1]) if len(found) == 2 else found[0].unionByName(found[1]).unionByName(found[2])
 
@@ -251,16 +253,16 @@ def anchor_place(data: bytes, length: int, gram: int) -> int:
     return int(window_minima(gram_hashes(np.frombuffer(data[:length], np.uint8), gram), length - gram + 1)[0])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = GRAM, block: int = 20_000, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = GRAM, block: int = 20_000, widest: int = 1_000, with_text: bool = False) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the kept bytes.
 
     Bytes under a string of `length` bytes that starts anywhere else too, in the same text or another, are removed; they
-    are judged on the input. Null is the empty text, which loses nothing. Rows that repeat an id are rows of their own if
-    they differ in text or not: ids must be unique for that, else rows of one id share their runs. Other columns are ignored.
+    are judged on the input. Null is the empty text, which loses nothing. Rows that repeat an id, with the same text or
+    another, and rows whose id is null are rows of their own: equal texts take each other's bytes. Other columns are ignored.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    runs = repeats(rows, length, gram, block).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    rows, _ = with_row(docs, id_col, text_col)
+    runs = repeats(rows.select("row", "text"), length, gram, block, widest).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     free_shuffles(spark)
 
     def run(batches):
@@ -282,7 +284,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             cols = [b.column(0), *(pa.array(c, pa.int64()) for c in (n_bytes, removed, spans)), pa.array(digest, pa.string())] + [pa.array(kept, pa.binary())] * with_text
             yield pa.RecordBatch.from_arrays(cols, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
 
-    return rows.join(runs, "row", "left").select("row", "text", "runs").mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text).withColumnRenamed("id", id_col)
+    return rows.join(runs, "row", "left").select("id", "text", "runs").mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text).withColumnRenamed("id", id_col)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
