@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, html_extraction, jaccard_join, packing, quality_crf, quality_rules, secret_scan, suffix_dedup, toxicity
+from tidemark.llm import byte_bpe, common, exact_dedup, html_extraction, jaccard_join, packing, quality_crf, quality_rules, secret_scan, suffix_dedup, toxicity
 from tidemark.llm.labelled import apply_logistic
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -25,7 +25,7 @@ TEXTS = [None, "", " ", "\n\n", PROSE[0], PROSE[0], PROSE[0], PROSE[1], PROSE[2]
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    """Ids unique; the last row is given twice. Columns that operators use inside are there as well."""
+    """Ids unique. Columns that operators use inside are there as well."""
     rows = [(k, t, "en", "s", 0, "row", 1) for k, t in enumerate(TEXTS)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, id int, row string, n int")
 
@@ -53,6 +53,39 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_digest_runs_are_sorted_and_merged(docs):
+    """Runs go through sorts and sort aggregates only, at every level of the tree."""
+    plan = exact_dedup.tree_merge(exact_dedup.digests(docs))._jdf.queryExecution().sparkPlan().toString()
+    final = exact_dedup.tree_merge(exact_dedup.digests(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan + final and plan.count("SortAggregate") == 2 * final.count("Sort [")
+
+
+def test_exact_dedup_on_null_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(None, "a"), (None, "a"), (3, "a"), (3, "a"), (3, "b"), (None, "b"), (None, "c"), (7, None), (8, "")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(rows).collect())
+    assert got == Counter({(None, 3, 4, False): 2, (3, 3, 4, True): 2, (3, 3, 2, True): 1, (None, 3, 2, False): 1, (None, None, 1, True): 1, (7, 7, 2, True): 1, (8, 7, 2, False): 1})
+    assert Counter((r.doc_id, r.text) for r in exact_dedup.unique_documents(rows).collect()) == Counter([(3, "a"), (3, "b"), (None, "c"), (7, None)])
+
+
+def test_salted_join(spark, monkeypatch):
+    left = spark.range(9000).selectExpr("id", "if(id % 3 = 0, id, 7) AS k")
+    right = left.groupBy("k").agg(F.count("*").alias("w"))
+    got = common.salted_join(left, right, ["k"], "w", F.col("id"))
+    assert got.count() == 9000 and got.select("id").distinct().count() == 9000 and got.filter("w <> if(id % 3 = 0, 1, 6000)").count() == 0
+
+
+def test_shared_dir_on_a_cluster(spark, monkeypatch):
+    class Fake:
+        conf = {}
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Fake())
+
+
 def brute_repeats(texts, length):
     data = [(t or "").encode() for t in texts]
     count = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
@@ -66,14 +99,24 @@ def brute_repeats(texts, length):
         yield len(d), int(gone.sum()), sum(1 for _ in suffix_dedup.runs_of(gone)), hashlib.sha256(np.frombuffer(d, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-@pytest.mark.parametrize("block", [20_000, 2])
-def test_suffix_dedup(docs, none, block):
-    got = by_id(suffix_dedup.dedup(docs, block=block))
+@pytest.mark.parametrize(("block", "widest"), [(20_000, 1_000), (2, 1_000), (20_000, 2)])
+def test_suffix_dedup(docs, none, block, widest):
+    got = by_id(suffix_dedup.dedup(docs, block=block, widest=widest))
     for k, want in enumerate(brute_repeats(TEXTS, 200)):
         assert tuple(got[k])[1:] == want, k
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_suffix_dedup_on_any_ids(spark):
+    """Null ids, ids that repeat with their text and with another."""
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(900))
+    texts = [passage, passage[100:700] + "x" * 50, "other " * 80, passage, passage[300:] + "tail", "short", None]
+    rows = list(zip([None, None, 2, 2, 2, 5, None], texts, strict=True))
+    got = suffix_dedup.dedup(spark.createDataFrame(rows * 2, "doc_id long, text string")).collect()
+    want = zip([k for k, _ in rows] * 2, brute_repeats(texts * 2, 200), strict=True)
+    assert Counter(map(tuple, got)) == Counter((k, *w) for k, w in want)
+
+
 def test_columns_find_what_hashes_find():
     r = np.random.default_rng(3)
     grid = r.integers(97, 99, (40, 30), dtype=np.uint8)
@@ -166,6 +209,82 @@ def test_large_buckets_of_several_classes(spark):
     assert {r.doc_id for r in jaccard_join.one_of_each(rows, **how).collect()} == set(of)
 
 
+def linked_pairs(texts, threshold=0.8):
+    """All links of the texts by counting shared shingles, with numpy."""
+    sets = [shingles(t) for t in texts]
+    code = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    grid = np.zeros((len(texts), len(code)), np.float32)
+    for k, own in enumerate(sets):
+        grid[k, [code[g] for g in own]] = 1
+    shared, size = grid @ grid.T, grid.sum(1)
+    i, j = np.nonzero(np.triu(shared >= (threshold - 1e-9) * (size[:, None] + size - shared), 1))
+    return list(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def expected_classes(n, links):
+    of = list(range(n))
+
+    def root(v):
+        while of[v] != v:
+            of[v] = of[of[v]]
+            v = of[v]
+        return v
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        of[max(a, b)] = min(a, b)
+    return [root(k) for k in range(n)]
+
+
+def dense_group(n, words, changes, seed):
+    """Texts that differ from one base in a few words each: most pairs are a little less alike than a link needs."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(5000)}" for _ in range(words)]
+    for k in range(n):
+        own = list(base)
+        for c in r.sample(range(words), changes[k % len(changes)]):
+            own[c] = f"v{k}x{c}"
+        yield " ".join(own)
+
+
+def test_dense_group_loses_no_link(spark):
+    """Hundreds of texts of about 1,000 words in one large bucket, of median similarity below a link's."""
+    texts = list(dense_group(800, 1000, [2, 14, 24, 30, 34, 8], 4))
+    links = linked_pairs(texts)
+    assert 20_000 < len(links) < 0.6 * 800 * 799 / 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(jaccard_join.near_duplicates(rows))
+    degree = Counter(x for pair in links for x in pair)
+    assert [got[k].class_id for k in range(800)] == expected_classes(800, links)
+    assert [got[k].n_links for k in range(800)] == [degree[k] for k in range(800)]
+
+
+def test_recall_of_pairs(spark):
+    """Pairs a little above the least similarity, each alone: the runs together find 99 in 100, one in 200 less by chance."""
+    r = random.Random(8)
+    texts = []
+    for k in range(1500):
+        base = [f"p{k}w{j}" for j in range(120)]
+        other = list(base)
+        for c in r.sample(range(0, 120, 6), 2):
+            other[c] = f"q{k}x{c}"
+        texts += [" ".join(base), " ".join(other)]
+    links = linked_pairs_of(texts)
+    found = jaccard_join.links(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))[1].select("a", "b").collect()
+    assert {tuple(x) for x in found} <= set(links) and len(found) >= 0.985 * len(links) > 1000
+
+
+def linked_pairs_of(texts):
+    sets = [shingles(t) for t in texts]
+    return [(k, k + 1) for k in range(0, len(texts), 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])]
+
+
+def test_jaccard_join_on_any_ids(spark):
+    rows = [(None, PROSE[3]), (None, NEAR), (9, PROSE[3] + " tail"), (4, PROSE[0]), (4, PROSE[1]), (None, PROSE[2]), (None, ""), (6, None), (4, PROSE[0])]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == Counter([(None, 9, 2), (None, 9, 2), (9, 9, 2), (4, 4, 1), (4, 4, 0), (None, None, 0), (None, None, 0), (6, 6, 0), (4, 4, 1)])
+
+
 def test_one_of_each_without_unique_ids(spark):
     rows = [(None, PROSE[0]), (None, PROSE[1]), (None, PROSE[1]), (4, PROSE[2]), (4, PROSE[3]), (5, NEAR)]
     got = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()

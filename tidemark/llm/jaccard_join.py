@@ -20,10 +20,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, read_table, slices, staged, unstage
+from .common import free_shuffles, read_table, salted_join, slices, staged, unstage, with_row
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -117,6 +117,42 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def verified(near: DataFrame, text: DataFrame, kind: str, threshold: float, width: int, together: int = 64) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) that are linked. text: (id, text).
+
+    The pairs of an a are dealt into groups of about `together`. A group holds a's text once and that of each b, sorted so
+    that a comes first, and is compared as its rows go by.
+    """
+    met = staged(near.groupBy("a").agg(F.count("*").alias("n")), "met")
+    dealt = salted_join(near, met, ["a"], "n", F.col("b")).withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / together)))
+    members = staged(dealt.select("a", "part", F.col("b").alias("id")), "members")
+    members = members.union(members.select("a", "part", F.col("a").alias("id")).distinct())
+    often = staged(members.groupBy("id").agg(F.count("*").alias("n")), "often")
+    rows = salted_join(members, often, ["id"], "n", F.struct("a", "part"), also=text)
+    rows = rows.select("a", "part", "id", "text", (F.col("a") != F.col("id")).alias("later")).repartition("a", "part").sortWithinPartitions("a", "part", "later")
+
+    def compare(batches):
+        shingles = Shingler(width)
+        own, g = None, None
+        for b in slices(batches, "text"):
+            first, second, told = [], [], []
+            for a, part, x, t, later in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                h = shingles(t)
+                if not later:
+                    own, g = (a, part), h
+                    continue
+                assert own == (a, part)
+                shared = len(np.intersect1d(g, h, assume_unique=True))
+                similarity = shared / (len(g) + len(h) - shared)
+                if similarity >= threshold - 1e-12:
+                    first.append(a)
+                    second.append(x)
+                    told.append(similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(first, b.column(0).type), pa.array(second, b.column(0).type), pa.array(told, pa.float64())], ["a", "b", "similarity"])
+
+    return rows.mapInArrow(compare, f"a {kind}, b {kind}, similarity double")
+
+
 def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.99, coords: int = 64, small: int = 48, first_level: int = 2, depth: int = 5) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """docs: (id, text). Classes of equal sets: (id, set, rep, copies); verified links between them: (a, b, similarity), a < b;
     and, if there are any, the large buckets of the last level, whose members met their pivot only: (key, rep)."""
@@ -135,7 +171,7 @@ def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float
     sets = staged(docs.select("id", "text").mapInArrow(embed, f"id {kind}, set binary, n int, sig array<int>"), "sets")
     known = sets.filter(F.col("set").isNotNull())
     reps = staged(known.groupBy("set").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "reps")
-    told = staged(known.join(reps, "set").filter(F.col("id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "n", "sig"), "told")
+    told = staged(salted_join(known, reps, ["set"], "copies", F.col("id")).filter(F.col("id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "n", "sig"), "told")
 
     def start(batches):
         for b in batches:
@@ -170,7 +206,7 @@ def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float
         if large.isEmpty():
             unstage(rows, sizes)
             break
-        left = rows.join(large.select("key"), "key")
+        left = salted_join(rows, staged(large, "large-keys"), ["key"], "size", F.col("rep")).drop("size")
         if level == depth:
             crowd = left = staged(left, "large")
             order = F.xxhash64("rep", "run")
@@ -194,27 +230,10 @@ def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float
     near = staged(near.filter(F.expr(f"size(filter(zip_with(x, y, (u, v) -> u = v), e -> e)) >= {least}")).select("a", "b"), "near")
     unstage(*found)
     text = docs.select("id", "text").join(told.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    both = near.join(text.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(text.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
-
-    def verify(batches):
-        shingles = Shingler(width)
-        for b in slices(slices(batches, "s"), "t"):
-            held: dict = {}
-            out = []
-            for x, y, s, t in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                for key, own in ((x, s), (y, t)):
-                    if key not in held:
-                        held[key] = shingles(own)
-                g, h = held[x], held[y]
-                shared = len(np.intersect1d(g, h, assume_unique=True))
-                out.append(shared / (len(g) + len(h) - shared))
-            keep = np.array(out) >= threshold - 1e-12
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"]).filter(pa.array(keep))
-
-    sure = staged(both.select("a", "b", "s", "t").mapInArrow(verify, f"a {kind}, b {kind}, similarity double"), "links")
+    sure = staged(verified(near, text, kind, threshold, width), "links")
     unstage(near, told)
     free_shuffles(docs.sparkSession)
-    return sets.select("id", "set").join(reps, "set", "left"), sure, crowd.select("key", "rep") if crowd is not None else None
+    return sets.select("id", "set").filter(F.col("set").isNull()).withColumns({"rep": F.lit(None).cast(kind), "copies": F.lit(None).cast("long")}).unionByName(salted_join(known.select("id", "set"), reps, ["set"], "copies", F.col("id"))), sure, crowd.select("key", "rep") if crowd is not None else None
 
 
 def linked_sets(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -241,25 +260,45 @@ def block_links(sets: list[np.ndarray], copies: np.ndarray, blocks: np.ndarray,
     return linked @ copies
 
 
-def in_block_pairs(large: DataFrame, block: int) -> DataFrame:
-    """large has rep and m, the size of the row's group: each row once for every pair of the group's blocks (lo, hi) with its own."""
-    n_blocks = F.ceil(F.col("m") / block)
-    rows = large.withColumn("own", F.pmod(F.xxhash64("rep"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+def hashed_sets(large: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """large, a row for each rep, with `shingles`: the bytes of its set, hashed from its text once. rows: (id, text)."""
+    kind = dict(large.dtypes)["rep"]
+
+    def run(batches):
+        shingles = Shingler(width)
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["rep", "shingles"])
+
+    own = rows.join(large.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    return staged(own.select("id", "text").mapInArrow(run, f"rep {kind}, shingles binary"), "hashed")
+
+
+def block_count(m: str, shingles: str, block: int, most: int) -> Column:
+    """Blocks of a group of m sets: so many that one has about `block` sets and `most` shingles at the most."""
+    return F.greatest(F.ceil(F.col(m) / block), F.ceil(F.col(shingles) / most))
+
+
+def in_block_pairs(large: DataFrame) -> DataFrame:
+    """large has rep and n_blocks, of the row's group: each row once for every pair of the group's blocks (lo, hi) with its own."""
+    rows = large.withColumn("own", F.pmod(F.xxhash64("rep"), "n_blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     return rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
 
-def links_across(crowd: DataFrame, labels: DataFrame, rows: DataFrame, threshold: float, width: int, block: int = 256) -> DataFrame:
+def links_across(crowd: DataFrame, labels: DataFrame, rows: DataFrame, threshold: float, width: int, block: int = 1024, most: int = 2 << 20) -> DataFrame:
     """(a, b): verified links that join the classes which a large bucket's members are of so far. crowd: (key, rep).
 
     Buckets of one class are settled, and of buckets with the same members one is enough. The others are dealt over blocks,
     and each pair of blocks is compared in one task, which returns at most one link for two classes.
     """
     kind = dict(crowd.dtypes)["rep"]
-    of = crowd.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    of = staged(crowd.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("c", "rep")), "crowd-classes")
     mixed = of.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c"), F.max("c").alias("d"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.max(F.xxhash64("rep")).alias("y")).filter("c <> d")
-    once = mixed.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m")
-    dealt = staged(in_block_pairs(of.join(once, "key"), block).select("key", "rep", "c", "own", "lo", "hi"), "dealt")
-    text = rows.join(dealt.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "text")
+    once = staged(mixed.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"), "mixed")
+    kept = staged(salted_join(of, once, ["key"], "m", F.col("rep")), "mixed-rows")
+    hashed = hashed_sets(kept, rows, width)
+    sized = staged(kept.join(hashed.select("rep", (F.octet_length("shingles") / 8).cast("long").alias("n")), "rep").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total")), "mixed-sizes")
+    dealt = salted_join(kept.drop("m"), sized, ["key"], "m", F.col("rep")).withColumn("n_blocks", block_count("m", "total", block, most))
+    dealt = in_block_pairs(dealt).select("key", "rep", "c", "own", "lo", "hi")
 
     def run(pdf):
         import pandas as pd
@@ -268,33 +307,34 @@ def links_across(crowd: DataFrame, labels: DataFrame, rows: DataFrame, threshold
         rep, blocks, code = pdf["rep"].to_numpy(), pdf["own"].to_numpy(), pd.factorize(pdf["c"])[0]
         alone = pdf["lo"].iloc[0] != pdf["hi"].iloc[0] and blocks.min() == blocks.max()
         if not alone and code.max() > 0:
-            shingles = Shingler(width)
-            i, j = np.nonzero(linked_sets([shingles(t) for t in pdf["text"]], threshold) & (code[:, None] < code))
+            sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
+            i, j = np.nonzero(linked_sets(sets, threshold) & (code[:, None] < code))
             first = np.unique(code[i].astype(np.int64) * len(code) + code[j], return_index=True)[1]
             out = [(min(x, y), max(x, y)) for x, y in zip(rep[i[first]], rep[j[first]], strict=True)]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return dealt.join(text, "rep").groupBy("key", "lo", "hi").applyInPandas(run, f"a {kind}, b {kind}")
+    return dealt.join(hashed, "rep").groupBy("key", "lo", "hi").applyInPandas(run, f"a {kind}, b {kind}")
 
 
-def links_in_large(large: DataFrame, text: DataFrame, threshold: float, width: int, block: int = 256) -> DataFrame:
-    """(rep, linked) for classes of many different sets: large has rep, c, m (sets of the class) and copies.
+def links_in_large(large: DataFrame, rows: DataFrame, threshold: float, width: int, block: int = 1024, most: int = 2 << 20) -> DataFrame:
+    """(rep, linked) for classes of many different sets: large has rep, c, m (sets of the class) and copies; rows: (id, text).
 
-    A class is dealt over blocks, and each pair of its blocks is compared in one task, which returns sums, not pairs. The
-    work grows with the square of a class's different sets, the memory of a task does not grow.
+    Texts are hashed once. A class is dealt over blocks, and each pair of its blocks is compared in one task, which returns
+    sums, not pairs. The work grows with the square of a class's different sets, the memory of a task does not grow.
     """
     kind = dict(large.dtypes)["rep"]
-    told = in_block_pairs(large, block).select("rep", "c", "copies", "own", "lo", "hi")
-    told = told.join(text, "rep")
+    hashed = hashed_sets(large, rows, width)
+    sized = staged(large.join(hashed.select("rep", (F.octet_length("shingles") / 8).cast("long").alias("n")), "rep").groupBy("c").agg(F.count("*").alias("m"), F.sum("n").alias("total")), "class-sizes")
+    dealt = salted_join(large.drop("m"), sized, ["c"], "m", F.col("rep")).withColumn("n_blocks", block_count("m", "total", block, most))
+    told = in_block_pairs(dealt).select("rep", "c", "copies", "own", "lo", "hi").join(hashed, "rep")
 
     def run(pdf):
         import pandas as pd
 
-        shingles = Shingler(width)
         blocks = pdf["own"].to_numpy()
         if pdf["lo"].iloc[0] != pdf["hi"].iloc[0] and blocks.min() == blocks.max():
             return pd.DataFrame({"rep": pdf["rep"], "linked": 0})
-        got = block_links([shingles(t) for t in pdf["text"]], pdf["copies"].to_numpy(), blocks, threshold)
+        got = block_links([np.frombuffer(s, np.uint64) for s in pdf["shingles"]], pdf["copies"].to_numpy(), blocks, threshold)
         return pd.DataFrame({"rep": pdf["rep"], "linked": got.astype("int64")})
 
     return told.groupBy("c", "lo", "hi").applyInPandas(run, f"rep {kind}, linked long").groupBy("rep").agg(F.sum("linked").alias("linked"))
@@ -305,30 +345,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     n_links counts the other rows that the row is linked with: those of its own set, and of the sets linked with it. In
     classes of more than `small` different sets, and in those with a set of a large bucket, the links are counted anew,
-    block by block (not if count_all is off). Texts without words have no set: each is a class of its own, without links. Rows that repeat an
-    id and text are copies of each other; ids are otherwise unique. Other columns are ignored.
+    block by block (not if count_all is off). Texts without words have no set: each is a class of its own, without links.
+    Rows that repeat an id, with the same text or another, and rows whose id is null are rows of their own; a class of such
+    rows only has a null class_id. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows, plain = with_row(docs, id_col, text_col)
+    told = classes(rows.select(F.col("row").alias("id"), "text"), threshold, width, small, count_all, **how)
+    if not plain:
+        told = staged(told.join(rows.select(F.col("row").alias("id"), F.col("id").alias("own")), "id"), "numbered-classes")
+        for part in ("class_id", "rep_id"):
+            least = staged(told.groupBy(part).agg(F.min("own").alias("least"), F.count("*").alias("n")), "least")
+            told = salted_join(told, least, [part], "n", F.col("id")).drop("n", part).withColumnRenamed("least", part)
+        told = told.drop("id").withColumnRenamed("own", "id")
+    return told.select(F.col("id").alias(id_col), "class_id", "rep_id", "n_links")
+
+
+def classes(rows: DataFrame, threshold: float, width: int, small: int, count_all: bool, **how) -> DataFrame:
+    """near_duplicates of rows (id, text) whose ids are a key."""
     members, sure, crowd = links(rows, threshold=threshold, width=width, small=small, **how)
     labels = components(sure)
     if crowd is not None:
         more = staged(links_across(crowd, labels, rows, threshold, width), "across")
         if not more.isEmpty():
             labels = components(labels.filter("c <> v").select(F.col("c").alias("a"), F.col("v").alias("b")).union(more))
-    sizes = members.filter(F.col("id") == F.col("rep")).select("rep", "copies").distinct()
+    sizes = staged(members.filter(F.col("id") == F.col("rep")).select("rep", "copies").distinct(), "sizes")
     both = sure.select("a", "b").union(sure.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("linked"))
     of_rep = staged(labels.join(degree, labels["v"] == degree["rep"], "left").select(F.col("v").alias("rep"), "c", "linked"), "classes")
     met = of_rep.select(F.lit(False).alias("met"), "rep", "c") if crowd is None else of_rep.join(crowd.select("rep", F.lit(True).alias("met")).distinct(), "rep", "left").select("met", "rep", "c")
     wide = staged(met.groupBy("c").agg(F.count("*").alias("m"), F.max("met").alias("met")).filter((F.col("m") > small) | F.col("met")).select("c", "m"), "large-classes")
     if count_all and not wide.isEmpty():
-        large = staged(of_rep.join(wide, "c").join(sizes, "rep").select("rep", "c", "m", "copies"), "large")
-        text = rows.join(large.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "text")
-        anew = staged(links_in_large(large, text, threshold, width), "anew").withColumnRenamed("linked", "exact")
+        large = staged(salted_join(of_rep, wide, ["c"], "m", F.col("rep")).join(sizes, "rep").select("rep", "c", "m", "copies"), "large")
+        anew = staged(links_in_large(large, rows, threshold, width), "anew").withColumnRenamed("linked", "exact")
         of_rep = staged(of_rep.join(anew, "rep", "left").select("rep", "c", F.coalesce("exact", "linked").alias("linked")), "classes")
-    out = members.join(of_rep, "rep", "left")
+    out = salted_join(members.drop("copies"), staged(sizes.join(of_rep, "rep", "left"), "rep-links"), ["rep"], "copies", F.col("id"), "left")
     return out.select(
-        F.col("id").alias(id_col),
+        "id",
         F.coalesce("c", "rep", "id").alias("class_id"),
         F.coalesce("rep", "id").alias("rep_id"),
         (F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
