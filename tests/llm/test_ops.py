@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex as re
 from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, common, exact_dedup, html_extraction, jaccard_join, packing, quality_crf, quality_rules, secret_scan, suffix_dedup, toxicity
@@ -383,6 +384,12 @@ def test_secrets_of_any_shape(spark):
         ("token QzVbXwKjRtPmLsHgFdNcYaZqTrWe now", "QzVbXwKjRtPmLsHgFdNcYaZqTrWe"),
         ('secret = "' + "QzVbXwKjRtPm" * 6 + '7a"', "QzVbXwKjRtPm" * 6 + "7a"),
     ]
+    secret += [
+        ('password = "correcthorsebatterystaple" here', "correcthorsebatterystaple"),
+        ('api_key="QwErTyUiOpAsDfGhJkLz"', "QwErTyUiOpAsDfGhJkLz"),
+        ("postgres://app:Xk4vQ9mLpz2@db.example.org/main", "Xk4vQ9mLpz2"),
+        ("token " + "QzVbXwKjRtPmLsHg" * 5 + "7Qr9 end", "QzVbXwKjRtPmLsHg" * 5 + "7Qr9"),
+    ]
     plain = ["the internationalization of misunderstandings", "a self-explanatory state-of-the-art thing", "see src/main/resources/templates", "Password: the user must choose one"]
     rows = spark.createDataFrame(list(enumerate([t for t, _ in secret] + plain)), "doc_id long, text string")
     clean = [r.text for r in secret_scan.redact(rows).orderBy("doc_id").collect()]
@@ -391,6 +398,39 @@ def test_secrets_of_any_shape(spark):
     assert clean[len(secret) :] == plain
 
 
+def test_candidates_by_brute_force(spark):
+    """The scan's places against another engine's, on texts of pieces that stand next to each other in any order."""
+    r = random.Random(12)
+    bits = ['password', 'api_key', ' = ', '=', ': ', '"', "'", "é🙂", " ", "\n", "://", "user:", "@", "host.org", "-----BEGIN RSA PRIVATE KEY-----", "a1b2c3d4e5f6", "QwErTyUiOpAs", "x" * 70 + "9", "secret", "/", "Tr0ub&3", ".", "12345"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scored, of = secret_scan.with_scores(rows, "text", secret_scan.train(spark), chunk=3)
+    told = re.compile(secret_scan.CANDIDATE)
+    for x in scored.select("text", of["cands"], of["scored"]).collect():
+        want = [(m.start(), len(m[0]), m[0]) for m in told.finditer(x[0])]
+        assert [(p.start, p.length, c) for c, p in zip(x[1], x[2], strict=True)] == want, x[0]
+
+
+def test_many_candidates_in_linear_time(spark):
+    import time
+
+    trees = secret_scan.train(spark)
+    took = []
+    for n in (10_000, 40_000):
+        rows = spark.createDataFrame([(0, "see a1b2c3d4e5f6a7 " * n)], "doc_id long, text string")
+        secret_scan.scan(rows, trees=trees).collect()
+        began = time.time()
+        assert secret_scan.scan(rows, trees=trees).collect()[0].n_candidates == n
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, 'token = "d8ed425dbdaa383537b4fea24b37ed72645ac62d"', "a", "b", "c", "d", "e")], "doc_id long, text string, cands string, gaps string, valued string, __cands string, __text string")
+    got = secret_scan.redact(rows).collect()[0]
+    assert tuple(got) == (1, 'token = "[SECRET]"', "a", "b", "c", "d", "e")
+
+
 def sample(spark, sf_dir, label, mod, held):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").select("doc_id", "text", label).collect()
     split = [(zlib.crc32(str(r[0]).encode()) % mod == held, r[1], r[2]) for r in rows]

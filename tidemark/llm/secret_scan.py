@@ -19,16 +19,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import free_name, read_table
 
 CHARS = "A-Za-z0-9_+/=\\-"
 ASSIGNED_TO = "(?i:passwords?|passwd|passphrase|passcode|pwd|secret|token|credentials?|bearer|auth|authorization|api[_-]?key|(?:access|private|secret|signing|auth|account|client|encryption)[_ -]?key)"
 SEPARATOR = r"[\"']?[ \t]{0,3}[=:]{1,2}>?[ \t]{0,3}"
 BARE = r"[^\s\"'`<>]*[^\s\"'`<>.,;:)\]}]"
-#: A candidate: the header of a private key; what a name of a secret is set to, of any characters and length, bare (with
-#: the name, if no space is between) or in quotes; or at least 12 token characters.
+#: A candidate: the header of a private key; the password of a url; what a name of a secret is set to, of any characters
+#: and length, bare (with the name, if no space is between) or in quotes; or at least 12 token characters.
 CANDIDATE = "|".join([
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+    r"(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/@\"'<>]+(?=@)",
     rf"(?<![{CHARS}])[A-Za-z_\-]{{0,30}}{ASSIGNED_TO}=+{BARE}",
     rf"(?<=[=:>][ \t]{{0,3}}\")(?<={ASSIGNED_TO}{SEPARATOR}\")[^\"\r\n]+(?=\")",
     rf"(?<=[=:>][ \t]{{0,3}}')(?<={ASSIGNED_TO}{SEPARATOR}')[^'\r\n]+(?=')",
@@ -72,6 +73,7 @@ def features(cand: Column, before: Column, after: Column) -> dict[str, Column]:
         "uuid": flag(value.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")),
         "prefix": flag(value.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk[-_]|pk[-_]|rk_|xox[abprs]-|AIza|eyJ|SG\.|npm_|-----BEGIN)")),
         "assigned": flag(F.concat(before, F.regexp_extract(cand, r"^[A-Za-z_\-]{2,40}(=+)", 1)).rlike(r"[=:]\s*[\"']?$")),
+        "in_url": flag(before.rlike(r"://[^\s/:@]*:$") & after.rlike("^@")),
         "quoted": flag(before.rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]")),
         "secret_words": flag(lead.rlike(word_pattern(SECRET_WORDS))),
         "other_words": flag(F.concat(lead, F.lit(" "), F.substring(after, 1, 24)).rlike(word_pattern(OTHER_WORDS))),
@@ -84,7 +86,7 @@ def features(cand: Column, before: Column, after: Column) -> dict[str, Column]:
 
 NAMES = [
     "length", "digits", "upper", "lower", "signs", "hex_only", "kind_changes", "case_changes", "consonant_runs", "distinct",
-    "dictionary", "path", "parts", "uuid", "prefix", "assigned", "quoted", "secret_words", "other_words", "others", "vowels", "words", "placeholder",
+    "dictionary", "path", "parts", "uuid", "prefix", "assigned", "in_url", "quoted", "secret_words", "other_words", "others", "vowels", "words", "placeholder",
 ]
 
 
@@ -109,7 +111,7 @@ def labelled_findings(n: int = 1600, seed: int = 7) -> list[dict]:
         p, q = prose() + " ", " " + prose()
         name, quote = r.choice(keys), r.choice(['"', "'"])
         eq = r.choice([" = ", "=", ": ", " : "])
-        kind = r.randrange(29)
+        kind = r.randrange(30)
         if kind == 0:
             add(1, p, r.choice(["AKIA", "ASIA"]) + pick(up + "234567", 16), q)
         elif kind == 1:
@@ -164,6 +166,8 @@ def labelled_findings(n: int = 1600, seed: int = 7) -> list[dict]:
             add(0, p, r.choice([said(r.randint(5, 9)), said(r.randint(5, 9)).capitalize(), said(6).upper()]), r.choice([q, "." + q, ":" + q]))
         elif kind == 27:
             add(0, p + r.choice(["", "see ", "/"]), r.choice(["-", "_", "/", ""]).join(r.choice([str.capitalize, str])(said(r.randint(2, 4))) for _ in range(r.randint(3, 5))), r.choice([q, ": " + word()]))
+        elif kind == 28:
+            add(1, f"{p}{r.choice(['postgres', 'mysql', 'https', 'redis', 'amqp'])}://{pick(low, r.randint(0, 8))}:", r.choice([mixed(r.randint(6, 16)), pick(low + up, r.randint(8, 20)), said(r.randint(2, 4)) + pick(num, 2), pick(low, r.randint(6, 14))]), f"@{pick(low, 6)}.example.org/{pick(low, 4)}{q}")
         else:
             add(0, f"{p}{name}: ", r.choice([*"the this is your must are for and that it a what see not required optional".split(), said(r.randint(1, 3))]), q)
     return out
@@ -240,44 +244,55 @@ def train(spark: SparkSession, findings: list[dict] | None = None) -> list:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, trees: list | None = None) -> DataFrame:
     """Per row: id, n_candidates, n_findings, findings: array of (start, length, score), by start; in code points.
 
-    Null and empty texts have none. Rows that repeat an id are scanned each by itself. Other columns are ignored.
+    Null and empty texts have none. Rows that repeat an id, or have none, are scanned each by itself. Other columns are ignored.
     """
     trees = trees or train(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = with_scores(rows, "text", trees)
-    hits = F.filter("scored", lambda c: c["score"] >= threshold)
-    return out.select(F.col("id").alias(id_col), F.size("scored").alias("n_candidates"), F.size(hits).alias("n_findings"), F.transform(hits, lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length"), c["score"].alias("score"))).alias("findings"))
+    out, of = with_scores(rows, "text", trees)
+    hits = F.filter(of["scored"], lambda c: c["score"] >= threshold)
+    return out.select(F.col("id").alias(id_col), F.size(of["scored"]).alias("n_candidates"), F.size(hits).alias("n_findings"), F.transform(hits, lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length"), c["score"].alias("score"))).alias("findings"))
 
 
-def with_scores(rows: DataFrame, text_col: str, trees: list) -> DataFrame:
+EMPTY = "cast(array() AS array<struct<start:bigint,length:int,score:double>>)"
+
+
+def with_scores(rows: DataFrame, text_col: str, trees: list, chunk: int = 256) -> tuple[DataFrame, dict[str, str]]:
     """rows with gaps, cands and scored: array of (start, length, score), one for each candidate. Nothing is shuffled.
 
-    The features of all candidates of a text are computed inside its row, so hot texts and sources move nowhere.
+    Also what these columns are called, since rows may have columns of such names. The features of all candidates of a text
+    are computed inside its row, so hot texts and sources move nowhere. Places are sums over chunks of candidates, so that
+    the work grows with their number.
     """
-    marked = rows.withColumn("gaps", F.split(text_col, CANDIDATE, -1)).withColumn("cands", F.when(F.size("gaps") > 1, F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    n = F.size("cands")
-    steps = F.zip_with(F.slice("gaps", F.lit(1), n), "cands", lambda g, c: F.struct(g.alias("gap"), c.alias("cand")))
+    of = {k: free_name(rows.columns, f"__{k}") for k in ("gaps", "cands", "judged", "chunks", "sums", "begins", "scored")}
+    gaps, cands, judged, chunks, sums, begins, scored = of.values()
+    marked = rows.withColumn(gaps, F.split(text_col, CANDIDATE, -1)).withColumn(cands, F.when(F.size(gaps) > 1, F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    n = F.size(cands)
+    steps = F.zip_with(F.slice(gaps, F.lit(1), n), cands, lambda g, c: F.struct(g.alias("gap"), c.alias("cand")))
     # A name of over 12 characters is a candidate itself; the value after it has it in the words before.
-    steps = F.zip_with(steps, F.slice(F.concat(F.array(F.lit("")), "cands"), F.lit(1), n), lambda s, c: F.struct(s["gap"].alias("gap"), s["cand"].alias("cand"), F.concat(F.right(c, F.lit(60)), F.right(s["gap"], F.lit(60))).alias("lead")))
-    steps = F.zip_with(steps, F.slice("gaps", F.lit(2), F.greatest(n, F.lit(1))), lambda s, g: F.struct(s["gap"].alias("gap"), s["cand"].alias("cand"), s["lead"].alias("lead"), g.alias("next")))
-    valued = F.transform(steps, lambda s: F.struct(F.length(s["gap"]).alias("skip"), F.length(s["cand"]).alias("chars"), *(v.alias(k) for k, v in features(s["cand"], F.right(s["lead"], F.lit(60)), F.left(s["next"], F.lit(60))).items())))
-    marked = marked.withColumn("valued", F.when(n > 0, valued))
-    marked = marked.withColumn("judged", F.expr(f"transform(valued, v -> named_struct('skip', v.skip, 'length', v.chars, 'score', {forest_sql(trees, NAMES, 'v.')}))"))
-    begun = F.expr("aggregate(judged, named_struct('at', 0L, 'all', cast(array() AS array<struct<start:bigint,length:int,score:double>>)), (a, v) -> named_struct('at', a.at + v.skip + v.length, 'all', concat(a.all, array(named_struct('start', a.at + v.skip, 'length', v.length, 'score', v.score)))), a -> a.all)")
-    return marked.withColumn("scored", F.coalesce(begun, F.expr("cast(array() AS array<struct<start:bigint,length:int,score:double>>)"))).drop("valued", "judged")
+    steps = F.zip_with(steps, F.slice(F.concat(F.array(F.lit("")), cands), F.lit(1), n), lambda s, c: F.struct(s["gap"].alias("gap"), s["cand"].alias("cand"), F.concat(F.right(c, F.lit(60)), F.right(s["gap"], F.lit(60))).alias("lead")))
+    steps = F.zip_with(steps, F.slice(gaps, F.lit(2), F.greatest(n, F.lit(1))), lambda s, g: F.struct(s["gap"].alias("gap"), s["cand"].alias("cand"), s["lead"].alias("lead"), g.alias("next")))
+    valued = F.transform(steps, lambda s: F.struct(F.length(s["gap"]).alias("skip"), F.length(s["cand"]).alias("length"), F.struct(*(v.alias(k) for k, v in features(s["cand"], F.right(s["lead"], F.lit(60)), F.left(s["next"], F.lit(60))).items())).alias("f")))
+    marked = marked.withColumn(judged, F.when(n > 0, valued))
+    marked = marked.withColumn(judged, F.expr(f"transform(`{judged}`, v -> named_struct('skip', v.skip, 'length', v.length, 'score', {forest_sql(trees, NAMES, 'v.f.')}))"))
+    marked = marked.withColumn(chunks, F.expr(f"if(size(`{judged}`) > 0, transform(sequence(0, (size(`{judged}`) - 1) div {chunk}), k -> slice(`{judged}`, cast(k * {chunk} + 1 AS int), {chunk})), NULL)"))
+    marked = marked.withColumn(sums, F.expr(f"transform(`{chunks}`, c -> aggregate(c, 0L, (a, v) -> a + v.skip + v.length))"))
+    marked = marked.withColumn(begins, F.expr(f"transform(sequence(0, size(`{sums}`) - 1), k -> aggregate(slice(`{sums}`, 1, cast(k AS int)), 0L, (a, x) -> a + x))"))
+    step = "named_struct('at', a.at + v.skip + v.length, 'all', concat(a.all, array(named_struct('start', a.at + v.skip, 'length', v.length, 'score', v.score))))"
+    placed = f"flatten(zip_with(`{chunks}`, `{begins}`, (c, b) -> aggregate(c, named_struct('at', b, 'all', {EMPTY}), (a, v) -> {step}, a -> a.all)))"
+    marked = marked.withColumn(scored, F.expr(f"if(`{chunks}` IS NULL, {EMPTY}, {placed})"))
+    return marked.drop(judged, chunks, sums, begins), of
 
 
 def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, mark: str = "[SECRET]", trees: list | None = None) -> DataFrame:
     """docs with each finding replaced by mark; all rows and columns stay, and texts without a finding are unchanged."""
     trees = trees or train(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = with_scores(docs.withColumn("__text", text), "__text", trees)
-    shown = F.zip_with("cands", "scored", lambda c, s: F.when(s["score"] >= threshold, F.lit(mark)).otherwise(c))
-    whole = F.concat_ws("", F.flatten(F.zip_with("gaps", F.concat(shown, F.array(F.lit(""))), lambda g, c: F.array(g, c))))
-    hit = F.exists("scored", lambda s: s["score"] >= threshold)
+    own = free_name(docs.columns, "__text")
+    rows, of = with_scores(docs.withColumn(own, F.coalesce(F.col(text_col), F.lit(""))), own, trees)
+    shown = F.zip_with(of["cands"], of["scored"], lambda c, s: F.when(s["score"] >= threshold, F.lit(mark)).otherwise(c))
+    whole = F.concat_ws("", F.flatten(F.zip_with(of["gaps"], F.concat(shown, F.array(F.lit(""))), lambda g, c: F.array(g, c))))
+    hit = F.exists(of["scored"], lambda s: s["score"] >= threshold)
     return rows.withColumn(text_col, F.when(hit, whole).otherwise(F.col(text_col))).select(*docs.columns)
 
-
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents"))
 
