@@ -36,11 +36,15 @@ BOILERPLATE = (
     "sign in",
 )
 
+# How a line ends that breaks off.
+BREAKS = (",", "...", "…", "-", "–", "(", "[", "{", "/", "&", "+", "=")
+
 
 @dataclass(frozen=True)
 class LineRules:
     """symbols, bangs, separators: most of each for a word; upper: most upper-case letters of a line's letters;
-    same_word: most of a line's words that only repeat the word before (lines of `long_line` words or more); most_lost: share."""
+    same_word: most of a line's words that only repeat the word before (lines of `long_line` words or more; such lines must
+    not break off either); most_lost: share."""
 
     symbols: float = 0.3
     bangs: float = 0.5
@@ -62,6 +66,8 @@ def line_fails(line: str, words: list[str], rules: LineRules) -> str:
         return "navigation"
     if line.count("!") > rules.bangs * n and n >= 3:
         return "punctuation"
+    if n >= rules.long_line and line.rstrip(BLANK).endswith(BREAKS):
+        return "breaks off"
     if n >= 4:
         letters = len(line) - line.count(" ")
         if sum(map(str.isupper, line)) > rules.upper * letters:
@@ -177,6 +183,8 @@ def _sql(rules: LineRules) -> str:
     """The same verdicts in DuckDB's SQL."""
     count = lambda c: f"(length(line) - length(replace(line, '{c}', '')))"
     starts = " OR ".join(f"starts_with(lower(ltrim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))), '{b}')" for b in BOILERPLATE)
+    bare = "rtrim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))"
+    breaks = " OR ".join(f"ends_with({bare}, '{b}')" for b in BREAKS)
     symbols = "length(regexp_replace({0}, '[^#*$%&|<>]', '', 'g'))"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -190,9 +198,9 @@ told AS (SELECT doc_id, line, len(ws) AS n, length(array_to_string(ws, '')) AS c
   {symbols.format("line")} AS sym, {count("|")} AS pipes, {count("!")} AS bangs, {count(" > ")} / 3 + {count("»")} AS arrows,
   length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) AS upper, length(line) - {count(" ")} AS letters,
   coalesce(list_sum(list_transform(range(1, len(ws)), lambda i: CAST(ws[i] = ws[i + 1] AS INTEGER))), 0) AS same,
-  {starts} AS boiler FROM lines WHERE len(ws) > 0),
+  {starts} AS boiler, {breaks} AS breaks FROM lines WHERE len(ws) > 0),
 judged AS (SELECT doc_id, chars, again, again OR (sym > {rules.symbols} * n AND pipes <= {rules.separators} * n) OR pipes > {rules.separators} * n OR arrows > {rules.separators} * n
-  OR (bangs > {rules.bangs} * n AND n >= 3) OR (n >= 4 AND upper > {rules.upper} * letters) OR (n >= {rules.long_line} AND same > {rules.same_word} * n) OR (boiler AND n <= 40) AS fails FROM told),
+  OR (bangs > {rules.bangs} * n AND n >= 3) OR (n >= 4 AND upper > {rules.upper} * letters) OR (n >= {rules.long_line} AND (breaks OR same > {rules.same_word} * n)) OR (boiler AND n <= 40) AS fails FROM told),
 lost AS (SELECT doc_id, count(*) FILTER (WHERE again) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE fails), 0) AS lost_chars FROM judged GROUP BY 1),
 base AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, {symbols.format("t")} AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost_chars, 0) AS lost_chars
   FROM words LEFT JOIN repeated USING (doc_id) LEFT JOIN lost USING (doc_id))
