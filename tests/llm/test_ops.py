@@ -145,6 +145,11 @@ def test_quality_rules(docs, none):
     assert not quality_rules.judge(shout, quality_rules.LineRules())["kept"]
 
 
+def test_lines_that_break_off(spark):
+    told = [quality_rules.line_fails(t, t.split(), quality_rules.LineRules()) for t in ("we went to the shop and bought bread, \t", "the rest of this story is here...", "one, two,", "all is well that ends so well.")]
+    assert told == ["breaks off", "breaks off", "", ""]
+
+
 def test_failing_lines_leave_kept_texts(spark):
     lines = [PROSE[2], "a | b | c | d | e | f | g | h | i | j", "", PROSE[3], PROSE[3]]
     rows = spark.createDataFrame([(0, "\n".join(lines)), (1, f"{PROSE[2]}\n\n{PROSE[1]}")], "doc_id long, text string")
@@ -536,6 +541,33 @@ def test_templates_in_main_content(spark):
     assert all(got[10 + k] == "Join the list\nCopied words" for k in range(6))
 
 
+def test_templates_by_brute_force(spark):
+    """Blocks dealt over pages at random, in the article and outside: those counted on four pages of the host or more go."""
+    r = random.Random(21)
+    rows, blocks_of = [], {}
+    for k in range(90):
+        host = ["a.org", "b.org", "c.org"][k % 3]
+        own = [(host, f"Block {j} of the site") for j in range(12) if r.random() < [0.9, 0.3, 0.04][j % 3]] + [(host, f"Own words {k}")]
+        r.shuffle(own)
+        blocks_of[k] = own
+        html = "".join(f"<div class=z{len(t)}><p>{t}</div>" for _, t in own)
+        comment = '<article class="comment"><p>Nice one</article>' * (k % 2)
+        rows.append((k, f"https://{host}/{k}", f"<body><nav>Menu</nav><article><section>{html}</section>{comment}</article>{comment}</body>"))
+    for k in range(90, 96):  # a heading and a paragraph that articles share are their own text
+        rows.append((k, f"https://a.org/{k}", f"<article><h1>Weekly letter</h1><p>Dear readers<p>Own words {k}</article>"))
+    pages_with = defaultdict(set)
+    for k, own in blocks_of.items():
+        for block in own:
+            pages_with[block].add(k)
+    want = {k: "\n".join(t for h, t in own if len(pages_with[h, t]) < 4) for k, own in blocks_of.items()}
+    want |= {k: f"Weekly letter\nDear readers\nOwn words {k}" for k in range(90, 96)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html_extraction.extract(pages).collect()}
+    assert got == want
+    assert sum(html_extraction.main_text(h) != got[k] for k, _, h in rows) > 60
+    assert {x.page_id: x.text for x in html_extraction.extract(pages.union(pages), broadcast_bytes=0).distinct().collect()} == want
+
+
 def test_templates_by_absolute_count(spark):
     """Four pages make a template on a host of any size, all pages on a smaller host; every equal block of a page goes."""
     menu = "<div>Menu of the section</div>"

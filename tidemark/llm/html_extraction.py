@@ -2,7 +2,8 @@
 
 Two passes. The first hashes a page's element subtrees (tags, classes and text), in its main content and outside,
 counts in Spark on how many pages of its host each subtree occurs, and keeps those that recur. The second drops these
-subtrees, the chrome elements and everything marked as such, and joins the blocks that remain.
+subtrees, the chrome elements and everything marked as such, and joins the blocks that remain. In the main content only
+elements that group others can be templates: a heading or paragraph that several articles of a host share is their text.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, slices, staged
+from .common import read_table, salted_join, slices, staged
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+GROUPS = frozenset("div section ul ol dl table figure fieldset details center".split())
 CHROME = frozenset("nav header footer aside form script style noscript iframe head title template svg button select textarea menu dialog object embed canvas input label audio video".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 CHROME_NAMES = re.compile(
@@ -31,6 +33,7 @@ CHROME_NAMES = re.compile(
     r"comments?|commentlist|respond|disqus|replies|related|recommended|share|sharing|social|widget|login|signup|skip-link)(?:$|[\s_-])",
     re.I,
 )
+COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?body|replies|reply|respond|disqus|trackback|pingback)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPACE = re.compile(r"\s+")
@@ -107,9 +110,10 @@ def is_chrome(node: Node) -> bool:
         return True
     if "display:none" in got.get("style", "").replace(" ", "").lower():
         return True
-    if node.tag in ("html", "body", "article", "main"):
+    if node.tag in ("html", "body", "main"):
         return False
-    return any(CHROME_NAMES.search(got.get(k, "")) for k in ("class", "id"))
+    names = COMMENT_NAMES if node.tag == "article" else CHROME_NAMES
+    return any(names.search(got.get(k, "")) for k in ("class", "id"))
 
 
 def find(node: Node, tag: str) -> list[Node]:
@@ -134,16 +138,20 @@ def main_parts(root: Node) -> list[Node]:
 def subtree_hashes(root: Node) -> tuple[list[tuple[int, Node]], int]:
     """(hash, element) of the element subtrees with text that can be a template; and the hash of the main content.
 
-    The roots of the main content and what holds them are none, nor are inline elements with other text beside them.
+    The roots of the main content and what holds them are none, nor are inline elements with other text beside them, nor,
+    in the main content, elements that group no others.
     """
     parts = main_parts(root)
     heads = {id(x) for x in parts if x is not root}
     out: list[tuple[int, Node]] = []
-    order, stack = [], [root]
+    order, stack, inside = [], [root], set(heads)
     while stack:
         x = stack.pop()
         order.append(x)
-        stack.extend(k for k in x.kids if not isinstance(k, str))
+        kids = [k for k in x.kids if not isinstance(k, str)]
+        stack.extend(kids)
+        if id(x) in inside:
+            inside.update(map(id, kids))
     seen: dict[int, tuple[bytes, bool, bool]] = {}  # digest, has text, is or holds a root of the main content
     for x in reversed(order):
         h = hashlib.blake2b(f"{x.tag} {SPACE.sub(' ', x.attrs)}".encode("utf-8", "replace"), digest_size=8)
@@ -160,7 +168,7 @@ def subtree_hashes(root: Node) -> tuple[list[tuple[int, Node]], int]:
             text |= says
             holds |= above
             runs += says and k.tag in INLINE
-            if says and not above and k.tag not in CHROME and k.tag not in ("html", "body"):
+            if says and not above and k.tag not in CHROME and k.tag not in ("html", "body") and (k.tag in GROUPS or id(k) not in inside):
                 own.append((digest, k))
         seen[id(x)] = h.digest(), text, holds
         out += [(int.from_bytes(d, "little", signed=True), k) for d, k in own if runs < 2 or k.tag not in INLINE]
@@ -239,8 +247,11 @@ def templates_by_page(rows: DataFrame, least_pages: int = 4, broadcast_bytes: in
     counts = staged(counts.filter((F.col("n") > 1) | F.col("subtree").isNull()), "subtree-counts")
     n_pages = counts.filter(F.col("subtree").isNull()).select("host", F.col("n").alias("n_pages"))
     often = counts.filter(F.col("subtree").isNotNull()).join(n_pages, "host").filter(F.col("n") >= F.least(F.lit(least_pages), "n_pages"))
-    often = staged(often.select("host", "subtree"), "templates")
-    hits = found.join(F.broadcast(often) if 16 * often.count() < broadcast_bytes else often, ["host", "subtree"])
+    often = staged(often.select("host", "subtree", "n"), "templates")
+    if 16 * often.count() < broadcast_bytes:
+        hits = found.join(F.broadcast(often), ["host", "subtree"])
+    else:  # a block of a large host is on all its pages
+        hits = salted_join(found, often, ["host", "subtree"], "n", F.col("page"))
     return hits.groupBy("page").agg(F.collect_set("subtree").alias("templates"))
 
 
