@@ -9,6 +9,7 @@ is calibrated to the document's score.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -103,6 +104,57 @@ class Model:
         return [good, math.log((good + 1e-4) / (1 - good + 1e-4))]
 
 
+@dataclass
+class Batch:
+    """Documents of like length: x[line, document] padded to the longest, sizes, labels, and the weight of a line of each."""
+
+    x: np.ndarray
+    size: np.ndarray
+    y: np.ndarray
+    per_line: np.ndarray
+
+
+def padded(docs: list[np.ndarray], y: np.ndarray, share: np.ndarray) -> Iterator[Batch]:
+    """docs come by length. A batch's longest has at most 1.5 times the lines of its shortest, and 8 more."""
+    size = np.array([len(x) for x in docs])
+    start = 0
+    while start < len(docs):
+        end = int(np.searchsorted(size, 1.5 * size[start] + 8, side="right"))
+        x = np.zeros((size[end - 1], end - start, docs[0].shape[1]))
+        for k in range(start, end):
+            x[: size[k], k - start] = docs[k]
+        own = slice(start, end)
+        yield Batch(x, size[own], y[own], share[own] / size[own])  # long and short documents weigh alike
+        start = end
+
+
+def gradient(b: Batch, w: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the weighted log likelihood of the labels, by w and by trans: told minus expected counts."""
+    longest, n, y = len(b.x), len(b.size), b.y
+    alive = [int(np.searchsorted(b.size, t, side="right")) for t in range(longest)]  # documents from there on have line t
+    emit = b.x @ w
+    la = np.zeros((longest, n, 2))
+    la[0, :, 1] = emit[0]
+    for t in range(1, longest):
+        a = alive[t]
+        la[t, a:] = np.logaddexp(la[t - 1, a:, 0, None] + trans[0], la[t - 1, a:, 1, None] + trans[1])
+        la[t, a:, 1] += emit[t, a:]
+    lb = np.zeros((longest, n, 2))
+    grad_t = np.zeros((2, 2))
+    log_z = np.logaddexp(*la[b.size - 1, np.arange(n)].T)
+    for t in range(longest - 2, -1, -1):
+        a = alive[t + 1]
+        after = lb[t + 1, a:] + np.stack([np.zeros(n - a), emit[t + 1, a:]], 1)
+        lb[t, a:] = np.logaddexp(after[:, None, 0] + trans[:, 0], after[:, None, 1] + trans[:, 1])
+        pair = np.exp(np.clip(la[t, a:, :, None] + trans + after[:, None, :] - log_z[a:, None, None], -60, 0))
+        told = np.zeros((n - a, 2, 2))
+        told[np.arange(n - a), y[a:], y[a:]] = 1
+        grad_t += ((told - pair) * b.per_line[a:, None, None]).sum(0)
+    p = np.exp(np.clip(la[:, :, 1] + lb[:, :, 1] - log_z, -60, 0))
+    mask = (np.arange(longest)[:, None] < b.size) * b.per_line
+    return np.tensordot((y - p) * mask, b.x, axes=([0, 1], [0, 1])), grad_t
+
+
 def fit(sample: list[tuple[str, int]], params: Params, prior_shift: float = 0.0) -> Model:
     docs = [(line_features(t)[0], y) for t, y in sample]
     docs = [(x, y) for x, y in docs if len(x) <= params.most_lines]
@@ -113,40 +165,18 @@ def fit(sample: list[tuple[str, int]], params: Params, prior_shift: float = 0.0)
     mean, scale = flat.mean(0), flat.std(0) + 1e-6
     mean[-1], scale[-1] = 0.0, 1.0
     docs.sort(key=lambda d: len(d[0]))
-    n, longest = len(docs), len(docs[-1][0])
-    size = np.array([len(x) for x, _ in docs])
-    x = np.zeros((longest, n, width))
-    for k, (own, _) in enumerate(docs):
-        x[: len(own), k] = (own - mean) / scale
     y = np.array([label for _, label in docs])
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * n  # both classes weigh alike
-    per_line = share / size  # and so do long and short documents
+    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(docs)  # both classes weigh alike
+    batches = list(padded([(x - mean) / scale for x, _ in docs], y, share))
     w, trans = np.zeros(width), np.zeros((2, 2))
     m, v, step = np.zeros(width + 4), np.zeros(width + 4), 0.15
-    alive = [int(np.searchsorted(size, t, side="right")) for t in range(longest)]  # documents from there on have line t
     for it in range(1, params.steps + 1):
-        emit = x @ w
-        la = np.zeros((longest, n, 2))
-        la[0, :, 1] = emit[0]
-        for t in range(1, longest):
-            a = alive[t]
-            la[t, a:] = np.logaddexp(la[t - 1, a:, 0, None] + trans[0], la[t - 1, a:, 1, None] + trans[1])
-            la[t, a:, 1] += emit[t, a:]
-        lb = np.zeros((longest, n, 2))
-        grad_t = np.zeros((2, 2))
-        log_z = np.logaddexp(*la[size - 1, np.arange(n)].T)
-        for t in range(longest - 2, -1, -1):
-            a = alive[t + 1]
-            after = lb[t + 1, a:] + np.stack([np.zeros(n - a), emit[t + 1, a:]], 1)
-            lb[t, a:] = np.logaddexp(after[:, None, 0] + trans[:, 0], after[:, None, 1] + trans[:, 1])
-            pair = np.exp(np.clip(la[t, a:, :, None] + trans + after[:, None, :] - log_z[a:, None, None], -60, 0))
-            told = np.zeros((n - a, 2, 2))
-            told[np.arange(n - a), y[a:], y[a:]] = 1
-            grad_t += ((told - pair) * per_line[a:, None, None]).sum(0)
-        p = np.exp(np.clip(la[:, :, 1] + lb[:, :, 1] - log_z, -60, 0))
-        mask = (np.arange(longest)[:, None] < size) * per_line
-        grad_w = np.tensordot((y - p) * mask, x, axes=([0, 1], [0, 1]))
-        g = np.concatenate([grad_w / n - params.l2 * w, (grad_t / n - params.l2 * trans).ravel()])
+        grad_w, grad_t = np.zeros(width), np.zeros((2, 2))
+        for b in batches:
+            more_w, more_t = gradient(b, w, trans)
+            grad_w += more_w
+            grad_t += more_t
+        g = np.concatenate([grad_w / len(docs) - params.l2 * w, (grad_t / len(docs) - params.l2 * trans).ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = step * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.99**it)) + 1e-8)
         w, trans = w + move[:-4], trans + move[-4:].reshape(2, 2)
@@ -157,7 +187,7 @@ def fit(sample: list[tuple[str, int]], params: Params, prior_shift: float = 0.0)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Per row: id, score (0 to 1), predicted. Null and empty texts count as one line without words."""
+    """Per row: id, score (0 to 1), predicted. Null and empty texts count as one line without words. Repeated rows score alike."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
