@@ -514,6 +514,55 @@ def test_marginals_by_brute_force():
     assert np.allclose(quality_crf.marginals(emit, trans), [sum(v for y, v in weight.items() if y[k]) / total for k in range(6)])
 
 
+def test_repeated_rows_and_null_ids(spark, docs):
+    """Each row gets its own result, whatever its id, equal for equal texts."""
+    fitted = toxicity.fit([("you moron", 1), ("fine day", 0)] * 20, toxicity.Params())
+    lines = quality_crf.fit([(PROSE[0], 1), ("| | |", 0)] * 20, quality_crf.Params(steps=5))
+    ops = {
+        "toxicity": lambda d: toxicity.score(d, fitted),
+        "quality_rules": quality_rules.quality_rules,
+        "byte_bpe": lambda d: byte_bpe.encode(d, RANKS, public_tokenizers.PATTERN),
+        "packing": lambda d: packing.pack(d, WORDS, context=64).drop("sequence_id"),
+        "secret_scan": secret_scan.scan,
+        "quality_crf": lambda d: quality_crf.score(d, lines),
+    }
+    few = docs.filter("doc_id < 11")
+    odd = few.union(few).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    for name, op in ops.items():
+        once = Counter((r.doc_id if r.doc_id % 2 == 0 else None, *map(str, r[1:])) for r in op(few).collect())
+        assert Counter((r.doc_id, *map(str, r[1:])) for r in op(odd).collect()) == {k: 2 * n for k, n in once.items()}, name
+
+
+def test_crf_gradient_by_differences():
+    r = np.random.default_rng(4)
+    docs = sorted((r.normal(size=(n, 5)) for n in (1, 3, 4, 9, 30)), key=len)
+    y, share = np.array([0, 1, 1, 0, 1]), r.uniform(0.5, 2, 5)
+    batches = list(quality_crf.padded(docs, y, share))
+    assert len(batches) > 1 and sum(len(b.size) for b in batches) == 5
+
+    def likelihood(w, trans):
+        total = 0.0
+        for x, label, s in zip(docs, y, share, strict=True):
+            emit = x @ w
+            a = np.array([0.0, emit[0]])
+            for e in emit[1:]:
+                a = np.logaddexp(a[0] + trans[0], a[1] + trans[1]) + np.array([0, e])
+            own = emit.sum() * label + trans[label, label] * (len(x) - 1)
+            total += s / len(x) * (own - np.logaddexp(*a))
+        return total
+
+    w, trans = r.normal(size=5) / 3, r.normal(size=(2, 2)) / 3
+    grads = [quality_crf.gradient(b, w, trans) for b in batches]
+    grad_w, grad_t = sum(g for g, _ in grads), sum(g for _, g in grads)
+    for k in range(5):
+        d = np.eye(5)[k] * 1e-5
+        assert np.isclose((likelihood(w + d, trans) - likelihood(w - d, trans)) / 2e-5, grad_w[k], atol=1e-5)
+    for k in np.ndindex(2, 2):
+        d = np.zeros((2, 2))
+        d[k] = 1e-5
+        assert np.isclose((likelihood(w, trans + d) - likelihood(w, trans - d)) / 2e-5, grad_t[k], atol=1e-5)
+
+
 PAGE = '<html><head><title>t</title><style>p{x:"</p>"}</style></head><body><nav><a>Menu</a></nav><div class="site-top">Same on all pages</div><article><h1>Head &amp; tail</h1><p>One\n  <b>bold</b> word<p>Two &lt;3 {n}<div class="comments">Nice!</div><script>var a="</article>"</script></article><footer>&copy;</footer>'
 
 

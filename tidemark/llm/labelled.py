@@ -14,17 +14,19 @@ def remainder(id_col: str, mod: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: list[int], per_class: int) -> tuple[list[tuple[str, int]], float]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: list[int], per_class: int, most_bytes: int = 64 << 10) -> tuple[list[tuple[str, int]], float]:
     """Up to per_class texts of each class, lowest hash first, of the rows whose remainder is not in held.
 
     Also the log odds by which class 1 is commoner among all those rows than in the sample.
-    The ids are at most 2 * per_class, so they may be broadcast; rows without a label or id are left out.
+    The ids are at most 2 * per_class, so they may be broadcast; rows without a label or id are left out, and texts of more
+    than most_bytes, so that the driver gets 2 * per_class * most_bytes at the most. Of rows that repeat an id one is taken.
     """
     own = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~remainder("doc_id", mod).isin(held))
     own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     parts = [own.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     ids = parts[0].union(parts[1])
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= most_bytes)
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).collect()
     there = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
     shift = math.log(there[1] / min(there[1], per_class)) - math.log(there[0] / min(there[0], per_class)) if len(there) == 2 else 0.0
     return sorted({(r["text"], r["label"]) for r in rows}), shift

@@ -238,7 +238,10 @@ def fit(sample: list[tuple[str, int]], params: Params, prior_shift: float = 0.0)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Per row: id, score (0 to 1), predicted, n_hits. Null and empty texts have no hits and get the score of such texts."""
+    """Per row: id, score (0 to 1), predicted, n_hits. Null and empty texts have no hits and get the score of such texts.
+
+    Repeated rows and rows without an id are scored each by itself.
+    """
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
