@@ -108,6 +108,22 @@ def test_suffix_dedup(docs, none, block, widest):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_suffix_dedup_of_a_common_passage(spark):
+    """A passage in many texts, cut at many places, with bytes before and after that a few texts share."""
+    r = random.Random(31)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(700))
+    ends = ["".join(r.choice("stuvwxyz ") for _ in range(150)) for _ in range(6)]
+    texts = []
+    for k in range(60):
+        a, z = r.choice([0, 0, r.randrange(300)]), r.choice([700, 700, 700 - r.randrange(300)])
+        texts.append(r.choice(ends)[: r.randrange(150)] + f"<{k % 7}" + passage[a:z] + r.choice(ends)[r.randrange(60) :] * 2)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = list(brute_repeats(texts, 200))
+    for widest in (1_000, 12, 3, 1):
+        got = by_id(suffix_dedup.dedup(rows, widest=widest))
+        assert [tuple(got[k])[1:] for k in range(60)] == want, widest
+
+
 def test_suffix_dedup_on_any_ids(spark):
     """Null ids, ids that repeat with their text and with another."""
     passage = "".join(rnd.choice("abcdefgh ") for _ in range(900))

@@ -11,8 +11,10 @@ Equal windows have equal anchors at equal places, so only strings around equal a
    and the common prefixes of neighbours. A window repeats if its common prefix with a neighbour reaches `length`.
    The rounds run over sequential blocks of about `block` strings, which Spark's sort hands over as sorted runs and
    spills to disk if need be; an anchor's strings are always in one block.
-3. Anchors with more than `widest` different units go by an exact way beside it, so that no task gets them all: their
-   windows are counted by hash.
+3. An anchor with more than `widest` different units is divided first, so that no task gets them all: windows at a like
+   distance from the anchor share a core, the bytes that are in all of them. A unit's part of such windows is counted like
+   a unit, and a core like an anchor, by ever smaller parts, until a core has few different parts, which are then built
+   column by column. A part that is one window has no other to differ from.
 
 Runs of repeated windows then meet per document, are united and cut out. Anchors, units and windows that many rows share
 are dealt over many tasks (`salted_join`).
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -225,27 +228,55 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, block: int = 2
         if held:
             yield block_of(held)
 
-    narrow = cuts.filter(~F.col("wide")).select("anchor", "row", "first", "last", "open", "data").repartition(parts, "anchor").sortWithinPartitions("anchor")
-    by_columns = narrow.mapInArrow(columns, f"row {ids}, first int, last int")
-
-    def windows(batches):
-        for b in slices(batches, "data", 1 << 18):
-            at, hashes, firsts, opens = [], [], [], []
-            for k, (f, z, o, d) in enumerate(zip(*(b.column(c).to_pylist() for c in ("first", "last", "open", "data")), strict=True)):
-                for j in range(z - f + 1):
-                    at.append(k)
-                    hashes.append(hash16(d[j : j + length]))
-                    firsts.append(f + j)
-                    opens.append(o)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), b.column(0).take(pa.array(at, pa.int64())), pa.array(firsts, pa.int32()), pa.array(opens, pa.bool_())], ["window", "row", "first", "open"])
-
-    found = [whole, staged(by_columns, "columns")]
-    if not cuts.filter("wide").isEmpty():
-        wide = staged(cuts.filter(F.col("wide")).select("row", "first", "last", "open", "data").mapInArrow(windows, f"window binary, row {ids}, first int, open boolean"), "windows")
-        twice = staged(wide.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
-        found.append(salted_join(wide.filter("open"), twice, ["window"], "n", F.struct("row", "first")).select("row", "first", F.col("first").alias("last")))
+    found = [whole]
+    flat = [cuts.filter(~F.col("wide")).select("anchor", "row", "first", "last", "open", "data")]
+    wide, step = cuts.filter("wide").select("row", "first", "last", "open", "data"), length - gram + 1
+    while step > 1 and not wide.isEmpty():
+        step = -(-step // 4)
+        part = staged(wide.mapInArrow(divided(step, length, gram), f"core long, part binary, row {ids}, first int, last int, open boolean, data binary"), "parts")
+        counts = staged(part.groupBy("core", "part").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("one")), "part-counts")
+        kinds = staged(counts.groupBy("core").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).filter((F.col("kinds") > 1) | (F.col("most") > 1)).drop("most"), "cores")
+        told = staged(salted_join(counts, kinds, ["core"], "kinds", F.col("part")).select("part", "kinds", "n", "one"), "shared-parts")
+        met = staged(salted_join(part, told, ["part"], "n", F.struct("row", "first")), "met-parts")
+        unstage(part, counts, kinds, told)
+        found.append(met.filter(F.col("open") & (F.col("n") > 1)).select("row", "first", "last"))
+        on = met.filter((F.col("kinds") > 1) & (F.struct("row", "first") == F.col("one"))).withColumn("open", F.col("open") & (F.col("n") == 1))
+        flat.append(on.filter(F.col("kinds") <= widest).select(F.col("core").alias("anchor"), "row", "first", "last", "open", "data"))
+        wide = on.filter(F.col("kinds") > widest).select("row", "first", "last", "open", "data")
+    strings_of = reduce(DataFrame.unionByName, flat)
+    found.append(staged(strings_of.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(columns, f"row {ids}, first int, last int"), "columns"))
     unstage(cuts)
-    return found[0].unionByName(found[1]) if len(found) == 2 else found[0].unionByName(found[1]).unionByName(found[2])
+    return reduce(DataFrame.unionByName, found)
+
+
+def divided(step: int, length: int, gram: int):
+    """Cuts units, or parts of them, into parts whose windows begin at one of `step` distances before the anchor.
+
+    Equal windows are in parts of equal cores. The core is told by 64 bits, which only groups; a part by 128.
+    """
+
+    def run(batches):
+        for b in slices(batches, "data", 1 << 20):
+            rows, cols = [], [[], [], [], [], [], []]
+            for k, (first, last, is_open, data) in enumerate(zip(*(b.column(c).to_pylist() for c in ("first", "last", "open", "data")), strict=True)):
+                at = anchor_place(data, length, gram)
+                f = first
+                while f <= last:
+                    before = at - (f - first)  # bytes of the window before its anchor
+                    slab = before // step
+                    end = min(last, f + before - slab * step)
+                    own = data[f - first : end - first + length]
+                    core = data[at - slab * step : at + length - slab * step - step + 1]
+                    rows.append(k)
+                    mark = MARKS[before]
+                    for c, v in zip(cols, (int.from_bytes(hash16(MARKS[slab] + core)[:8], "little", signed=True), hash16(mark + own), f, end, is_open, own), strict=True):
+                        c.append(v)
+                    f = end + 1
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            core, part, *rest = (pa.array(c, k) for c, k in zip(cols, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([core, part, b.column(0).take(pa.array(rows, pa.int64())), *rest], ["core", "part", "row", "first", "last", "open", "data"])
+
+    return run
 
 
 def anchor_place(data: bytes, length: int, gram: int) -> int:
