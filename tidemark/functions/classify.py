@@ -8,37 +8,61 @@ from pyspark.sql import functions as F
 from . import patterns as P
 from .labels import js_regex
 
-HYBRID = r"\bhybrid[\s-]+(?:work(?:ing|place)?|roles?|positions?|jobs?|schedule|model|arrangements?|basis|opportunity|policy|office|remote|setting|environment(?!s))\b|\bwork(?:ing|s)?\s+hybrid\b(?![\s-]+(?:cloud|infrastructure|systems?|solutions?))|[(\[]\s*hybrid\b|^\s*hybrid\s*(?:$|[,;|:(])|[-|/]\s*hybrid\s*(?:$|[,.;|)(])|\b(?:remote|on-?site|in-?office)\s*(?:,|/|\bor\b|\band\b)\s*(?:a\s+)?hybrid\b|\bhybrid\s*(?:,|/|\bor\b|\band\b)\s*(?:fully\s+)?(?:remote|on-?site|in-?office)\b|\bhybrid\b[^.;!?]{0,80}?\bdays?\s+(?:a|per)\s+week\b"
-
-
 def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def any_of(c: Column, patterns: list[str]) -> Column:
+def any_of(c: Column, patterns: list[str], ignore_case: bool = True) -> Column:
     """Whether the text holds one of the patterns: tried together, case-sensitive ones by themselves."""
     plain = [p for p in patterns if not p.startswith("(?-i)")]
     exact = [p[5:] for p in patterns if p.startswith("(?-i)")]
-    hit = c.rlike(js_regex("|".join(f"(?:{p})" for p in plain)))
+    hit = c.rlike(js_regex("|".join(f"(?:{p})" for p in plain), ignore_case))
     for p in exact:
-        hit = hit | c.rlike(js_regex(p).replace("(?iu)", "(?u)", 1))
+        hit = hit | c.rlike(js_regex(p, ignore_case=False))
     return hit
 
 
+def one_line(c: Column) -> Column:
+    return F.regexp_replace(c, js_regex(r"\s+"), " ")
+
+
 def without_boilerplate(c: Column) -> Column:
     """The text without phrases that speak of remote work without offering it."""
-    for p in (
-        r"\b(?:if|unless|whether)\s+(?:this|the|it)\b[^.;!?]{0,70}\bremote\s+(?:position|role|job|opportunity)\b",
-        r"\b(?:if|when|where)\s+(?:this|the|a|your)\s+(?:position|role|job|opportunity)\s+is\s+(?:listed|posted|designated|advertised|marked|identified)\s+as\s+(?:remote|hybrid|on-?site|in[\s-]office)\b[^.;!?•]*",
-        r"\bwork\s+from\s+anywhere\s+(?:polic(?:y|ies)|programs?|perks?|benefits?|stipends?|days?|weeks?|months?)\b",
-        r"\bflexible\s+work\s+from\s+home\s+options?\s+(?:are\s+)?available\b\.?",
-    ):
+    for p in P.REMOTE_BOILERPLATE:
         c = F.regexp_replace(c, js_regex(p), " ")
     return c
 
 
+def states_hybrid_work(c: Column) -> Column:
+    """Whether a title or text names hybrid as the way the work is done. Markup is no text."""
+    said = one_line(F.replace(F.regexp_replace(text_of(c), "<[^>]*>", " "), F.lit("&nbsp;"), F.lit(" ")))
+    return said.rlike(js_regex(r"\bhybrid\b")) & (any_of(said, P.HYBRID_WORK) | any_of(said, P.HYBRID_IN_PLACE, ignore_case=False))
+
+
 def states_hybrid(title: Column, location: Column, description: Column) -> Column:
-    return text_of(location).rlike(js_regex(r"\bhybrid\b")) | any_of(text_of(title), [HYBRID]) | any_of(text_of(description), [HYBRID])
+    """The word alone in the place, the opening of the title, or wording that names it as the way of work."""
+    return text_of(location).rlike(js_regex(r"\bhybrid\b")) | text_of(title).rlike(js_regex(P.TITLE_OPENS_HYBRID)) | states_hybrid_work(title) | states_hybrid_work(description)
+
+
+def states_remote(title: Column, description: Column) -> Column:
+    """Whether a description says that this job is worked remotely, or calls the title's own job remote."""
+    said = without_boilerplate(one_line(text_of(description)))
+    name = F.lower(F.trim(text_of(title)))
+    denied = any_of(said, [P.NOT_REMOTE, P.REMOTE_FIELD_NO, P.OFFICE_DAYS])
+    return (said != "") & ~denied & (any_of(said, P.REMOTE_STATEMENT) | ((F.length(name) > 3) & F.lower(said).contains(F.concat(F.lit("remote "), name))))
+
+
+def without_nordic_intern(title: Column) -> Column:
+    """The title without every 'intern' that means internal: before a noun that is Nordic or Dutch, or in such a title."""
+    t = text_of(title)
+    word = r"(?=\s+{})"
+    noun = rf"(?:{'|'.join(P.NORDIC_NOUNS)})"
+    lettered = rf"(?![–—-])[^\s,;:()/|]*[{P.NORDIC_LETTERS}]"
+    other = rf"(?!(?:{P.AFTER_INTERN})(?:$|[\s,;:()/|]))[^\s,;:()/|–—-]"
+    clear = F.regexp_replace(t, js_regex(rf"\bintern{word.format(f'(?:{noun}|{lettered})')}"), " ")
+    by_title = F.regexp_replace(clear, js_regex(rf"\bintern{word.format(other)}"), " ")
+    nordic = t.rlike(js_regex(rf"[{P.NORDIC_LETTERS}]|\b(?:{P.NORDIC_WORDS})\b", ignore_case=False))
+    return F.when(nordic, by_title).otherwise(clear)
 
 
 def location_is_worldwide(location: Column) -> Column:
@@ -58,7 +82,7 @@ def is_remote(title: Column, location: Column, workplace: Column, description: C
         .when(stated.isin("hybrid", "on-site", "onsite", "in-office"), False)
         .when(states_hybrid(title, location, description) | any_of(everything, P.REMOTE_NO), False)
         .when(any_of(text_of(title), [P.REMOTE_TITLE]), True)
-        .when(place.rlike(js_regex(r"\bremote\b")), True)
+        .when(place.rlike(js_regex(r"\bremote\b")) & ~place.rlike("(?i)hybrid"), True)
         .when(location_is_worldwide(location) | any_of(place, [P.ANYWHERE_PLACE]), True)
         .otherwise(any_of(everything, P.REMOTE_YES))
     )
@@ -69,10 +93,11 @@ def is_worldwide(title: Column, location: Column, description: Column, remote: C
     place = F.trim(text_of(location))
     narrow = any_of(text_of(title), P.ONE_COUNTRY) | ((F.length(place) >= 2) & any_of(place, P.ONE_COUNTRY))
     in_one = any_of(place, [r"\banywhere\s+in\b"]) & ~any_of(place, [r"\banywhere\s+in\s+the\s+world\b"])
+    here = any_of(text_of(description), [P.PRESENCE]) | any_of(text_of(title), [P.VENUES, P.TRADES, P.TITLE_CITIES])
     return (
-        F.when(~F.coalesce(remote, F.lit(False)) | narrow | in_one, False)
-        .when(location_is_worldwide(location), True)
-        .when((F.length(place) < 3) & ~any_of(text_of(description), P.COUNTRY_IN_TEXT), any_of(text_of(description), P.WORLDWIDE_YES))
+        F.when(~F.coalesce(remote, F.lit(False)) | narrow | in_one | here, False)
+        .when(location_is_worldwide(place), True)
+        .when((F.length(place) < 3) & ~any_of(text_of(description), [*P.COUNTRY_IN_TEXT, P.PRESENCE_DAYS]), any_of(text_of(description), P.WORLDWIDE_YES))
         .otherwise(False)
     )
 
@@ -85,7 +110,7 @@ def visa(description: Column) -> Column:
 def experience_level(title: Column, description: Column) -> Column:
     """Internships first; then titles whose 'executive', 'manager' or 'partner' does own work; then the general words."""
     t, d = text_of(title), text_of(description)
-    nordic = F.regexp_replace(t, js_regex(r"\bintern(?:t|a)?\s+(?=(?:revisor|kommunikation|kontroll|logistik|service|kommunikasjon))"), "")
+    nordic = without_nordic_intern(t)
     ranked = lambda base: F.when(any_of(t, [P.LEVEL_UP]), "senior").when(any_of(t, [P.LEVEL_DOWN]), "entry").otherwise(base)
     return (
         F.when(any_of(nordic, P.LEVEL_INTERNSHIP), "internship")
@@ -103,9 +128,27 @@ def experience_level(title: Column, description: Column) -> Column:
 
 
 def workplace_in_text(title: Column, location: Column, description: Column) -> Column:
-    remote = is_remote(title, location, F.lit(None).cast("string"), description)
-    onsite = any_of(F.concat_ws(" ", title, location, description), [r"\bon-?site\b(?!\s+(?:gym|parking|cafe))", r"\bin[\s-]office\b", r"\bin[\s-]person\b"])
-    return F.when(states_hybrid(title, location, description), "Hybrid").when(remote, "Remote").when(onsite, "Onsite")
+    """remote, hybrid or onsite, from what title, place and text say of this job; else null."""
+    body = without_boilerplate(text_of(description))
+    fields = F.lower(F.concat_ws(" ", *(F.nullif(text_of(c), F.lit("")) for c in (title, location)), F.nullif(body, F.lit(""))))
+    hybrid = any_of(fields, P.HYBRID_FOREIGN) | states_hybrid(title, location, body)
+    head = F.concat(text_of(title), F.lit(" "), text_of(location))
+    remote = head.rlike(js_regex(P.REMOTE_HEAD)) | states_remote(title, description)
+    return (
+        F.when(text_of(location).rlike(js_regex(P.LOCATION_GLOBAL)), "remote")
+        .when((any_of(fields, P.FULL_REMOTE_FOREIGN) | remote) & ~hybrid, "remote")
+        .when(hybrid | any_of(fields, [P.OFFICE_MIX, P.OFFICE_DAYS, P.HOME_WORK_FOREIGN]), "hybrid")
+        .when(any_of(fields, [P.ONSITE]), "onsite")
+    )
+
+
+def workplace_in_description(title: Column, location: Column, description: Column) -> Column:
+    """workplace_in_text for a description that came later: remote only if the head or a strong statement says so."""
+    found, body = workplace_in_text(title, location, description), text_of(description)
+    head = F.concat(text_of(title), F.lit(" "), text_of(location))
+    told = head.rlike(js_regex(P.REMOTE_HEAD)) | text_of(location).rlike(js_regex(P.LOCATION_GLOBAL))
+    strong = ~any_of(body, [P.NOT_REMOTE, P.REMOTE_FIELD_NO]) & any_of(body, [*P.FULL_REMOTE_FOREIGN, *P.STRONG_REMOTE])
+    return F.when((found != "remote") | told | strong, found)
 
 
 def classify(title: Column, location: Column, workplace: Column, description: Column) -> Column:

@@ -10,15 +10,49 @@ from pyspark.sql import functions as F
 LATIN = "A-Za-z0-9_"
 
 
-def js_regex(pattern: str) -> str:
-    """A case-insensitive Java pattern that reads \\b and \\s as ECMAScript does: ASCII words, Unicode spaces.
-
-    A boundary before a letter, digit or group opens a word, any other closes one: one side is looked at, not both.
+SPACES = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+OPENS, CLOSES = f"(?<![{LATIN}])", f"(?![{LATIN}])"
+BOUNDARY = f"(?:{OPENS}(?=[{LATIN}])|(?<=[{LATIN}]){CLOSES})"
+
+
+def begins_word(pattern: str, i: int) -> bool:
+    """Whether all that the pattern can match from place i begins with an ASCII word character."""
+    if pattern.startswith("(?:", i):
+        at, depth, alternatives = i + 3, 1, [i + 3]
+        while depth:
+            c = pattern[at]
+            at += 2 if c == "\\" else len(re.match(r"\[(?:\\.|[^\]\\])*\]", pattern[at:])[0]) if c == "[" else 1
+            depth += (c == "(") - (c == ")")
+            if c == "|" and depth == 1:
+                alternatives.append(at)
+        return pattern[at : at + 1] not in ("?", "*") and all(begins_word(pattern, k) for k in alternatives)
+    one = re.match(r"(?:[A-Za-z0-9_]|\\[wd]|\[(?:[A-Za-z0-9_]|(?<=\w)-(?=\w))+\])(?![?*]|\{0)", pattern[i:])
+    return bool(one)
+
+
+def js_regex(pattern: str, ignore_case: bool = True) -> str:
+    r"""A Java pattern that reads \b, \s and $ as ECMAScript does: ASCII words, Unicode spaces, the very end.
+
+    A boundary after a word character closes a word, and one before what begins with a word character opens one; there one
+    side is looked at. Elsewhere both are.
     """
-    opens, closes = rf"(?<![{LATIN}])(?=[{LATIN}])", rf"(?<=[{LATIN}])(?![{LATIN}])"
-    out = re.sub(r"\\b(?=[A-Za-z0-9(\[\\])(?!\\[sb]|\(\?[!=])", lambda _: opens, pattern)
-    out = out.replace(r"\b", closes)
-    return "(?iu)" + re.sub(r"(?<!\\)\\s", r"[\\s\\u00a0\\ufeff\\u2028\\u2029]", out)
+    out, after_word, in_class = [], False, False
+    for m in re.finditer(r"\\.|\(\?(?:[:=!]|<[=!])|.", pattern, re.S):
+        piece, end = m[0], m.end()
+        quantified = re.match(r"[?*]|\{0", pattern[end:])
+        if in_class:
+            out.append(SPACES if piece == r"\s" else r"\[" if piece == "[" else piece)
+            in_class = piece != "]"
+            after_word = False
+            continue
+        if piece == r"\b":
+            out.append(CLOSES if after_word else OPENS if begins_word(pattern, end) else BOUNDARY)
+            continue
+        out.append(f"[{SPACES}]" if piece == r"\s" else r"\z" if piece == "$" else piece)
+        in_class = piece == "["
+        if piece != "+":  # a character that is there once or more stays what it is
+            after_word = bool(re.fullmatch(r"[A-Za-z0-9_]|\\[wd]", piece)) and not quantified
+    return ("(?iu)" if ignore_case else "") + "".join(out)
 
 
 def first_rule(text: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:

@@ -149,12 +149,38 @@ def _liveness(t):
     return t.pages.select("page_id", text.verdict(F.lit(200), F.lit("https://x.org/jobs/1"), text.strip_html(F.col("html"))).alias("verdict"))
 
 
-@query("intern_titles", "C-15 F-10 T-12", "SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false)) v(k, intern)")
+INTERN_TITLES = [
+    ("Software Intern", True),
+    ("Intern kommunikation", False),
+    ("Internship, sales", True),
+    ("Internal audit", False),
+    ("Intern revisor till Stockholm", False),
+    ("Gruppchef Intern Logistik", False),
+    ("Chaufför med intern körning", False),
+    ("Marketing Intern - Design", True),
+    ("Intern med fokus på data", True),
+    ("Projektledare, intern IT och support", False),
+    ("Intern Transportation Planner", True),
+    ("Interne medewerker", False),
+]
+
+
+@query("intern_titles", "F-10 T-12", f"SELECT * FROM (VALUES {', '.join(f'({k}, {str(v).lower()})' for k, (_, v) in enumerate(INTERN_TITLES))}) v(k, intern)")
 def _intern(t):
-    """The word by itself; in Nordic titles 'intern' before a noun means internal."""
-    title = F.lower("title")
-    is_one = title.rlike(labels.js_regex(r"\bintern(ship)?s?\b")) & ~title.rlike(labels.js_regex(r"\bintern (kommunikation|revisor|kontroll|auditor|kommunikasjon)\b"))
-    return values(t.spark, [(1, "Software Intern"), (2, "Intern kommunikation"), (3, "Internship, sales"), (4, "Internal audit")], ["k", "title"]).select(F.col("k").cast("int").alias("k"), is_one.alias("intern"))
+    from .classify import without_nordic_intern
+
+    rows = values(t.spark, [(k, x) for k, (x, _) in enumerate(INTERN_TITLES)], ["k", "title"])
+    return rows.select(F.col("k").cast("int").alias("k"), without_nordic_intern(F.col("title")).rlike(labels.js_regex(r"\bintern(ship)?s?\b")).alias("intern"))
+
+
+@query("nordic_part_names", "T-12", "SELECT p_partkey, NOT regexp_matches(p_name, '^(green|blue|dim)') AS intern FROM part")
+def _nordic_parts(t):
+    """Every part's name as a title behind 'intern': three colours stand for Nordic nouns."""
+    from .classify import without_nordic_intern
+
+    noun = F.regexp_replace(F.regexp_replace(F.regexp_replace("p_name", "^green", "kontroll"), "^blue", "blå"), "^dim", "logistik")
+    title = without_nordic_intern(F.concat(F.lit("Intern "), noun))
+    return t.part.select("p_partkey", title.rlike(labels.js_regex(r"\bintern\b")).alias("intern"))
 
 
 CASES = [
@@ -170,7 +196,7 @@ CASES = [
 
 @query(
     "classified_cases",
-    "C-1 C-2 C-3 C-4 C-5 C-7 C-8",
+    "C-1 C-2 C-3 C-4 C-5 C-7",
     "SELECT * FROM (VALUES (1, true, false, 'yes', 'senior'), (2, true, false, 'no', 'mid'), (3, false, false, NULL, NULL), (4, true, true, NULL, 'executive'), (5, false, false, NULL, 'internship'), (6, false, false, NULL, NULL), (7, true, true, NULL, NULL)) v(k, is_remote, remote_worldwide, visa_sponsorship, experience_level)",
 )
 def _classified(t):
@@ -180,20 +206,78 @@ def _classified(t):
     return rows.select(F.col("k").cast("int").alias("k"), classify(*(F.col(c) for c in ("title", "location", "workplace", "description"))).alias("c")).select("k", "c.*")
 
 
-@query("workplace_in_text", "C-9 C-10 C-11 T-11", "SELECT * FROM (VALUES (1, 'Remote'), (2, 'Remote'), (3, 'Hybrid'), (4, 'Remote'), (5, 'Remote'), (6, NULL), (7, 'Remote')) v(k, kind)")
+# Title, place, text; the work mode by text, the mode by a text that came later, remote, worldwide.
+MODE_CASES = [
+    ("Engineer", "Remote, United States", "Schemes such as ML-DSA or hybrid crypto schemes", "remote", "remote", True, False),
+    ("Architect", "Austin, TX", "Designing hybrid cloud and multi-cloud architectures.", None, None, False, False),
+    ("Analyst - Hybrid", "Leeds", "", "hybrid", "hybrid", False, False),
+    ("Analyst", "Denver, CO", "This is a hybrid role, two days at the desk.", "hybrid", "hybrid", False, False),
+    ("Analyst", "Denver, CO", "Work Model: Hybrid. Good pay.", "hybrid", "hybrid", False, False),
+    ("Analyst", "Denver, CO", "We are hybrid, two days per week.", "hybrid", "hybrid", False, False),
+    ("Analyst", "Denver, CO", "Ask whether this is a remote position.", None, None, False, False),
+    ("Analyst", "Denver, CO", "Pay may differ if this is a remote role.", None, None, False, False),
+    ("Analyst", "Denver, CO", "This is a remote position. Pay may differ if it is a remote role.", "remote", "remote", True, False),
+    ("Analyst", "Denver, CO", "Benefits: four weeks of work from anywhere each year.", None, None, False, False),
+    ("Analyst", "Denver, CO", "We have a work from anywhere policy.", None, None, False, False),
+    ("Analyst", "Denver, CO", "Our team can work from anywhere.", "remote", "remote", True, False),
+    ("Lead", None, "Work from anywhere in the world.", "remote", "remote", True, True),
+    ("Lead", None, "Work from anywhere in the US", "remote", "remote", True, False),
+    ("Lead", "Worldwide", "Our notes are kept in Git, a wiki, or hybrid", "remote", "remote", True, True),
+    ("Warehouse Lead", "Worldwide", "", "remote", "remote", True, False),
+    ("Lead", "Worldwide", "In-person position at first.", "remote", "remote", True, False),
+    ("Driver", "Remote", "", "remote", "remote", True, False),
+    ("Analyst in Boston", "Anywhere", "", "remote", "remote", True, False),
+    ("Analyst", "Iselin, NJ", "Start here. Go anywhere. This is our promise.", None, None, False, False),
+    ("Remote Sensing Analyst", "Denver, CO", "Methods of remote sensing.", None, None, False, False),
+    ("Analyst", "Denver, CO", "The job is performed remotely with remote access to files.", "remote", None, False, False),
+    ("Analyst", "Denver, CO", "Remote Position: No", None, None, False, False),
+    ("Analyst", "Denver, CO", "Mon, Tue, Wed in office, Friday WFH option.", "hybrid", "hybrid", False, False),
+    ("Entwickler", "Berlin", "Flexible Arbeit im Homeoffice und im Büro", "hybrid", "hybrid", False, False),
+    ("Entwickler", "Berlin", "Die Stelle ist 100% Homeoffice", "remote", "remote", False, False),
+    ("Sviluppatore", "Milano", "smart working e due giorni in sede", "hybrid", "hybrid", False, False),
+    ("Clerk", "Graz", "Work is onsite every day", "onsite", "onsite", False, False),
+    ("Clerk", "Graz", "", None, None, False, False),
+    (None, None, None, None, None, False, False),
+    ("Hybrid Immunization Specialist", "Fairfax", "", "hybrid", "hybrid", False, False),
+    ("Hybrid Cloud Architect", "Fairfax", "", None, None, False, False),
+    ("UX Designer - Barcelona Hybrid", "Barcelona", "", "hybrid", "hybrid", False, False),
+    ("Designer", "Austin, TX", "We are an all-remote company.", "remote", None, False, False),
+    ("Manager", "Newport", "She oversees all remote employees reporting to that office.", None, None, False, False),
+]
+_said = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'"
+
+
+@query(
+    "workplace_in_text",
+    "C-1 C-3 C-8 C-9 C-10 C-11 T-11",
+    f"SELECT * FROM (VALUES {', '.join(f'({k}, ' + ', '.join(map(_said, c[3:])) + ')' for k, c in enumerate(MODE_CASES))}) v(k, mode, later_mode, is_remote, worldwide)",
+)
 def _workplace_text(t):
-    from .classify import workplace_in_text
+    from . import classify as C
 
-    rows = values(t.spark, CASES, ["k", "title", "location", "workplace", "description"])
-    return rows.select(F.col("k").cast("int").alias("k"), workplace_in_text(F.col("title"), F.col("location"), F.col("description")).alias("kind"))
+    rows = values(t.spark, [(k, *c[:3]) for k, c in enumerate(MODE_CASES)], ["k", "title", "location", "description"])
+    own = [F.col(c) for c in ("title", "location", "description")]
+    remote = C.is_remote(own[0], own[1], F.lit(None).cast("string"), own[2])
+    return rows.select(F.col("k").cast("int").alias("k"), C.workplace_in_text(*own).alias("mode"), C.workplace_in_description(*own).alias("later_mode"), remote.alias("is_remote"), C.is_worldwide(*own, remote).alias("worldwide"))
 
 
-@query("classified_documents", "C-7 P-6 C-17", "SELECT doc_id, false AS is_remote FROM documents")
+@query(
+    "classified_documents",
+    "C-2 C-4 C-8",
+    r"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'remote' WHEN 1 THEN 'hybrid' WHEN 2 THEN 'onsite' WHEN 3 THEN 'hybrid' WHEN 4 THEN NULL ELSE 'remote' END AS mode,
+  doc_id % 6 IN (0, 5) AS is_remote, CASE doc_id % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS visa FROM documents WHERE text IS NOT NULL""",
+)
 def _classified_documents(t):
-    from .classify import is_remote
+    """The invented words of every whole document around a phrase that decides; the words themselves decide nothing."""
+    from . import classify as C
 
+    mode = F.element_at(F.array(*(F.lit(x) for x in ("This is a remote position.", "Work Model: Hybrid.", "You work on-site.", "This role is hybrid.", "Experience with hybrid cloud.", "You work from home."))), (F.col("doc_id") % 6 + 1).cast("int"))
+    visa = F.element_at(F.array(*(F.lit(x) for x in ("Visa sponsorship is available.", "We do not sponsor visas.", "Bring your papers.", "Be kind."))), (F.col("doc_id") % 4 + 1).cast("int"))
+    body = F.concat_ws(" \n", "text", mode, F.col("text"), visa)
     none = F.lit(None).cast("string")
-    return t.documents.select("doc_id", is_remote(F.col("text"), none, none, F.col("text")).alias("is_remote"))
+    title = F.lit("Clerk")
+    rows = t.documents.filter("text IS NOT NULL")
+    return rows.select("doc_id", C.workplace_in_text(title, none, body).alias("mode"), C.is_remote(title, none, none, body).alias("is_remote"), C.visa(body).alias("visa"))
 
 
 @query(
