@@ -3,170 +3,149 @@
 from __future__ import annotations
 
 import re
-import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters that do not decompose.
-FOLD = str.maketrans({"ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
-# Names of countries by ISO code.
-COUNTRIES = {
-    "us": "united states,united states of america,usa,u.s.,us,america",
-    "gb": "united kingdom,uk,great britain,england,scotland,wales,gb",
-    "ca": "canada",
-    "de": "germany,deutschland",
-    "fr": "france",
-    "es": "spain,espana",
-    "it": "italy,italia",
-    "pt": "portugal",
-    "nl": "netherlands,the netherlands,holland",
-    "be": "belgium",
-    "ch": "switzerland,suisse,schweiz",
-    "at": "austria,osterreich",
-    "ie": "ireland",
-    "se": "sweden",
-    "no": "norway",
-    "dk": "denmark",
-    "fi": "finland",
-    "pl": "poland",
-    "cz": "czech republic,czechia",
-    "ro": "romania",
-    "hu": "hungary",
-    "gr": "greece",
-    "ua": "ukraine",
-    "in": "india",
-    "cn": "china",
-    "jp": "japan",
-    "kr": "south korea,korea",
-    "sg": "singapore",
-    "au": "australia",
-    "nz": "new zealand",
-    "br": "brazil,brasil",
-    "mx": "mexico",
-    "ar": "argentina",
-    "co": "colombia",
-    "cl": "chile",
-    "za": "south africa",
-    "ng": "nigeria",
-    "ke": "kenya",
-    "eg": "egypt",
-    "ae": "united arab emirates,uae",
-    "il": "israel",
-    "tr": "turkey",
-    "ph": "philippines",
-    "ge": "georgia",
-    "ao": "angola",
-    "mk": "macedonia",
-    "lr": "liberia",
-}
+from . import places
+from .places import countries_in, norm
+
 # Countries of regions.
 REGIONS = {
+    "european union": "at be bg hr cy cz dk ee fi fr de gr hu ie it lv lt lu mt nl pl pt ro sk si es se",
     "eu": "at be bg hr cy cz dk ee fi fr de gr hu ie it lv lt lu mt nl pl pt ro sk si es se",
+    "europe": "gb ie de fr es it nl be pt se dk no fi is pl cz at ch gr ro hu sk bg hr si lt lv ee lu mt cy ua rs",
+    "emea": "gb ie de fr es it nl be se dk no fi pl cz at ch pt gr ro hu ae sa il tr eg za ng ke ma",
     "north america": "us ca mx",
+    "central america": "mx gt bz sv hn ni cr pa",
+    "south america": "br ar cl co pe uy py bo ec ve",
+    "latin america": "mx br ar cl co pe uy cr pa gt ec do",
+    "latam": "mx br ar cl co pe uy cr pa gt ec do",
+    "americas": "us ca mx br ar cl co pe cr pa uy",
+    "apac": "au nz sg jp in cn kr hk tw my th ph id vn",
+    "asia pacific": "au nz sg jp in cn kr hk tw my th ph id vn",
+    "apj": "au nz sg jp in kr hk tw my th ph id vn",
+    "asia": "in cn jp kr sg hk tw my th ph id vn ae sa il pk bd",
+    "southeast asia": "sg my th ph id vn kh la mm",
     "anz": "au nz",
+    "australia and new zealand": "au nz",
+    "middle east": "ae sa il qa kw bh om jo lb tr",
+    "mena": "ae sa il qa kw bh om jo lb eg ma tn dz",
+    "gcc": "ae sa qa kw bh om",
+    "africa": "za ng ke eg gh ma tz ug rw et sn ci",
     "nordics": "se no dk fi is",
     "scandinavia": "se no dk",
     "benelux": "nl be lu",
     "dach": "de at ch",
+    "uki": "gb ie",
     "uk and ireland": "gb ie",
-    "gcc": "ae sa qa kw bh om",
 }
-# Codes of states of the United States (no code for Montana, which is also another word's).
-US_STATES = {
-    "alabama": "al", "alaska": "ak", "arizona": "az", "arkansas": "ar", "california": "ca", "colorado": "co", "connecticut": "ct", "delaware": "de", "florida": "fl", "georgia": "ga",
-    "hawaii": "hi", "idaho": "id", "illinois": "il", "indiana": "in", "iowa": "ia", "kansas": "ks", "kentucky": "ky", "louisiana": "la", "maine": "me", "maryland": "md",
-    "massachusetts": "ma", "michigan": "mi", "minnesota": "mn", "mississippi": "ms", "missouri": "mo", "nebraska": "ne", "nevada": "nv", "new hampshire": "nh", "new jersey": "nj",
-    "new mexico": "nm", "new york": "ny", "north carolina": "nc", "north dakota": "nd", "ohio": "oh", "oklahoma": "ok", "oregon": "or", "pennsylvania": "pa", "rhode island": "ri",
-    "south carolina": "sc", "south dakota": "sd", "tennessee": "tn", "texas": "tx", "utah": "ut", "vermont": "vt", "virginia": "va", "washington": "wa", "west virginia": "wv",
-    "wisconsin": "wi", "wyoming": "wy",
-}
 ABBREVIATED = (("saint", "st"), ("fort", "ft"), ("mount", "mt"), ("sainte", "ste"))
-GENERIC = frozenset("eastern western northern southern central north south east west".split())
-
-LOOKUP = {name: code for code, names in COUNTRIES.items() for name in names.split(",")}
-
-
-def norm(s: str | None) -> str:
-    """Compatibility-decomposed, without marks, folded, lower case, single spaces."""
-    text = unicodedata.normalize("NFKD", (s or "").lower().translate(FOLD))
-    return re.sub(r"\s+", " ", "".join(c for c in text if not unicodedata.combining(c))).strip().lower()
+# Words that a place keeps its wrapping for, and what wraps a place.
+GENERIC = frozenset("united free new central capital eastern western northern southern north south east west northeast northwest southeast southwest".split())
+WRAPPED = re.compile(r"(?:greater )?(.+?)(?: (?:state|province|metro(?:politan)? area|metro|area))?")
+METROS = {
+    "delhi ncr": "delhi,new delhi,gurugram,gurgaon,noida,greater noida,faridabad,ghaziabad",
+    "greater toronto area,gta": "toronto,mississauga,brampton,markham,vaughan,oakville,richmond hill",
+    "bay area,san francisco bay area,sf bay area": "san francisco,oakland,san jose,palo alto,mountain view,sunnyvale,menlo park,redwood city,santa clara,berkeley,fremont,san mateo,cupertino",
+}
+METRO = {name: cities.split(",") for names, cities in METROS.items() for name in names.split(",")}
+#: Cities of several spellings, English first: a parameter of tokens and of queries.
+CITY_SPELLINGS = """munich munchen muenchen|cologne koln koeln|nuremberg nurnberg nuernberg|dusseldorf duesseldorf|vienna wien|zurich zuerich|geneva geneve genf|basel bale basle|bern berne
+lucerne luzern|milan milano mailand|rome roma|turin torino|genoa genova genua|padua padova|seville sevilla|zaragoza saragossa|lisbon lisboa lissabon|porto oporto|brussels bruxelles brussel
+antwerp antwerpen anvers|copenhagen kobenhavn|gothenburg goteborg|prague praha prag|warsaw warszawa|krakow cracow|bucharest bucuresti|athens athina|moscow moskva|kyiv kiev|tokyo tokio|beijing peking
+busan pusan|mumbai bombay|kolkata calcutta|chennai madras|bengaluru bangalore|pune poona|kochi cochin|thiruvananthapuram trivandrum|vadodara baroda|yangon rangoon|algiers alger|bavaria bayern"""
+SAME_CITY = {name: group.split() for group in CITY_SPELLINGS.replace("\n", "|").split("|") for name in group.split()}
 
 
 def country_codes(term: str | None) -> tuple[str, ...]:
     """Codes of the country or region that the term names; none for a place. Two-letter codes of states name no country."""
-    key = norm(term).rstrip(".")
-    if key in LOOKUP:
-        return (LOOKUP[key],)
-    if key in REGIONS:
-        return tuple(REGIONS[key].split())
-    return (key,) if len(key) == 2 and key in COUNTRIES and key not in US_STATES.values() else ()
+    code = places.country_of(term)
+    return (code,) if code else tuple(REGIONS.get(places.plain(term), "").split())
 
 
 def us_state_code(place: str) -> str | None:
-    return US_STATES.get(norm(place))
+    return None if norm(place) == "montana" else places.STATE_NAMES.get(norm(place))
 
 
 def place_spellings(place: str) -> list[str]:
-    """The place as tokens have it: plain, hyphens as spaces, saints and forts short and long, without wrapping words."""
+    """The place as tokens have it: plain, without what wraps it, the cities of a metropolis, hyphens as spaces, saints and
+    forts short and long, and other spellings of a city."""
     key = norm(place)
-    out = [key, key.replace("-", " ")]
-    m = re.fullmatch(r"greater (.+)|(.+) (?:state|area)", key)
-    if m and (inner := m[1] or m[2]) not in GENERIC:
-        out.append(inner)
+    out = [key, *METRO.get(key, [])]
+    inner = WRAPPED.fullmatch(key)
+    if key not in METRO and inner and inner[1] != key and inner[1] not in GENERIC:
+        out += [inner[1], *METRO.get(inner[1], [])]
+    out += [x.replace("-", " ") for x in out]
     for long, short in ABBREVIATED:
         for a, b in ((long, short), (short, long)):
             out += [re.sub(rf"^{a}\.? ", f"{b} ", x) for x in out if re.match(rf"{a}\.? ", x)]
+    out += [y for x in out for y in SAME_CITY.get(x, [])]
     return list(dict.fromkeys(out))
 
 
-def countries_in(text: str | None) -> list[str]:
-    """Codes that a location names, in order: each segment by itself; 'City, ST' is the United States."""
+def location_tokens(text: str | None) -> list[str]:
+    """Segments of up to four words, words of two letters or more, and the other spellings of cities among them."""
     out: list[str] = []
-    for address in re.split(r"[;/|]", text or ""):
-        parts = [p.strip() for p in re.split(r",| - ", address) if p.strip()]
-        for k, p in enumerate(parts):
-            key = norm(re.sub(r"\(.*?\)", "", p))
-            if k and re.fullmatch(r"[A-Z]{2}", p) and p.lower() in US_STATES.values():
-                out.append("us")
-            elif key in US_STATES:
-                out += ["us"] if key != "georgia" or k else ["us", "ge"]
-            else:
-                out += country_codes(p)
+    for part in re.split(r"[,/|]|\s+-\s+", norm(text)):
+        segment = " ".join(re.findall(r"[a-z0-9']+", part))
+        own = segment.split()
+        out += [segment] * (0 < len(own) <= 4) + [w for w in own if len(w) > 1]
+        out += [spelling for w in (segment, *own) for spelling in SAME_CITY.get(w, [])]
     return list(dict.fromkeys(out))
 
 
-def location_tokens(text: str | None) -> list[str]:
-    """Segments of a location, and their words of two letters or more."""
-    parts = [norm(p) for p in re.split(r"[,;/|()]", text or "")]
-    return list(dict.fromkeys(x for p in parts if p for x in [p, *(w for w in re.split(r"[\s-]+", p) if len(w) > 1)]))
-
-
-def per_value(fn, kind: str):
-    """A column function that maps each value by fn, a batch at a time."""
+def per_value(fn: Callable, kind: str) -> Callable[[Column], Column]:
+    """A column function that maps each value by fn, once for each different value of a batch."""
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(fn)
+        codes, different = pd.factorize(s, use_na_sentinel=False)
+        told = pd.Series([fn(None if pd.isna(x) else x) for x in different], dtype=object)
+        return told.take(codes).reset_index(drop=True)
 
     return lambda c: F.pandas_udf(run, kind)(c)
 
 
 norm_udf = per_value(norm, "string")
-countries_udf = per_value(countries_in, "array<string>")
 tokens_udf = per_value(location_tokens, "array<string>")
 
 
-def with_country(location: str | None, country: str | None) -> str | None:
+def countries_udf(location: Column) -> Column:
+    g = places.gazetteer()
+    return per_value(lambda text: countries_in(text, g), "array<string>")(location)
+
+
+def with_country(location: str | None, country: str | None, g: places.Gazetteer | None = None) -> str | None:
     """The location with the country added, if it then reads as exactly that country."""
-    codes = country_codes(country)
-    if not location or len(codes) != 1 or countries_in(location) == list(codes):
+    code = places.country_of(country, g)
+    if not location or not code or countries_in(location, g) == [code]:
         return location
     longer = f"{location}, {country}"
-    return longer if countries_in(longer) == list(codes) else location
+    return longer if countries_in(longer, g) == [code] else location
+
 
+def with_country_udf(location: Column, country: Column) -> Column:
+    g = places.gazetteer()
 
-def with_country_udf(location, country):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([with_country(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+        held: dict = {}
+        return pd.Series([held[k] if (k := (x, y)) in held else held.setdefault(k, with_country(x, y, g)) for x, y in zip(a, b, strict=True)], dtype=object)
 
     return F.pandas_udf(run, "string")(location, country)
+
+
+def remote_region_countries(location: Column) -> Column:
+    """Codes of the regions that a remote posting's location names."""
+    none = F.array().cast("array<string>")
+    out = none
+    for pattern, codes in places.REMOTE_REGIONS:
+        out = F.array_union(out, F.when(location.rlike(f"(?i){pattern}"), F.lit(codes.split())).otherwise(none))
+    return out
+
+
+def reads_anew(location: Column, countries: Column) -> Column:
+    """Whether a stored row's shape is one that older readings got wrong: a dash head, a state or code at the end, a list."""
+    shapes = r"(?:^|[,;|/]\s*)(?:USA?|CAN?)-[A-Za-z]{2}-|,\s*[A-Z]{2}(?:\s+\d{5})?\s*$|\b[A-Z]{3}\s*$|^[A-Z]{3}\s*-|[;|]"
+    return location.rlike(shapes) | ((F.size(countries) == 0) & location.contains(","))

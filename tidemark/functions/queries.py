@@ -102,22 +102,122 @@ def _intervals(t):
     return t.postings.select("id", (F.col("posted_at") - F.expr("INTERVAL 1 MONTH")).alias("month_before"), F.coalesce(F.expr("posted_at < TIMESTAMP_NTZ '2001-08-02 00:00:00' - INTERVAL 180 DAY"), F.lit(False)).alias("old"))
 
 
-@query("country_reading", "G-1 G-2 G-3", "SELECT * FROM (VALUES (1, 'us'), (2, 'de'), (3, 'us,gb'), (4, ''), (5, 'us,ge'), (6, 'fr'), (7, 'us')) v(k, codes)")
+# Locations by the codes that they read as.
+READINGS = {
+    "us": ["Austin, TX", "Salamanca, NY", "Spokane, WA", "Miami, FL", "Portland, OR", "Nashville, TN", "Washington, D.C.", "St. Louis, MO", "Remote, TX", "San Francisco, CA", "Indianapolis, IN", "Richmond, VA", "Denver, CO", "Atlanta, GA", "Wilmington, DE", "Newark, DE", "Boise, ID", "Chicago, IL", "Boston, MA", "Baltimore, MD", "Charlotte, NC", "Little Rock, AR", "Bozeman, MT", "Dover, DE", "Buffalo, New York", "Concord, California", "New Braunfels, Texas", "RICHMOND, Virginia", "Seattle, Washington", "Remote - Texas", "Texas", "Niagara Falls, New York, United States", "Austin, Texas, 78701", "Albuquerque, New Mexico", "Newark, New Jersey", "Jersey City, NJ", "Jersey City, NJ, US", "Atlanta, Georgia", "Lebanon, Tennessee", "Peru, Indiana", "Mexico, Missouri, USA", "Georgia, United States", "Austin, TX, USA - AUS", "US-CA-Ontario", "US-WA-Seattle", "USA-VA-Herndon", "US-MA-Boston; US-NY-New York", "HQ - San Diego, CA", "HQ - Indianapolis, IN", "Support Center - Irving, TX", "Main - Wilmington, DE", "Arcadia, FL, Auburn, AL, Edwardsville, KS, Gloversville, NY, Lyons, IL, Menasha, WI, Millcreek, UT, Puyallup, WA", "Arcadia, FL, Auburn, AL", "Austin, TX, Denver, CO", "Austin, TX, Dallas, TX", "Austin, TX, Denver, CO, USA", "TX - Dallas, NM - Albuquerque, VA - Norfolk, IN - Indianapolis, MI - Hazel Park, IN - Hammond, OH - Cleveland, TN, NY", "CA - San Diego, CO - Denver", "Urbandale, Douglas Ave, Urbandale, IA", "123 Main St, Urbandale, IA", "Austin, Congress Ave, Austin, TX", "Urbandale, Douglas Ave, Urbandale, IA 50322", "Urbandale, IA 50322", "Streeterville, Chicago, IL", "City Office Escondido, Escondido, CA", "Nashville Clinic, Nashville, TN", "Morgan Hill, CA", "4660 La Jolla Village Dr #100, San Diego, CA", "US - Austin, TX", "Holland, MI", "Nederland, TX, US, 77627", "Davie Medical Center - 329 NC Highway 801 N, Bermuda Run, NC", "Remote - U.S."],
+    "ca": ["Montreal, CA", "Montréal, CA", "CAN-ON-Toronto", "CA-ON-Toronto", "Downtown - Toronto, CA", "Toronto, ON, CA", "Toronto, ON, CAN", "Ottawa, ON", "Toronto ON", "Montreal, QC", "Vancouver, BC", "Regina, SK", "St. John's, NL", "Brampton, Ontario, CA", "Toronto, San Francisco, CA"],
+    "in": ["Pune, IN", "Bengaluru, IN", "Chennai, TN", "India - Pune, IN", "Gurugram, HR, IND", "Bengaluru, Karnataka, IN", "Pune, in", "Mumbai (Andheri East), IN"],
+    "au": ["Perth, WA", "Sydney - AUS", "Melbourne, VIC, AUS", "AUS - NSW - MACQUARIE PARK", "Newcastle, NSW", "Sydney NSW", "Melbourne VIC 3000", "Darwin, NT", "Adelaide, SA", "Sydney, New South Wales, Australia", "North Sydney, New South Wales"],
+    "co": ["Bogota, CO"],
+    "ar": ["Buenos Aires, AR", "CABA, CABA, AR"],
+    "id": ["Jakarta, ID"],
+    "mt": ["Sliema, MT"],
+    "il": ["Tel Aviv, IL", "Tel Aviv-Yafo, Tel Aviv District, IL"],
+    "de": ["Berlin, DE", "München, DE", "Mehrere Standorte, DE", "Boeblingen, DEU / Munich, BY, DEU", "Berlin, Berlin, DE", "Berlin, de"],
+    "ge": ["Tbilisi, Georgia"],
+    "ge,us": ["Georgia"],
+    "bg": ["Montana, Bulgaria"],
+    "ee": ["Tallinn, EST"],
+    "": ["Remote - EST", "US-XX-Foo", "Client Site - IND - Che - PDS", "Nowhere", "", "Indianapolis"],
+    "ca,us": ["US-NY-New York; Toronto, ON, CAN", "CA-AB-Sherwood Park | US-CT-Danbury", "Toronto, ON, CAN; Chicago, IL, USA", "Toronto, Canada; Streeterville, Chicago, IL"],
+    "fr": ["Paris - La Defense, FR", "Paris, Rue de Rivoli, Paris, FR"],
+    "gb": ["London - Canary Wharf, GB", "London, England, GB, GB", "Cardiff, Wales", "Wales, UK", "Belfast, Northern Ireland, United Kingdom"],
+    "de,fr": ["Paris, France, Berlin, Germany"],
+    "tn": ["Chennai, Anna Salai, Chennai, TN"],
+    "br": ["Sao Paulo, SP, BRA"],
+    "ie": ["Dublin, IRL", "Dublin, Ireland"],
+    "cn": ["Huangpu, Shanghai - CHN", "Zhangjiang, ARE-SH, CHN", "Beijing, People's Republic of China"],
+    "it": ["ITA-Milan-Piazza Armando Diaz 2"],
+    "za": ["ZAF - Gauteng - Isando"],
+    "be,gb": ["Birmingham, GBR / Ghent, BE, BEL"],
+    "vn": ["Can Tho, Vietnam"],
+    "sa": ["Riyadh, SA"],
+    "sk": ["Bratislava, SK"],
+    "pg": ["Port Moresby, Papua New Guinea"],
+    "gq": ["Malabo, Equatorial Guinea"],
+    "gw": ["Bissau, Guinea-Bissau"],
+    "gn": ["Conakry, Guinea"],
+    "ss": ["Juba, South Sudan"],
+    "sd": ["Khartoum, Sudan"],
+    "cd": ["Kinshasa, Democratic Republic of the Congo"],
+    "cg": ["Brazzaville, Republic of the Congo"],
+    "tt": ["Port of Spain, Trinidad and Tobago"],
+    "au,gb": ["United Kingdom - Remote, Sydney, New South Wales"],
+    "ma": ["Casablanca, CasaNearshore, MA"],
+    "in,pe": ["Lima, Peru, IN"],
+    "fr,gb": ["London, UK; Paris, France"],
+    "gb,us": ["London, United Kingdom / Austin, Texas"],
+    "ng": ["Lagos, Nigeria"],
+    "uy": ["Florida, Uruguay"],
+    "mx": ["Austin, TX, Mexico City, Mexico"],
+}
+READ = [(k, text, codes) for k, (codes, text) in enumerate((codes, x) for codes, texts in READINGS.items() for x in texts)]
+
+
+@query("country_reading", "G-1 G-2 G-3 G-5 G-13", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{codes}')" for k, _, codes in READ) + ") v(k, codes)")
 def _countries(t):
-    rows = [(1, "Austin, TX"), (2, "München, Deutschland"), (3, "New York, NY; London, UK"), (4, "Nowhere"), (5, "Georgia"), (6, "Paris - France"), (7, "New Mexico")]
-    return values(t.spark, rows, ["k", "location"]).select(F.col("k").cast("int").alias("k"), F.array_join(geo.countries_udf("location"), ",").alias("codes"))
+    return values(t.spark, [(k, x) for k, x, _ in READ], ["k", "location"]).select(F.col("k").cast("int").alias("k"), F.array_join(geo.countries_udf(F.col("location")), ",").alias("codes"))
 
 
-@query("location_tokens", "G-4", "SELECT * FROM (VALUES (1, 'new york|new|york|ny'), (2, 'sao paulo|sao|paulo|brazil')) v(k, tokens)")
+# Names and ISO codes of nations, by the keys of the input table.
+NAMED = "Algeria,Argentina,Brazil,Canada,Egypt,Ethiopia,France,Germany,India,Indonesia,Iran,Iraq,Japan,Jordan,Kenya,Morocco,Mozambique,Peru,China,Romania,Saudi Arabia,Vietnam,Russia,United Kingdom,United States".split(",")
+NATIONS = "dz ar br ca eg et fr de in id ir iq jp jo ke ma mz pe cn ro sa vn ru gb us".split()
+
+
+@query(
+    "customer_countries",
+    "G-1 G-2 G-5",
+    f"""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN code WHEN 1 THEN least(code, 'us') || CASE WHEN code = 'us' THEN '' ELSE ',' || greatest(code, 'us') END ELSE 'au' END AS codes
+FROM (SELECT c_custkey, [{", ".join(f"'{c}'" for c in NATIONS)}][c_nationkey + 1] AS code FROM customer)""",
+)
+def _customer_countries(t):
+    """Every customer's segment as a town, of their nation, or of it and a town in Texas, or of New South Wales."""
+    rows, town, nation = t.customer, F.initcap("c_mktsegment"), F.element_at(F.lit(NAMED), F.col("c_nationkey") + 1)
+    text = F.when(F.col("c_custkey") % 3 == 0, F.concat(town, F.lit(", "), nation)).when(F.col("c_custkey") % 3 == 1, F.concat(town, F.lit(", "), nation, F.lit("; Austin, TX"))).otherwise(F.concat(town, F.lit(", NSW")))
+    return rows.select("c_custkey", F.array_join(geo.countries_udf(text), ",").alias("codes"))
+
+
+PLACES = [
+    (1, "Greater Munich Area", "greater munich area|munich|munchen|muenchen"),
+    (2, "Saint-Denis", "saint-denis|saint denis|st denis"),
+    (3, "GTA", "gta|toronto|mississauga|brampton|markham|vaughan|oakville|richmond hill"),
+    (4, "Northern Area", "northern area"),
+    (5, "Ft. Worth", "ft. worth|fort worth"),
+    (6, "München", "munchen|munich|muenchen"),
+]
+
+
+@query("place_spellings", "G-6 G-7 G-10 G-11", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{w}')" for k, _, w in PLACES) + ") v(k, spellings)")
+def _spellings(t):
+    return values(t.spark, [(k, "|".join(geo.place_spellings(x))) for k, x, _ in PLACES], ["k", "spellings"]).select(F.col("k").cast("int").alias("k"), "spellings")
+
+
+@query("location_tokens", "G-4", "SELECT * FROM (VALUES (1, 'new york|new|york|ny'), (2, 'sao paulo|sao|paulo|brazil'), (3, 'munchen bayern|munchen|bayern|munich|muenchen|bavaria'), (4, 'one|two|three|four|five'), (5, '')) v(k, tokens)")
 def _tokens(t):
-    return values(t.spark, [(1, "New York, NY"), (2, "São Paulo / Brazil")], ["k", "location"]).select(F.col("k").cast("int").alias("k"), F.array_join(geo.tokens_udf("location"), "|").alias("tokens"))
+    return values(t.spark, [(1, "New York, NY"), (2, "São Paulo / Brazil"), (3, "München Bayern"), (4, "One Two Three Four Five"), (5, None)], ["k", "location"]).select(F.col("k").cast("int").alias("k"), F.array_join(geo.tokens_udf("location"), "|").alias("tokens"))
+
 
+EUROPEAN = "at,be,bg,hr,cy,cz,dk,ee,fi,fr,de,gr,hu,ie,it,lv,lt,lu,mt,nl,pl,pt,ro,sk,si,es,se,gb,no,ch,is"
 
-@query("remote_regions", "G-9 G-8", "SELECT n_name, r_name, CASE r_name WHEN 'EUROPE' THEN 'de,fr' WHEN 'AMERICA' THEN 'ca,us' ELSE '' END AS codes FROM nation JOIN region ON n_regionkey = r_regionkey")
+
+@query("remote_regions", "G-9", f"SELECT n_name, CASE r_name WHEN 'EUROPE' THEN '{EUROPEAN}' WHEN 'ASIA' THEN 'de,at,ch,ee,lv,lt' WHEN 'AFRICA' THEN 'se,no,dk,fi,is' ELSE '' END AS codes FROM nation JOIN region ON n_regionkey = r_regionkey")
 def _regions(t):
-    none = F.array().cast("array<string>")
-    codes = F.array_union(F.when(F.col("r_name").rlike("EUROPE"), F.lit(["de", "fr"])).otherwise(none), F.when(F.col("r_name").rlike("AMERICA"), F.lit(["ca", "us"])).otherwise(none))
-    return t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", F.array_join(codes, ",").alias("codes"))
+    said = F.when(F.col("r_name") == "EUROPE", "Remote, Europe").when(F.col("r_name") == "ASIA", "Remote - DACH or Baltics").when(F.col("r_name") == "AFRICA", "nordic, Scandinavia").otherwise("Remote, Neuropea")
+    return t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.array_join(geo.remote_region_countries(said), ",").alias("codes"))
+
+
+@query("region_codes", "G-8 F-18", "SELECT * FROM (VALUES ('UK and Ireland', 'gb,ie'), ('ANZ', 'au,nz'), ('gcc', 'ae,sa,qa,kw,bh,om'), ('Narnia', ''), ('Deutschland', 'de')) v(term, codes)")
+def _region_codes(t):
+    return values(t.spark, [(x, ",".join(geo.country_codes(x))) for x in ("UK and Ireland", "ANZ", "gcc", "Narnia", "Deutschland")], ["term", "codes"])
+
+
+@query("rows_to_read_anew", "G-14", "SELECT c_custkey, c_custkey % 4 IN (0, 1) OR c_custkey % 4 = 2 AND c_custkey % 8 = 2 AS anew FROM customer")
+def _anew(t):
+    """Addresses with a dash head, a state at the end, a town and a country unread or read, and one word."""
+    k = F.col("c_custkey") % 4
+    place = F.when(k == 0, "US-WA-Seattle").when(k == 1, "Kalispell, MT 59901").when(k == 2, "Lyon, Frankreich").otherwise("Lyon")
+    known = F.when(F.col("c_custkey") % 8 == 2, F.array().cast("array<string>")).otherwise(F.lit(["fr"]))
+    return t.customer.select("c_custkey", geo.reads_anew(place, known).alias("anew"))
 
 
 @query("posting_keys", "U-1 U-2 S-24", "SELECT * FROM (VALUES (1, 'greenhouse_123', 'acme'), (2, 'workable_AB12', 'acme'), (3, 'smartrecruiters_123456', 'acme'), (4, NULL, NULL), (5, 'bamboohr_77', 'acme'), (6, NULL, NULL)) v(k, external_id, board)")
