@@ -12,6 +12,10 @@ def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+#: Words that the patterns of a reader cannot do without: most texts have none, and one quick search tells.
+ABOUT_REMOTE, ABOUT_VISA = "(?i)remote|wfh|anywhere|home|virtual", "(?i)sponsor|visa|immigration|relocation|citizenship|1b|authorized|eligible"
+
+
 def any_of(c: Column, patterns: list[str], ignore_case: bool = True) -> Column:
     """Whether the text holds one of the patterns: tried together, case-sensitive ones by themselves."""
     plain = [p for p in patterns if not p.startswith("(?-i)")]
@@ -49,7 +53,7 @@ def states_remote(title: Column, description: Column) -> Column:
     said = without_boilerplate(one_line(text_of(description)))
     name = F.lower(F.trim(text_of(title)))
     denied = any_of(said, [P.NOT_REMOTE, P.REMOTE_FIELD_NO, P.OFFICE_DAYS])
-    return (said != "") & ~denied & (any_of(said, P.REMOTE_STATEMENT) | ((F.length(name) > 3) & F.lower(said).contains(F.concat(F.lit("remote "), name))))
+    return said.rlike(ABOUT_REMOTE) & ~denied & (any_of(said, P.REMOTE_STATEMENT) | ((F.length(name) > 3) & F.lower(said).contains(F.concat(F.lit("remote "), name))))
 
 
 def without_nordic_intern(title: Column) -> Column:
@@ -104,7 +108,7 @@ def is_worldwide(title: Column, location: Column, description: Column, remote: C
 
 def visa(description: Column) -> Column:
     """no before yes, else null."""
-    return F.when(any_of(description, P.VISA_NO), "no").when(any_of(description, P.VISA_YES), "yes")
+    return F.when(~description.rlike(ABOUT_VISA), None).when(any_of(description, P.VISA_NO), "no").when(any_of(description, P.VISA_YES), "yes")
 
 
 def experience_level(title: Column, description: Column) -> Column:

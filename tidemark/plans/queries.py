@@ -117,10 +117,25 @@ _location_query("location_region", "Building, DACH", "city = 'building' AND code
 _location_query("location_home", ["Machinery"], "city = 'machinery' AND code = 'fr'", "F-19", home="Machinery|France")
 
 
-@query("remote_widening", "F-20 A-8", f"SELECT id FROM {PLACED} WHERE city = 'machinery' OR (is_remote AND (code = 'gb' OR remote_worldwide))")
+VOTED = f"(SELECT place, code FROM (SELECT place, code, n, sum(n) OVER (PARTITION BY place) AS total, row_number() OVER (PARTITION BY place ORDER BY n DESC, code) AS k FROM (SELECT city AS place, code, count(*) AS n FROM {PLACED} GROUP BY 1, 2)) WHERE total >= 20 AND n >= 0.3 * total AND k <= 3)"
+
+
+@query("remote_widening", "F-20 A-8", f"SELECT id FROM {PLACED} WHERE is_remote AND (city = 'machinery' OR code IN (SELECT code FROM {VOTED} WHERE place = 'machinery') OR remote_worldwide AND EXISTS (SELECT 1 FROM {VOTED} WHERE place = 'machinery'))")
 def _widening(t):
+    rows, request = located(t).filter(F.col("removed_at").isNull()), SearchRequest(location="Machinery", remote="true")
+    return search.where(rows, request, as_of(), search.widened_countries(rows, request)).select("id")
+
+
+@query(
+    "remote_widening_modes",
+    "F-20 A-8",
+    f"SELECT id FROM {PLACED} WHERE is_remote AND (city = 'building' AND code = 'fr' OR EXISTS (SELECT 1 FROM {VOTED} WHERE place = 'building') AND (code = 'fr' OR code IN (SELECT code FROM {VOTED} WHERE place = 'building') OR remote_worldwide)) OR lower(workplace_type) = 'hybrid' AND city = 'building' AND code = 'fr'",
+)
+def _widening_modes(t):
+    """Remote postings widen to the countries of the place and to that named; hybrid ones keep the place."""
     rows = located(t).filter(F.col("removed_at").isNull())
-    return rows.filter(search.location_predicate(SearchRequest(location="Machinery"), {"machinery": ["gb"]})).select("id")
+    request = SearchRequest(location="Building, France", work_mode="remote,hybrid")
+    return search.where(rows, request, as_of(), search.widened_countries(rows, request)).select("id")
 
 
 @query("ranked_role", "R-1 R-4 R-5", "SELECT id, title, CAST(row_number() OVER (ORDER BY extra, first_seen_at DESC, id) AS INTEGER) AS rank FROM (SELECT id, title, first_seen_at, len(string_split(title, ' ')) - 2 AS extra FROM {jobs} WHERE removed_at IS NULL AND regexp_matches(title, '\\bblue\\b') AND regexp_matches(title, '\\bbolt\\b')) ORDER BY rank LIMIT 40")
@@ -128,13 +143,65 @@ def _ranked(t):
     return search.ranked(t.jobs.filter(F.col("removed_at").isNull()), "blue bolt", 40).select("id", "title", "rank")
 
 
-@query("multi_role_search", "R-2 R-3 W-2 W-13 W-14 H2")
+def linked(t):
+    """Live postings with a link that postings of one title share, with and without a slash at its end."""
+    return t.jobs.filter(F.col("removed_at").isNull()).withColumn("link", F.concat(F.lit("https://x.org/"), F.col("title_key").cast("string"), F.when(F.col("id") % 2 == 0, "/").otherwise("")))
+
+
+ROLES = ("ring", "blue bolt", "red widget")
+
+
+def _has(role: str) -> str:
+    return " AND ".join(f"list_contains(string_split(lower(title), ' '), '{w}')" for w in role.split())
+
+
+def _lists(depth: int) -> str:
+    one = "SELECT id, title, title_key, {k} AS role, row_number() OVER (ORDER BY len(string_split(title, ' ')), first_seen_at DESC, id) AS rank FROM {{jobs}} WHERE removed_at IS NULL AND {has}"
+    return f"(SELECT * FROM ({' UNION ALL '.join(one.format(k=k, has=_has(r)) for k, r in enumerate(ROLES))}) WHERE rank <= {depth})".replace("{{jobs}}", "{jobs}")
+
+
+def _interleaved(limit: int, offset: int) -> str:
+    first = f"SELECT id, title, role, rank, row_number() OVER (PARTITION BY title_key ORDER BY rank, role) AS turn FROM {_lists(limit + offset)}"
+    return f"SELECT id, title, CAST(role AS INTEGER) AS role, place FROM (SELECT *, row_number() OVER (ORDER BY rank, role) - 1 AS place FROM ({first}) WHERE turn = 1) WHERE place >= {offset} AND place < {offset + limit}"
+
+
+@query("multi_role_search", "S-3 R-2 W-2 W-13 W-14 H2", _interleaved(20, 0))
 def _multi(t):
-    rows = t.jobs.filter(F.col("removed_at").isNull()).withColumn("link", F.concat(F.lit("https://x.org/"), F.col("title_key").cast("string"), F.when(F.col("id") % 2 == 0, "/").otherwise("")))
-    return search.interleave(rows, ["ring", "blue bolt", "red widget"], 20)
+    return search.search(linked(t), SearchRequest(q=", ".join(ROLES), limit=20), as_of())[0]
 
 
-@query("widened_role", "R-1")
+@query("multi_role_second_page", "R-2 W-2 W-14", _interleaved(15, 15))
+def _multi_second(t):
+    return search.search(linked(t), SearchRequest(q=", ".join(ROLES), limit=15, page=2), as_of())[0]
+
+
+@query(
+    "multi_role_metadata",
+    "R-2 R-6 P-3",
+    "WITH s AS (SELECT CAST(" + " + ".join(f"least(count(*) FILTER (WHERE {_has(r)}), 10000)" for r in ROLES) + " AS BIGINT) AS total FROM {jobs} WHERE removed_at IS NULL) "
+    "SELECT total, 2 AS page, CAST(ceil(total / 15.0) AS BIGINT) AS pages, total > 30 AS has_next, true AS has_prev, CASE WHEN total > 30 THEN 30 END AS next_offset, 0 AS prev_offset, false AS capped FROM s",
+)
+def _multi_total(t):
+    return search.search(linked(t), SearchRequest(q=", ".join(ROLES), limit=15, page=2), as_of())[1]
+
+
+@query(
+    "over_budget_search",
+    "R-3",
+    f"""SELECT id, title, 0 AS role, place FROM (SELECT id, title, row_number() OVER (ORDER BY held DESC, len(string_split(title, ' ')) - held, first_seen_at DESC, id) - 1 AS place FROM (
+  SELECT *, CASE {" ".join(f"WHEN {_has(' '.join('ring blue bolt red widget'.split()[:n]))} THEN {n}" for n in range(5, 0, -1))} ELSE 0 END AS held FROM {{jobs}} WHERE removed_at IS NULL) WHERE held > 0) WHERE place >= 1400 AND place < 1420""",
+)
+def _over_budget(t):
+    """A page so deep that the lists of three roles would pass the budget: one loose list of all words."""
+    return search.search(linked(t), SearchRequest(q=", ".join(ROLES), limit=20, offset=1400), as_of())[0]
+
+
+@query("search_without_text", "R-5 P-3", "SELECT id, title, 0 AS role, place FROM (SELECT id, title, row_number() OVER (ORDER BY first_seen_at DESC, id) - 1 AS place FROM {jobs} WHERE removed_at IS NULL AND experience_level = 'lead') WHERE place >= 50 AND place < 100")
+def _no_text(t):
+    return search.search(linked(t), SearchRequest(experience_level="lead", page=2), as_of())[0]
+
+
+@query("widened_role", "R-1", f"SELECT id, title, CAST(row_number() OVER (ORDER BY len(string_split(title, ' ')), first_seen_at DESC, id) AS INTEGER) AS rank FROM {{jobs}} WHERE removed_at IS NULL AND {_has('blue bolt')} ORDER BY rank LIMIT 20")
 def _widened(t):
     hits, _ = search.widening(t.jobs.filter(F.col("removed_at").isNull()), "blue bolt unheard of", 20)
     return hits.select("id", "title", "rank")
@@ -147,12 +214,14 @@ def _shape(t):
     return shaped.select("id", F.col("salary.min").alias("salary_min"), "is_remote", F.col("company.name").alias("company"))
 
 
-@query("page_metadata", "P-3 R-6", "SELECT total, CAST(ceil(total / 50.0) AS BIGINT) AS pages, total > 150 AS has_next, CASE WHEN total > 150 THEN 150 END AS next_offset FROM (SELECT least(count(*), 10000) AS total FROM {postings} WHERE removed_at IS NULL)")
+@query(
+    "page_metadata",
+    "P-3 R-6",
+    "SELECT total, 3 AS page, CAST(ceil(total / 50.0) AS BIGINT) AS pages, total > 150 AS has_next, true AS has_prev, CASE WHEN total > 150 THEN 150 END AS next_offset, 50 AS prev_offset, capped FROM (SELECT least(count(*), 10000) AS total, count(*) >= 10000 AS capped FROM {postings} WHERE removed_at IS NULL)",
+)
 def _meta(t):
-    from ..operators.aggregates import capped_count
-
-    total = F.col("total")
-    return capped_count(t.postings.filter(F.col("removed_at").isNull())).select(total, F.ceil(total / 50.0).alias("pages"), (total > 150).alias("has_next"), F.when(total > 150, 150).alias("next_offset"))
+    rows = t.postings.filter(F.col("removed_at").isNull()).withColumn("title", F.lit(""))
+    return search.page_metadata(search.total_of(rows, []), SearchRequest(page=3))
 
 
 @query("search_documents", "P-4 P-5 P-6 P-7 J-3 O-1 D-4", "SELECT id, company_name, CAST(epoch(coalesce(posted_at, first_seen_at)) AS BIGINT) AS posted_ts, CAST(epoch(first_seen_at) AS BIGINT) AS first_seen_ts, coalesce(workplace_type, CASE WHEN is_remote THEN 'Remote' END) AS workplace FROM {postings} LEFT JOIN {companies} USING (company_id) WHERE removed_at IS NULL")

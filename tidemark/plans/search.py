@@ -123,47 +123,83 @@ def group_predicate(group: Group, tokens: Column, countries: Column, location: C
     return inside if named is None else named if inside is None else named & inside
 
 
-def location_predicate(request: SearchRequest, widened: dict[str, list[str]] | None = None) -> Column | None:
-    """OR of all groups of all elements. home: 'City|Country' narrows the element that equals it, to that country or none.
+def location_elements(request: SearchRequest) -> list[str]:
+    return request.location if isinstance(request.location, list) else [request.location] if request.location else []
 
-    widened: countries by place. Remote rows then also match by the place's countries, or if worldwide.
-    """
-    elements = request.location if isinstance(request.location, list) else [request.location] if request.location else []
-    tokens, countries, location = F.col("location_tokens"), F.col("location_countries"), F.col("location")
+
+def home_of(request: SearchRequest) -> tuple[str, tuple[str, ...]] | None:
+    """The city and countries of home, 'City|Country', if it has both."""
     home = [p.strip() for p in (request.home or "").split("|")]
-    at_home = geo.country_codes(home[1]) if len(home) == 2 and home[0] else ()
+    codes = geo.country_codes(home[1]) if len(home) == 2 and home[0] else ()
+    return (home[0], codes) if codes else None
+
+
+def location_predicate(request: SearchRequest) -> Column | None:
+    """OR of all groups of all elements. home: 'City|Country' narrows the element that equals it, to that country or none."""
+    tokens, countries, location = F.col("location_tokens"), F.col("location_countries"), F.col("location")
+    home = home_of(request)
     parts: list[Column] = []
-    wide: list[str] = []
-    for element in elements:
-        if at_home and geo.norm(element) == geo.norm(home[0]):
-            known = F.arrays_overlap(countries, F.lit(list(at_home))) | countries.isNull() | (F.size(countries) == 0)
+    for element in location_elements(request):
+        if home and geo.norm(element) == geo.norm(home[0]):
+            known = F.arrays_overlap(countries, F.lit(list(home[1]))) | countries.isNull() | (F.size(countries) == 0)
             parts.append(place_predicate(home[0], tokens, countries, location) & known)
-            continue
-        for g in parse_element(element):
-            parts.append(group_predicate(g, tokens, countries, location))
-            wide += [c for p in g.places for c in (widened or {}).get(geo.norm(p), [])]
-    if not parts:
-        return None
-    stated = reduce(or_, parts)
-    if widened is None:
-        return stated
-    near = F.arrays_overlap(countries, F.lit(sorted(set(wide)))) if wide else F.lit(False)
-    return stated | (F.col("is_remote") & (near | F.col("remote_worldwide")))
+        else:
+            parts += [group_predicate(g, tokens, countries, location) for g in parse_element(element)]
+    return reduce(or_, parts) if parts else None
+
+
+# How many postings a place needs to tell its country, the least share of them, how many countries and places.
+PLACE_LEAST, PLACE_SHARE, PLACE_COUNTRIES, PLACES_LOOKED_UP = 20, 0.3, 3, 6
+
+
+def widened_countries(df: DataFrame, request: SearchRequest) -> list[str]:
+    """The countries that a remote search with places widens to; none where it names no place that lies in one.
+
+    A place lies where the postings that have it say: one scan counts countries for all places that the request names.
+    Countries that it names itself, and that of its home, are kept.
+    """
+    asked = request.remote == "true" or "remote" in {m.lower() for m in listed(request.work_mode)}
+    if not asked or request.remote_worldwide == "true" or not location_elements(request):
+        return []
+    home = home_of(request)
+    away = [e for e in location_elements(request) if not (home and geo.norm(e) == geo.norm(home[0]))]
+    terms = list(dict.fromkeys(t.strip() for e in away for t in re.split("[,|]", e) if t.strip()))
+    named = [c for t in terms for c in geo.country_codes(t)]
+    places = [t for t in terms if not geo.country_codes(t) or geo.norm(t) in AMBIGUOUS][:PLACES_LOOKED_UP]
+    found = list(home[1]) if home and len(away) < len(location_elements(request)) else []
+    if places:
+        tokens, countries, location = F.col("location_tokens"), F.col("location_countries"), F.col("location")
+        hits = F.array_compact(F.array(*(F.when(place_predicate(p, tokens, countries, location), F.lit(p)) for p in places)))
+        votes = df.select(F.explode(hits).alias("place"), F.col("location_countries").alias("codes"))
+        told = votes.select("place", F.explode("codes").alias("code")).groupBy("place", "code").agg(F.count("*").alias("n")).collect()
+        for place in places:
+            own = {r["code"]: r["n"] for r in told if r["place"] == place}
+            if (total := sum(own.values())) >= PLACE_LEAST:
+                found += sorted((c for c in own if own[c] >= PLACE_SHARE * total), key=lambda c: (-own[c], c))[:PLACE_COUNTRIES]  # noqa: B023
+    return sorted({*found, *named}) if found else []
 
 
 # -- flat predicates -------------------------------------------------------------------------------------------------
 
 
-def predicates(request: SearchRequest, as_of: Column, columns: list[str]) -> list[Column]:
-    """All that is asked besides the text, on rows with the named columns."""
+def predicates(request: SearchRequest, as_of: Column, columns: list[str], widened: list[str] | None = None) -> list[Column]:
+    """All that is asked besides the text, on rows with the named columns.
+
+    widened: countries where remote postings are wanted too, beside the places. Other work modes keep the places.
+    """
     out = [F.col("removed_at").isNull()]
+    stated = location_predicate(request) if "location_tokens" in columns else None
     modes = {m.lower() for m in listed(request.work_mode)}
-    if modes:
-        office = [m for m in ("hybrid", "onsite") if m in modes or m == "onsite" and "on-site" in modes]
-        ways = [F.col("is_remote")] * ("remote" in modes) + [F.lower("workplace_type").isin(office)] * bool(office)
-        if office and request.include_unlabeled == "true":
-            ways.append((F.col("workplace_type").isNull() | (F.col("workplace_type") == "")) & ~F.coalesce("is_remote", F.lit(False)))
-        out.append(reduce(or_, ways) if ways else F.lit(False))
+    office = [m for m in ("hybrid", "onsite") if m in modes or m == "onsite" and "on-site" in modes]
+    here = F.lower("workplace_type").isin(office) if office else None
+    if office and request.include_unlabeled == "true":
+        here = here | ((F.col("workplace_type").isNull() | (F.col("workplace_type") == "")) & ~F.coalesce("is_remote", F.lit(False)))
+    if stated is not None and widened:
+        away = F.col("is_remote") & (stated | F.arrays_overlap("location_countries", F.lit(widened)) | F.coalesce("remote_worldwide", F.lit(False)))
+        out.append(away if here is None or request.remote == "true" else away | (here & stated))
+    else:
+        ways = [F.col("is_remote")] * ("remote" in modes) + [here] * (here is not None)
+        out += [reduce(or_, ways) if ways else F.lit(False)] * bool(modes) + [stated] * (stated is not None)
     if kinds := listed(request.employment_type):
         out.append(F.lower("employment_type").isin([(normalize_employment_type(k) or k).lower() for k in kinds]))
     for name in ("experience_level", "ats"):
@@ -188,8 +224,6 @@ def predicates(request: SearchRequest, as_of: Column, columns: list[str]) -> lis
     if window:
         back = F.make_interval(months=F.lit(window.n)) if window.unit == "months" and not request.month_as_days else F.expr(f"INTERVAL {window.seconds} SECOND")
         out.append(F.coalesce("posted_at", "first_seen_at") >= as_of - back)
-    if "location_tokens" in columns and (where := location_predicate(request)) is not None:
-        out.append(where)
     return out
 
 
@@ -204,8 +238,8 @@ def text_predicate(q: str | None, column: str = "title") -> Column | None:
     return reduce(or_, roles) if roles else None
 
 
-def where(df: DataFrame, request: SearchRequest, as_of: Column) -> DataFrame:
-    parts = predicates(request, as_of, df.columns)
+def where(df: DataFrame, request: SearchRequest, as_of: Column, widened: list[str] | None = None) -> DataFrame:
+    parts = predicates(request, as_of, df.columns, widened)
     text = text_predicate(request.q)
     return df.filter(reduce(and_, parts + ([text] if text is not None else [])))
 
@@ -218,41 +252,127 @@ def page_of(df: DataFrame, request: SearchRequest, order: list[Column]) -> DataF
 
 # -- ranked retrieval ------------------------------------------------------------------------------------------------
 
+TOKENS = r"[^\p{L}\p{N}_-]+"
+
+
+def best_first() -> list[Column]:
+    """Fewest other words in the title, then newest, then id."""
+    return [F.col("extra"), F.desc("first_seen_at"), F.col("id")]
+
+
+def tagged(df: DataFrame, roles: list[str]) -> DataFrame:
+    """A row for each role whose words are all in the title: role, its number, and extra, the title's other words. One scan."""
+    tokens = F.split(F.lower("title"), TOKENS)
+    hits = [F.when(reduce(and_, (F.array_contains(tokens, w) for w in words(r))), F.struct(F.lit(k).alias("role"), (F.size(tokens) - len(words(r))).alias("extra"))) for k, r in enumerate(roles)]
+    return df.withColumn("__hit", F.explode(F.array_compact(F.array(*hits)))).select(*df.columns, "__hit.role", "__hit.extra")
+
 
 def ranked(df: DataFrame, role: str, depth: int) -> DataFrame:
-    """Rows whose title holds every word of the role, best first: (…, rank). Fewest other words, then newest, then id."""
-    own = words(role)
-    tokens = F.split(F.lower("title"), r"[^\p{L}\p{N}_-]+")
-    hits = df.filter(reduce(and_, (F.array_contains(tokens, w) for w in own), F.lit(bool(own))))
-    hits = hits.withColumn("extra", F.size(tokens) - len(own))
+    """Rows whose title holds every word of the role, best first: (…, rank). An empty role: all rows, newest first."""
     from pyspark.sql import Window
 
-    top = hits.orderBy("extra", F.desc("first_seen_at"), "id").limit(depth)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy("extra", F.desc("first_seen_at"), "id")))
+    hits = tagged(df, [role]).drop("role") if words(role) else df.withColumn("extra", F.lit(0))
+    return hits.orderBy(*best_first()).limit(depth).withColumn("rank", F.row_number().over(Window.orderBy(*best_first())))
+
+
+def loose(df: DataFrame, q: str, depth: int) -> DataFrame:
+    """Rows whose title holds the first word of q, those with more of its leading words first: (…, rank)."""
+    from pyspark.sql import Window
+
+    tokens = F.split(F.lower("title"), TOKENS)
+    held = F.lit(0)
+    for n in range(1, len(words(q)) + 1):
+        held = F.when(reduce(and_, (F.array_contains(tokens, w) for w in words(q)[:n])), n).otherwise(held)
+    order = [F.desc("held"), *best_first()]
+    rows = df.withColumn("held", held).filter("held > 0").withColumn("extra", F.size(tokens) - F.col("held"))
+    return rows.orderBy(*order).limit(depth).withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("held")
+
+
+def lists(df: DataFrame, roles: list[str], depth: int) -> DataFrame:
+    """(id, title, link, role, rank): the first depth rows of each role, from one scan.
+
+    Up to a depth of 1,000 each task keeps only its own best of a role before the shuffle (a limit of the window group), and
+    beyond it each role takes its first rows by itself.
+    """
+    from pyspark.sql import Window
+
+    if depth > 1000:
+        parts = [ranked(df, r, depth).select("id", "title", "link", "rank").withColumn("role", F.lit(k)) for k, r in enumerate(roles)]
+        return reduce(DataFrame.unionByName, parts)
+    rank = F.row_number().over(Window.partitionBy("role").orderBy(*best_first()))
+    hits = tagged(df.select("id", "title", "link", "first_seen_at"), roles)
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= depth).select("id", "title", "link", "rank", "role")
 
 
 def interleave(df: DataFrame, roles: list[str], limit: int, offset: int = 0) -> DataFrame:
     """Round-robin of the roles' lists. A row whose id or whose (link, title) was taken before is passed over.
 
-    Depth times roles is bounded by DEPTH_BUDGET, so the sequential pass sees a bounded list in one group.
+    Depth times roles is bounded by DEPTH_BUDGET, so the sequential pass sees a bounded list in one group. Past the budget
+    the page is cut from one loose list of all words instead, as deep as it was asked for.
     """
     roles = [r for r in roles if words(r)][:ROLE_CAP]
-    depth = max(1, min(offset + limit, DEPTH_BUDGET // max(1, len(roles))))
-    lists = [ranked(df, r, depth).select("id", "title", "link", "rank").withColumn("role", F.lit(k)) for k, r in enumerate(roles)]
-    both = reduce(DataFrame.unionByName, lists)
+    depth = offset + limit
+    if depth * len(roles) > DEPTH_BUDGET or not roles:
+        rows = loose(df, " ".join(roles), depth) if roles else ranked(df, "", depth)
+        page = rows.filter(F.col("rank") > offset)
+        return page.select("id", "title", F.lit(0).alias("role"), (F.col("rank") - 1).cast("long").alias("place"))
 
     def take(rows):
+        import pandas as pd
+
         seen, kept = set(), []
-        for r in rows.sort_values(["rank", "role"]).itertuples():
-            keys = {("id", r.id), ("link", str(r.link).rstrip("/").lower(), re.sub(r"[^a-z0-9]+", " ", r.title.lower()).strip())}
+        for x, title, link, role in rows.sort_values(["rank", "role"])[["id", "title", "link", "role"]].itertuples(index=False):
+            keys = {("id", x), ("link", str(link).rstrip("/").lower(), re.sub(r"[^a-z0-9]+", " ", title.lower()).strip())}
             if not keys & seen:
                 seen |= keys
-                kept.append((r.id, r.title, r.role, len(kept)))
-        import pandas as pd
-
+                kept.append((x, title, role, len(kept)))
         return pd.DataFrame(kept[offset : offset + limit], columns=["id", "title", "role", "place"]).astype({"id": "int64", "role": "int32", "place": "int64"})
 
-    return both.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(take, "id long, title string, role int, place long")
+    return lists(df, roles, depth).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(take, "id long, title string, role int, place long")
+
+
+def total_of(df: DataFrame, roles: list[str]) -> DataFrame:
+    """One row, total: what the roles hit, a row once for each of them, at most HIT_CAP each; and capped, whether one is."""
+    roles = [r for r in roles if words(r)][:ROLE_CAP]
+    counts = tagged(df.select("title"), roles).groupBy("role").count() if roles else df.groupBy(F.lit(0).alias("role")).count()
+    return counts.agg(F.coalesce(F.sum(F.least("count", F.lit(HIT_CAP))), F.lit(0)).alias("total"), F.coalesce(F.max(F.col("count") >= HIT_CAP), F.lit(False)).alias("capped"))
+
+
+def page_metadata(total: DataFrame, request: SearchRequest) -> DataFrame:
+    """One row about the page that the request asks for, from (total, capped)."""
+    limit = max(1, min(MOST_ROWS, request.limit))
+    offset = max(0, (request.page - 1) * limit if request.page else request.offset)
+    n, after = F.col("total"), F.col("total") > offset + limit
+    return total.select(
+        n,
+        F.lit(offset // limit + 1).alias("page"),
+        F.ceil(n / limit).alias("pages"),
+        after.alias("has_next"),
+        F.lit(offset > 0).alias("has_prev"),
+        F.when(after, offset + limit).alias("next_offset"),
+        F.lit(max(0, offset - limit) if offset else None).cast("int").alias("prev_offset"),
+        "capped",
+    )
+
+
+def search(df: DataFrame, request: SearchRequest, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """The page (id, title, role, place), and one row about it. df has a link and what the filters ask for.
+
+    One role is searched with all its words, and if nothing has them, with fewer from its end; several roles take turns.
+    Without text the newest rows come first.
+    """
+    from dataclasses import replace
+
+    rows = where(df, replace(request, q=None), as_of, widened_countries(df, request) if "location_tokens" in df.columns else None)
+    roles = [r for r in listed(request.q) if words(r)][:ROLE_CAP]
+    limit = max(1, min(MOST_ROWS, request.limit))
+    offset = max(0, (request.page - 1) * limit if request.page else request.offset)
+    if len(roles) > 1:
+        page = interleave(rows, roles, limit, offset)
+    else:
+        hits = widening(rows, roles[0], offset + limit)[0] if roles else ranked(rows, "", offset + limit)
+        page = hits.filter(F.col("rank") > offset).select("id", "title", F.lit(0).alias("role"), (F.col("rank") - 1).cast("long").alias("place"))
+    return page, page_metadata(total_of(rows, roles), request)
 
 
 def widening(df: DataFrame, role: str, depth: int) -> tuple[DataFrame, bool]:
