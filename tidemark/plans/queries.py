@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..registry import query
-from . import search
+from . import documents, search
 from .search import SearchRequest
 
 
@@ -207,11 +207,12 @@ def _widened(t):
     return hits.select("id", "title", "rank")
 
 
-@query("result_shape", "P-2 P-1", "SELECT id, CAST(salary_min_annual AS VARCHAR) AS salary_min, coalesce(is_remote, false) AS is_remote, company_name AS company FROM {postings} JOIN {companies} USING (company_id) WHERE id % 40 = 1")
+@query("result_shape", "P-2 P-1", "SELECT id, CAST(salary_min_annual AS VARCHAR) AS salary_min, salary_currency AS currency, coalesce(is_remote, false) AS is_remote, company_name AS company, ats_slug AS slug, posted_at FROM {postings} JOIN {companies} USING (company_id)")
 def _shape(t):
-    rows = t.postings.filter("id % 40 = 1").join(t.companies, "company_id")
-    shaped = rows.select("id", F.struct(F.col("salary_min_annual").cast("string").alias("min"), F.col("salary_currency").alias("currency")).alias("salary"), F.coalesce("is_remote", F.lit(False)).alias("is_remote"), F.struct(F.col("company_name").alias("name")).alias("company"))
-    return shaped.select("id", F.col("salary.min").alias("salary_min"), "is_remote", F.col("company.name").alias("company"))
+    rows = t.postings.join(t.companies, "company_id")
+    salary, company = F.struct(F.col("salary_min_annual").cast("string").alias("min"), F.col("salary_currency").alias("currency")), F.struct(F.col("company_name").alias("name"), F.col("ats_slug").alias("slug"))
+    shaped = rows.select("id", salary.alias("salary"), F.coalesce("is_remote", F.lit(False)).alias("is_remote"), company.alias("company"), "posted_at")
+    return shaped.select("id", F.col("salary.min").alias("salary_min"), "salary.currency", "is_remote", F.col("company.name").alias("company"), "company.slug", "posted_at")
 
 
 @query(
@@ -224,12 +225,121 @@ def _meta(t):
     return search.page_metadata(search.total_of(rows, []), SearchRequest(page=3))
 
 
-@query("search_documents", "P-4 P-5 P-6 P-7 J-3 O-1 D-4", "SELECT id, company_name, CAST(epoch(coalesce(posted_at, first_seen_at)) AS BIGINT) AS posted_ts, CAST(epoch(first_seen_at) AS BIGINT) AS first_seen_ts, coalesce(workplace_type, CASE WHEN is_remote THEN 'Remote' END) AS workplace FROM {postings} LEFT JOIN {companies} USING (company_id) WHERE removed_at IS NULL")
+def stored_rows(t):
+    """Postings with their companies and all that a search document holds."""
+    k = F.col("id") % 4
+    place = F.when(k == 0, "Austin, TX").when(k == 1, "Remote, DACH").when(k == 2, "Lyon, France")
+    rows = t.postings.join(t.companies.withColumnRenamed("ats", "segment"), "company_id", "left").withColumnsRenamed({"role_category": "title", "segment": "department"})
+    return rows.select(
+        "*", place.alias("location"), F.lower("department").alias("ats"), F.concat(F.lit("https://x.org/"), "external_id").alias("url"), F.lit("").alias("domain"), F.lit(None).cast("string").alias("logo_url"),
+        F.col("title").alias("role_category"), F.col("salary_min_annual").cast("string").alias("salary_min"), F.lit("n/a").alias("salary_max"), F.lit(None).cast("long").alias("salary_max_annual"), F.lit("yearly").alias("salary_interval"),
+    )
+
+
+DOCUMENTS = """SELECT id, external_id, title, ats AS department, CASE id % 4 WHEN 0 THEN 'Austin, TX' WHEN 1 THEN 'Remote, DACH' WHEN 2 THEN 'Lyon, France' END AS location,
+  CASE id % 4 WHEN 0 THEN 'us' WHEN 1 THEN CASE WHEN is_remote THEN 'de,at,ch' ELSE '' END WHEN 2 THEN 'fr' ELSE '' END AS location_countries, CASE id % 4 WHEN 0 THEN 'austin,tx' WHEN 1 THEN 'remote,dach' WHEN 2 THEN 'lyon,france' ELSE '' END AS location_tokens,
+  workplace_type, employment_type, experience_level, visa_sponsorship, title AS role_category, is_remote, remote_worldwide, lower(ats) AS ats, 'https://x.org/' || external_id AS url,
+  CAST(salary_min_annual AS DOUBLE) AS salary_min, CAST(NULL AS DOUBLE) AS salary_max, CAST(salary_min_annual AS DOUBLE) AS salary_min_annual, CAST(NULL AS DOUBLE) AS salary_max_annual, salary_currency, 'yearly' AS salary_interval, posted_at,
+  CAST(epoch(coalesce(posted_at, first_seen_at)) AS BIGINT) AS posted_ts, CAST(epoch(first_seen_at) AS BIGINT) AS first_seen_ts, company_id, company_name, CAST(NULL AS VARCHAR) AS company_domain, ats_slug AS company_ats_slug, CAST(NULL AS VARCHAR) AS company_logo_url
+FROM (SELECT *, role_category AS title FROM {postings}) LEFT JOIN {companies} USING (company_id) WHERE removed_at IS NULL"""
+
+
+@query("search_documents", "P-4 J-3 O-1 D-4", DOCUMENTS)
 def _documents(t):
-    from ..functions.dates import epoch
+    docs = documents.to_documents(stored_rows(t).filter(F.col("removed_at").isNull()))
+    return docs.withColumns({"location_countries": F.array_join("location_countries", ","), "location_tokens": F.array_join("location_tokens", ",")})
+
+
+ENRICHED = [
+    # title, place, mode, type, salary, description; salary, currency, interval, mode, type, remote, level
+    ("Senior Clerk", "Graz", None, None, None, "<p>Full-time. We pay $50,000 - $60,000. You work onsite.</p>", "50000", "USD", "yearly", "onsite", "Full-time", False, "senior"),
+    ("Clerk", "Graz", "Hybrid", "Vollzeit", "10", "<b>Contract</b> role, $90,000 - $95,000, fully remote position", "10", None, None, "Hybrid", "Vollzeit", False, None),
+    ("Junior Cook", None, "", "", "", "This is a remote position.", "", None, None, "remote", None, True, "entry"),
+    ("Cook", "Remote", None, None, None, None, None, None, None, "remote", None, True, None),
+]
+
+
+@query(
+    "enriched_postings",
+    "P-6 C-1 C-9 M-1",
+    "SELECT * FROM (VALUES " + ", ".join(f"({k}, " + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" for v in c[6:]) + ")" for k, c in enumerate(ENRICHED)) + ") v(k, salary_min, salary_currency, salary_interval, workplace_type, employment_type, is_remote, experience_level)",
+)
+def _enriched(t):
+    shape = "k int, title string, location string, workplace_type string, employment_type string, salary_min string, description string, salary_max string, salary_currency string, salary_interval string"
+    rows = t.spark.createDataFrame([(k, *c[:6], None, None, None) for k, c in enumerate(ENRICHED)], shape)
+    return documents.enriched(rows).select("k", "salary_min", "salary_currency", "salary_interval", "workplace_type", "employment_type", "is_remote", "experience_level")
+
+
+@query(
+    "written_postings",
+    "P-5 M-4 C-13 C-14",
+    """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Remote' WHEN 1 THEN 'Hybrid' END AS workplace_type, CASE o_orderkey % 4 WHEN 0 THEN 'Full-time' WHEN 1 THEN 'Part-time' WHEN 2 THEN 'Internship' END AS employment_type,
+CASE o_orderkey % 2 WHEN 0 THEN 'Data Engineer' ELSE 'Other' END AS role_category, CASE WHEN o_orderkey % 5 = 0 THEN CAST(round(CAST(floor(o_totalprice / 1000) AS BIGINT) * 2080) AS BIGINT) ELSE CAST(floor(o_totalprice) AS BIGINT) END AS salary_min_annual FROM orders""",
+)
+def _written(t):
+    k = F.col("o_orderkey")
+    pick = lambda n, *said: F.element_at(F.lit(list(said)), (k % n + 1).cast("int"))
+    hourly = k % 5 == 0
+    rows = t.orders.select(
+        k.alias("id"), pick(3, "WORK_FROM_HOME", "hybrid remote", "unspecified").alias("workplace_type"), pick(4, "FULL_TIME", "Permanent - Part Time", "Internship - Full Time", "other").alias("employment_type"),
+        pick(2, "Senior Data Engineer", "Florist").alias("title"), F.when(hourly, F.floor(F.col("o_totalprice") / 1000)).otherwise(F.floor("o_totalprice")).cast("string").alias("salary_min"), F.lit(None).cast("string").alias("salary_max"), F.when(hourly, "per hour").otherwise("Annual").alias("salary_interval"),
+    )
+    return documents.as_stored(rows).select("id", "workplace_type", "employment_type", "role_category", "salary_min_annual")
+
+
+@query("normal_sources", "P-7 U-11", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'taleo' WHEN 2 THEN lower(c_mktsegment) ELSE '' END AS ats FROM customer")
+def _sources(t):
+    said = F.when(F.col("c_custkey") % 4 == 0, " GrnHse ").when(F.col("c_custkey") % 4 == 1, "taleo_selectminds").when(F.col("c_custkey") % 4 == 2, F.col("c_mktsegment"))
+    return t.customer.select("c_custkey", documents.normal_source(said).alias("ats"))
+
+
+@query("index_employment", "C-15 T-12", "SELECT * FROM (VALUES (0, 'Internship'), (1, 'Full-time'), (2, 'Zeitarbeit'), (3, NULL), (4, 'Contract'), (5, 'Full-time')) v(k, type)")
+def _index_employment(t):
+    rows = [(0, "Marketing Intern", "full_time"), (1, "Internship Program Coordinator", "FULL TIME"), (2, "Cook", "Zeitarbeit"), (3, "Cook", ""), (4, "Cook", "freelance"), (5, "Intern revisor", "vollzeit")]
+    return t.spark.createDataFrame(rows, "k int, title string, type string").select("k", documents.index_employment_type(F.col("title"), F.col("type")).alias("type"))
+
+
+GOOD = '{"is_remote":true,"remote_worldwide":false,"visa_sponsorship":"unknown","experience_level":"lead"}'
+ANSWERS = [
+    (GOOD, True, False, None, "lead"),
+    ("```json\n" + GOOD.replace("unknown", "yes") + "\n```", True, False, "yes", "lead"),
+    (GOOD.replace("true", '"true"'), None, None, None, None),
+    (GOOD.replace("lead", "chief"), None, None, None, None),
+    (GOOD.replace("unknown", "maybe"), None, None, None, None),
+    ("no json", None, None, None, None),
+    (None, None, None, None, None),
+]
+
+
+@query("model_answers", "C-16", "SELECT * FROM (VALUES " + ", ".join(f"({k}, " + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" for v in a[1:]) + ")" for k, a in enumerate(ANSWERS)) + ") v(k, is_remote, remote_worldwide, visa_sponsorship, experience_level)")
+def _answers(t):
+    rows = t.spark.createDataFrame([(k, a[0]) for k, a in enumerate(ANSWERS)], "k int, content string")
+    return rows.select("k", documents.parsed_answer(F.col("content")).alias("a")).select("k", "a.*")
+
+
+@query(
+    "merged_answers",
+    "C-17",
+    """SELECT id, CASE WHEN id % 3 = 0 THEN coalesce(visa_sponsorship, 'unknown') ELSE visa_sponsorship END AS visa_sponsorship, CASE WHEN id % 3 = 0 THEN 'lead' ELSE experience_level END AS experience_level,
+CASE WHEN id % 3 = 0 AND workplace_type IS NULL THEN true ELSE is_remote END AS is_remote, CASE WHEN id % 3 = 0 AND workplace_type IS NULL THEN false ELSE remote_worldwide END AS remote_worldwide FROM {postings}""",
+)
+def _merged_answers(t):
+    """Every third posting has a valid answer, and every third an invalid one."""
+    answers = t.postings.filter("id % 3 < 2").select("id", F.when(F.col("id") % 3 == 0, GOOD).otherwise("{}").alias("content"))
+    return documents.with_answers(t.postings, answers).select("id", "visa_sponsorship", "experience_level", "is_remote", "remote_worldwide")
+
+
+@query("retagged_hybrids", "C-18", "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'Remote' WHEN 4 THEN 'Onsite' ELSE 'Hybrid' END AS workplace_now FROM orders")
+def _retagged(t):
+    """Stored hybrids: two that the text takes back, one that it bears out, one that it says nothing of, and one with office days."""
+    text = F.element_at(F.lit(["Work with hybrid cloud. This is a remote position.", "This role is hybrid.", "Bake bread.", "Mon, Tue in office.", "Hybrid cars; you work onsite."]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.lit("Engineer").alias("title"), F.lit("Graz").alias("location"), text.alias("description"), F.lit("Hybrid").alias("workplace_type"))
+    return documents.retagged(rows).select("id", "workplace_now")
+
 
-    live = t.postings.filter(F.col("removed_at").isNull()).join(t.companies, "company_id", "left")
-    return live.select("id", "company_name", epoch(F.coalesce("posted_at", "first_seen_at")).alias("posted_ts"), epoch(F.col("first_seen_at")).alias("first_seen_ts"), F.coalesce("workplace_type", F.when(F.col("is_remote"), "Remote")).alias("workplace"))
+@query("stored_tokens", "K-18", "SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))), ' ') AS tokens FROM part")
+def _stored_tokens(t):
+    return t.part.select("p_partkey", F.array_join(documents.search_tokens(F.col("p_name"), F.lit(None).cast("string"), F.col("p_type")), " ").alias("tokens"))
 
 
 @query("lateral_column", "P-10", "SELECT p_partkey, regexp_replace(p_brand, '[^0-9]', '', 'g') AS brand_no FROM part")
