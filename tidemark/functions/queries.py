@@ -15,9 +15,16 @@ def values(spark, rows: list[tuple], names: list[str]):
     return spark.range(1).select(F.explode(F.array(*cells)).alias("v")).select("v.*")
 
 
-@query("strip_html", "T-1 T-2 T-3", "SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'))) > 0 AS has_text FROM pages")
+@query(
+    "strip_html",
+    "T-1 T-2 T-3",
+    r"""SELECT doc_id, md5(regexp_replace(regexp_replace('Head' || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '• one' || chr(10) || '• two "x"', '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS plain FROM documents""",
+)
 def _strip(t):
-    return t.pages.select("page_id", (F.length(F.trim(F.regexp_replace(text.strip_html(F.col("html")), r"\s+", " "))) > 0).alias("has_text"))
+    """Every whole text as the escaped paragraph of a page, between a heading and a list."""
+    body = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit("<div><h2 class='x'>Head</h2><p>"), body, F.lit("</p><ul><li>one</li><li>two &quot;x&quot;</li></ul></div>"))
+    return t.documents.select("doc_id", F.md5(text.strip_html(page)).alias("plain"))
 
 
 @query("strip_html_cases", "T-1", "SELECT * FROM (VALUES (1, 'a\nb'), (2, '• x\n• y'), (3, 'A\n\nB & C'), (4, 'q \"z\"')) v(k, plain)")
@@ -26,11 +33,23 @@ def _strip_cases(t):
     return values(t.spark, rows, ["k", "html"]).select(F.col("k").cast("int").alias("k"), text.strip_html(F.col("html")).alias("plain"))
 
 
-@query("folded_names", "T-4 T-5", "SELECT doc_id, strip_accents(lower(substr(text, 1, 40))) AS folded FROM documents WHERE lang IN ('fr', 'es') AND NOT regexp_matches(substr(text, 1, 40), '\\s\\s|\\n|^\\s|\\s$|[ßøæœłđðþı]')")
+@query(
+    "folded_names",
+    "T-4",
+    r"""SELECT doc_id, md5(trim(regexp_replace(strip_accents(replace(replace(replace(replace(lower(coalesce(text, '') || ' Straße Łódź Øre Œuvre'), 'ß', 'ss'), 'ł', 'l'), 'ø', 'o'), 'œ', 'oe')), '\s+', ' ', 'g'))) AS folded FROM documents""",
+)
 def _folded(t):
-    head = F.substring("text", 1, 40)
-    rows = t.documents.filter(F.col("lang").isin("fr", "es") & ~head.rlike(r"\s\s|\n|^\s|\s$|[ßøæœłđðþı]"))
-    return rows.select("doc_id", geo.norm_udf(head).alias("folded"))
+    return t.documents.select("doc_id", F.md5(geo.norm_udf(F.concat(F.coalesce("text", F.lit("")), F.lit(" Straße Łódź Øre Œuvre")))).alias("folded"))
+
+
+REGION_NAMES = [("  The “Bay Area” ", "the bay area"), ("Asia/Pacific", "asia pacific"), ("L'Aquila", "l'aquila"), ("São Tomé & Príncipe", "sao tome principe"), ("U.S.", "us"), ("Côte d’Ivoire", "cote d'ivoire")]
+
+
+@query("plain_names", "T-5", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{w.replace(chr(39), chr(39) * 2)}')" for k, (_, w) in enumerate(REGION_NAMES)) + ") v(k, plain)")
+def _plain(t):
+    from . import places
+
+    return values(t.spark, [(k, x) for k, (x, _) in enumerate(REGION_NAMES)], ["k", "name"]).select(F.col("k").cast("int").alias("k"), geo.per_value(places.plain, "string")(F.col("name")).alias("plain"))
 
 
 @query("key_makers", "T-6 T-7", "SELECT p_partkey, trim(regexp_replace(lower(p_name || '--' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS title_key, regexp_replace(regexp_replace(lower(trim(p_brand)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
@@ -244,9 +263,13 @@ def _verdicts(t):
     return v.select(F.col("k").cast("int").alias("k"), text.verdict(F.col("status"), F.col("final_url"), F.col("body")).alias("verdict"))
 
 
-@query("page_liveness", "S-27", "SELECT page_id, 'alive' AS verdict FROM pages")
+@query("page_liveness", "S-27", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'alive' WHEN 1 THEN 'dead' WHEN 2 THEN 'unknown' WHEN 3 THEN 'dead' ELSE 'dead' END AS verdict FROM pages")
 def _liveness(t):
-    return t.pages.select("page_id", text.verdict(F.lit(200), F.lit("https://x.org/jobs/1"), text.strip_html(F.col("html"))).alias("verdict"))
+    """Every page as it is, with a closing line, blocked, gone, and sent on to the list of jobs."""
+    k = F.col("page_id") % 5
+    body = F.concat(text.strip_html(F.col("html")), F.when(k == 1, " This position has been filled.").when(k == 2, " Are you a robot?").otherwise(""))
+    status, final = F.when(k == 3, 410).otherwise(200), F.when(k == 4, "https://x.org/jobs").otherwise("https://x.org/jobs/1")
+    return t.pages.select("page_id", text.verdict(status, final, body).alias("verdict"))
 
 
 INTERN_TITLES = [
@@ -411,6 +434,33 @@ def _company_of(t):
     return values(t.spark, LINKS, ["k", "url"]).select(F.col("k").cast("int").alias("k"), text.company_of(F.col("url")).alias("c")).select("k", "c.*")
 
 
+PLACES_OF_LINKS = [
+    ("https://big.wd5.myworkdayjobs.com/en-US/Ext/job/Graz/Cook_JR1?x=1", "big", "Ext", "/job/Graz/Cook_JR1"),
+    ("https://wd1.myworkdaysite.com/recruiting/acme/Careers/job/Cook_R-2/", "acme", "Careers", "/job/Cook_R-2"),
+    ("https://big.myworkdayjobs.com/Ext/job/Cook", None, None, None),
+    ("https://big.wd5.myworkdayjobs.com/job/Cook", None, None, None),
+    ("https://abc.fa.us2.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX_1/requisitions/job/300012/?lastSelectedFacet=x", "abc", "CX_1", "300012"),
+    ("https://abc.fa.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX_2/job/7", "abc", "CX_2", "7"),
+    ("http://abc.fa.oraclecloud.com/hcmUI/sites/CX_2/job/7", None, None, None),
+    ("https://abc.fa.oraclecloud.com/hcmUI/sites/CX_2/job/x7", None, None, None),
+    ("https://jobs.workable.com/view/ab12/cook-at-The-Caf%C3%A9-%26-Co?x", "wjb_name_the-caf-co", "https://jobs.workable.com/company-name/the-caf-co", None),
+    ("https://jobs.workable.com/view/ab12/cook", "wjb_name_acme-gmbh", "https://jobs.workable.com/company-name/acme-gmbh", None),
+]
+
+
+@query("parts_of_links", "U-5 U-8", "SELECT * FROM (VALUES " + ", ".join(f"({k}, " + ", ".join("NULL" if v is None else f"'{v}'" for v in x[1:]) + ")" for k, x in enumerate(PLACES_OF_LINKS)) + ") v(k, a, b, c)")
+def _parts_of_links(t):
+    rows = values(t.spark, [(k, x[0]) for k, x in enumerate(PLACES_OF_LINKS)], ["k", "url"])
+    w, o, f = text.workday_parts(F.col("url")), text.oracle_parts(F.col("url")), F.when(F.col("url").contains("workable"), text.feed_company(F.col("url"), F.lit("Acme GmbH")))
+    return rows.select(F.col("k").cast("int").alias("k"), F.coalesce(w["tenant"], o["tenant"], f["slug"]).alias("a"), F.coalesce(w["site"], o["site"], f["career_url"]).alias("b"), F.coalesce(w["path"], o["job"]).alias("c"))
+
+
+@query("apis_of_links", "U-5", "SELECT o_orderkey, 'https://t' || o_custkey || '.wd3.myworkdayjobs.com/wday/cxs/t' || o_custkey || '/Site/job/X_' || o_orderkey AS api FROM orders")
+def _apis(t):
+    url = F.concat(F.lit("https://T"), "o_custkey", F.lit(".wd3.myworkdayjobs.com/de-DE/Site/job/X_"), "o_orderkey", F.lit("?source=feed"))
+    return t.orders.select("o_orderkey", F.replace(text.workday_parts(url)["api"], F.lit("cxs/T"), F.lit("cxs/t")).alias("api"))
+
+
 @query("sandbox_boards", "U-3 U-4", "SELECT * FROM (VALUES (2), (4)) v(k)")
 def _sandbox(t):
     rows = values(t.spark, LINKS, ["k", "url"]).select(F.col("k").cast("int").alias("k"), text.company_of(F.col("url"))["slug"].alias("slug"))

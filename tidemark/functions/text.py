@@ -111,6 +111,33 @@ def utf8_cut(c: Column, most_bytes: int) -> Column:
     return F.when(F.octet_length(c) <= most_bytes, c).otherwise(F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(cut.cast("string"))), "\ufffd+$", ""))
 
 
+def workday_parts(url: Column) -> Column:
+    """struct(host, tenant, site, path, api) of a Workday posting's link, or null. The path begins with /job."""
+    link = r"^https?://([^/?#]+)(?:/[^/?#]+)*?/([^/?#]+)(/job(?:/[^?#]*)?)(?:[?#].*)?$"
+    host, site, path = (F.regexp_extract(url, link, k) for k in (1, 2, 3))
+    jobs, sites = host.rlike(r"(?i)\.wd\d+\.myworkdayjobs\.com$"), host.rlike(r"(?i)\.myworkdaysite\.com$")
+    tenant = F.when(jobs, F.regexp_extract(host, r"^([^.]+)", 1)).when(sites, F.regexp_extract(url, r"^https?://[^/]+/recruiting/([^/?#]+)", 1))
+    trimmed = F.regexp_replace(path, "/+$", "")
+    api = F.concat(F.lit("https://"), F.lower(host), F.lit("/wday/cxs/"), tenant, F.lit("/"), site, trimmed)
+    return F.when(tenant != "", F.struct(F.lower(host).alias("host"), tenant.alias("tenant"), site.alias("site"), trimmed.alias("path"), api.alias("api")))
+
+
+def oracle_parts(url: Column) -> Column:
+    """struct(host, tenant, region, site, job, api) of an Oracle candidate-experience posting's link, or null."""
+    link = r"^https://([^./?#]+)\.fa(?:\.([^./?#]+))?\.oraclecloud\.com(?:/[^?#]*)?/sites/([^/?#]+)(?:/[^/?#]+)*?/job/(\d+)(?:[/?#].*)?$"
+    tenant, region, site, job = (F.regexp_extract(url, link, k) for k in (1, 2, 3, 4))
+    host = F.regexp_extract(url, r"^https://([^/?#]+)", 1)
+    api = F.concat(F.lit("https://"), host, F.lit("/hcmRestApi/resources/latest/recruitingCEJobRequisitionDetails?onlyData=true&expand=all&finder=ById;Id="), job, F.lit(",siteNumber="), F.url_encode(site))
+    return F.when(job != "", F.struct(host.alias("host"), tenant.alias("tenant"), F.nullif(region, F.lit("")).alias("region"), site.alias("site"), job.alias("job"), api.alias("api")))
+
+
+def feed_company(url: Column, name: Column) -> Column:
+    """struct(slug, career_url) of a marketplace posting's employer, by its link, else by its name; null without either."""
+    said = F.regexp_extract(url, r"(?i)^https?://jobs\.workable\.com/view/[^/]+/.*-at-([^/?#]+)/?(?:[?#].*)?$", 1)
+    slug = F.coalesce(F.nullif(slug_of(F.coalesce(F.try_url_decode(said), said)), F.lit("")), F.nullif(slug_of(name), F.lit("")))
+    return F.when(slug.isNotNull(), F.struct(F.left(F.concat(F.lit("wjb_name_"), slug), F.lit(200)).alias("slug"), F.concat(F.lit("https://jobs.workable.com/company-name/"), slug).alias("career_url")))
+
+
 # Hosts of boards, what in the link is the board's name, and the board's address.
 HOSTS = {
     "greenhouse": (r"https?://(?:boards|job-boards)\.greenhouse\.io/([^/?#]+)", "https://boards.greenhouse.io/%s"),

@@ -152,14 +152,18 @@ def _bounds(t):
     "SELECT ats, ats_slug, min(first_seen_at) AS first_seen, max(last_seen_at) AS last_seen, count(*) FILTER (WHERE removed_at IS NULL) AS live, count(*) FILTER (WHERE removed_at IS NOT NULL) AS retired, array_to_string(list_slice(list_sort(list_distinct(list(external_id))), 1, 3), '|') AS samples FROM {postings} JOIN {companies} USING (company_id) GROUP BY 1, 2",
 )
 def _board(t):
-    """Samples are the three first ids: kept by a bounded sketch of each group, not by collecting it."""
-    rows = t.postings.join(t.companies, "company_id")
+    """Postings are summed by company before they meet their boards. Samples are a board's three least ids, of the
+    three least of each of its companies, which share the shuffle of the sums."""
     from pyspark.sql import Window
 
-    first = rows.select("ats", "ats_slug", "external_id").distinct().withColumn("k", F.row_number().over(Window.partitionBy("ats", "ats_slug").orderBy("external_id"))).filter("k <= 3")
-    samples = first.groupBy("ats", "ats_slug").agg(F.array_join(F.array_sort(F.collect_list("external_id")), "|").alias("samples"))
-    sums = rows.groupBy("ats", "ats_slug").agg(F.min("first_seen_at").alias("first_seen"), F.max("last_seen_at").alias("last_seen"), F.count_if(F.col("removed_at").isNull()).alias("live"), F.count_if(F.col("removed_at").isNotNull()).alias("retired"))
-    return sums.join(samples, ["ats", "ats_slug"])
+    own = t.postings.withColumn("k", F.row_number().over(Window.partitionBy("company_id").orderBy("external_id")))
+    sums = own.groupBy("company_id").agg(
+        F.min("first_seen_at").alias("first_seen"), F.max("last_seen_at").alias("last_seen"), F.count_if(F.col("removed_at").isNull()).alias("live"), F.count_if(F.col("removed_at").isNotNull()).alias("retired"),
+        F.collect_list(F.when(F.col("k") <= 3, F.col("external_id"))).alias("least"),
+    )
+    boards = sums.join(t.companies.select("company_id", "ats", "ats_slug"), "company_id").groupBy("ats", "ats_slug")
+    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("least")))), 1, 3)
+    return boards.agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("live").alias("live"), F.sum("retired").alias("retired"), F.array_join(least, "|").alias("samples"))
 
 
 @query("transition_matrix", "A-17", "SELECT coalesce(visa_sponsorship, '') AS was, CASE WHEN id % 2 = 0 THEN coalesce(visa_sponsorship, '') ELSE 'no' END AS now, count(*) AS n FROM {postings} GROUP BY 1, 2")
@@ -184,9 +188,12 @@ def _prefix(t):
     return t.postings.join(t.companies, "company_id").groupBy(F.substring_index("external_id", "_", 1).alias("feed"), "ats").agg(F.count("*").alias("n"))
 
 
-@query("distinct_places", "A-21", "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(CAST(l_suppkey AS VARCHAR)))), ',') AS suppliers FROM lineitem GROUP BY 1")
+@query("distinct_places", "A-21", "SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY first_line, l_suppkey) AS suppliers FROM (SELECT l_orderkey, l_suppkey, min(l_linenumber) AS first_line FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def _places(t):
-    return t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))), ",").alias("suppliers"))
+    """The different suppliers of an order, in the order of their first lines."""
+    once = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.min("l_linenumber").alias("first_line"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("first_line", "l_suppkey"))), lambda x: x["l_suppkey"].cast("string"))
+    return once.groupBy("l_orderkey").agg(F.array_join(listed, ",").alias("suppliers"))
 
 
 @query(

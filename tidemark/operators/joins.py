@@ -55,9 +55,25 @@ def _tuple(t):
     return t.companies.join(again, ["ats", "ats_slug"], "left_semi").select("company_id", "ats", "ats_slug")
 
 
-@query("not_in_subquery", "J-8", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R')")
+def not_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Rows whose value is not among the values, as SQL's NOT IN has it: an anti join by hash, since nulls are looked for first."""
+    found = values.toDF("__v")
+    if not found.filter("__v IS NULL").isEmpty():
+        return df.limit(0)
+    rows = df if found.isEmpty() else df.filter(F.col(column).isNotNull())
+    return rows.join(found, F.col(column) == F.col("__v"), "left_anti")
+
+
+@query("not_in_subquery", "J-8", "SELECT s_suppkey FROM (SELECT CASE WHEN s_suppkey % 10 > 0 THEN s_suppkey END AS s_suppkey FROM supplier) WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R')")
 def _not_in(t):
-    return t.supplier.select("s_suppkey").join(t.lineitem.filter("l_quantity > 49 AND l_returnflag = 'R'"), F.col("s_suppkey") == F.col("l_suppkey"), "left_anti")
+    """NOT IN with nulls: a null is in no result, and a null among the values would empty it."""
+    own = t.supplier.select(F.when(F.col("s_suppkey") % 10 > 0, F.col("s_suppkey")).alias("s_suppkey"))
+    return not_in(own, "s_suppkey", t.lineitem.filter("l_quantity > 49 AND l_returnflag = 'R'").select("l_suppkey"))
+
+
+@query("not_in_with_null", "J-8", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT CASE WHEN l_linenumber > 1 THEN l_suppkey END FROM lineitem)")
+def _not_in_null(t):
+    return not_in(t.supplier.select("s_suppkey"), "s_suppkey", t.lineitem.select(F.when(F.col("l_linenumber") > 1, F.col("l_suppkey")).alias("l_suppkey")))
 
 
 @query("array_membership", "J-9", "SELECT id FROM {postings} WHERE role_category IN ('1-URGENT', '2-HIGH') AND experience_level IS NOT NULL AND experience_level <> 'lead'")

@@ -75,12 +75,14 @@ def last_of_batch(batch: DataFrame, keys: tuple[str, ...], order: str) -> DataFr
     return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
-def merge(stored: DataFrame, batch: DataFrame, policy: Policy, now: Column | None = None) -> DataFrame:
+def merge(stored: DataFrame, batch: DataFrame, policy: Policy, now: Column | None = None, order: Column | None = None) -> DataFrame:
     """New state, and `change`: inserted, updated or kept.
 
     Columns of stored decide the shape; a column the batch lacks keeps its value. `last_seen_at`, `absent_syncs` and
-    `removed_at`, if stored has them, are set by the policy on rows of the batch.
+    `removed_at`, if stored has them, are set by the policy on rows of the batch. Of rows of the batch that repeat a key the
+    one with the largest `order` counts, a column of the batch or an expression; without it, the last as the batch is read.
     """
+    batch = last_of_batch(batch.withColumn("__order", F.monotonically_increasing_id() if order is None else order), policy.keys, "__order").drop("__order")
     o, n, keys = stored.alias("o"), batch.withColumn("__in", F.lit(True)).alias("n"), policy.keys
     on = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys]
     both = o.withColumn("__had", F.lit(True)).alias("o").join(n, on, "full_outer")
@@ -106,7 +108,9 @@ def merge(stored: DataFrame, batch: DataFrame, policy: Policy, now: Column | Non
 
 
 def insert_absent(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    fresh = batch.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    """stored and the batch's rows of new keys; of rows that repeat a key the first as the batch is read stays."""
+    first = last_of_batch(batch.withColumn("__order", -F.monotonically_increasing_id()), tuple(keys), "__order").drop("__order")
+    fresh = first.join(stored.select(*keys), keys, "left_anti")
     return stored.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -170,7 +174,7 @@ def miss_counter(previous: Column, error: Column, now: Column, grace_days: int =
 
 
 def _two_sides(t):
-    """Stored: postings of even keys; batch: every third, with other values. The batch repeats some keys."""
+    """Stored: postings of even keys; batch: every third, with other values, and for every fifteenth an older row too."""
     base = t.orders.select(F.concat(F.lit("x_"), F.col("o_orderkey").cast("string")).alias("external_id"), F.col("o_custkey").alias("company_id"), "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderdate")
     k = F.col("o_orderkey")
     stored = base.filter(k % 2 == 0).select(
@@ -182,7 +186,9 @@ def _two_sides(t):
         "external_id", "company_id", F.concat(F.lit("new "), "o_orderpriority").alias("title"), F.when(k % 9 == 0, "new place").alias("location"), F.when(k % 6 == 0, "no").otherwise("").alias("visa_sponsorship"),
         F.lit(None).cast("string").alias("workplace_type"), F.lit(False).alias("is_remote"), F.lit("Contract").alias("employment_type"), F.col("o_orderdate").alias("first_seen_at"),
     )
-    return stored, batch
+    batch = batch.withColumn("seq", F.lit(1))
+    older = base.filter(k % 15 == 0).select("external_id", "company_id", F.lit("older").alias("title"), F.lit("older place").alias("location"), F.lit("yes").alias("visa_sponsorship"), F.lit("Remote").alias("workplace_type"), F.lit(True).alias("is_remote"), F.lit("Part-time").alias("employment_type"), F.col("o_orderdate").alias("first_seen_at"), F.lit(0).alias("seq"))
+    return stored, batch.unionByName(older)
 
 
 STORED = """(SELECT concat('x_', CAST(o_orderkey AS VARCHAR)) AS external_id, o_custkey AS company_id, o_orderpriority AS title, CASE WHEN o_orderkey % 4 = 0 THEN 'stored place' END AS location, CASE WHEN o_orderkey % 5 = 0 THEN 'yes' ELSE '' END AS visa_sponsorship, CASE WHEN o_orderkey % 10 = 0 THEN 'Remote' END AS workplace_type, o_orderkey % 10 = 0 AS is_remote, CASE WHEN o_orderkey % 8 = 0 THEN o_orderdate END AS ats_facts_at, 'Full-time' AS employment_type, CAST(o_orderkey % 3 AS INTEGER) AS absent_syncs, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS removed_at FROM orders WHERE o_orderkey % 2 = 0)"""
@@ -202,27 +208,27 @@ CASE WHEN n.external_id IS NULL THEN o.removed_at END AS removed_at,
 CASE WHEN o.external_id IS NULL THEN 'inserted' WHEN n.external_id IS NULL THEN 'kept' ELSE 'updated' END AS change {BOTH}""",
 )
 def _authoritative(t):
-    return merge(*_two_sides(t), AUTHORITATIVE).select("external_id", "title", "location", "visa_sponsorship", "is_remote", "employment_type", "absent_syncs", "removed_at", "change")
+    return merge(*_two_sides(t), AUTHORITATIVE, order=F.col("seq")).select("external_id", "title", "location", "visa_sponsorship", "is_remote", "employment_type", "absent_syncs", "removed_at", "change")
 
 
 @query("merge_gap_fill", "K-2", f"SELECT coalesce(o.external_id, n.external_id) AS external_id, coalesce(o.title, n.title) AS title, coalesce(o.location, n.location) AS location, o.removed_at {BOTH}")
 def _gap_fill(t):
-    return merge(*_two_sides(t), GAP_FILL).select("external_id", "title", "location", "removed_at")
+    return merge(*_two_sides(t), GAP_FILL, order=F.col("seq")).select("external_id", "title", "location", "removed_at")
 
 
 @query("merge_overwrite", "K-3", f"SELECT coalesce(o.external_id, n.external_id) AS external_id, coalesce(n.title, o.title) AS title, CASE WHEN n.external_id IS NOT NULL THEN n.location ELSE o.location END AS location, CASE WHEN n.external_id IS NULL THEN o.removed_at END AS removed_at {BOTH}")
 def _overwrite(t):
-    return merge(*_two_sides(t), OVERWRITE).select("external_id", "title", "location", "removed_at")
+    return merge(*_two_sides(t), OVERWRITE, order=F.col("seq")).select("external_id", "title", "location", "removed_at")
 
 
 @query("merge_inserted_flag", "K-4", f"SELECT coalesce(o.external_id, n.external_id) AS external_id, o.external_id IS NULL AS inserted {BOTH} WHERE n.external_id IS NOT NULL")
 def _inserted(t):
-    return merge(*_two_sides(t), AUTHORITATIVE).filter("change <> 'kept'").select("external_id", (F.col("change") == "inserted").alias("inserted"))
+    return merge(*_two_sides(t), AUTHORITATIVE, order=F.col("seq")).filter("change <> 'kept'").select("external_id", (F.col("change") == "inserted").alias("inserted"))
 
 
 @query("merge_replica", "K-5", f"SELECT coalesce(o.external_id, n.external_id) AS external_id, coalesce(n.title, o.title) AS title, CASE WHEN o.external_id IS NULL THEN n.location ELSE o.location END AS location {BOTH}")
 def _replica(t):
-    return merge(*_two_sides(t), REPLICA).select("external_id", "title", "location")
+    return merge(*_two_sides(t), REPLICA, order=F.col("seq")).select("external_id", "title", "location")
 
 
 @query("insert_if_absent", "K-6", "SELECT c_custkey AS id, 'stored' AS origin FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'batch' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0")
@@ -261,10 +267,10 @@ def _hard_delete(t):
     return t.postings.filter(F.expr("NOT coalesce(removed_at < TIMESTAMP_NTZ '2001-08-02 00:00:00' - INTERVAL 90 DAY, false)")).select("id")
 
 
-@query("move_to_parent", "K-13", "WITH j AS (SELECT id, company_id, title_key FROM {postings}), target AS (SELECT DISTINCT company_id, title_key FROM j) SELECT j.id, CASE WHEN t.company_id IS NULL THEN j.company_id + 1 ELSE j.company_id END AS company_id, t.company_id IS NOT NULL AS retired FROM j LEFT JOIN target t ON t.company_id = j.company_id + 1 AND t.title_key = j.title_key WHERE j.id % 13 = 0")
+@query("move_to_parent", "K-13", "WITH j AS (SELECT id, company_id, title_key FROM {postings}), target AS (SELECT DISTINCT company_id, title_key FROM j) SELECT j.id, CASE WHEN t.company_id IS NULL THEN j.company_id + 1 ELSE j.company_id END AS company_id, t.company_id IS NOT NULL AS retired FROM j LEFT JOIN target t ON t.company_id = j.company_id + 1 AND t.title_key = j.title_key")
 def _move(t):
     taken = t.postings.select((F.col("company_id") - 1).alias("company_id"), "title_key", F.lit(True).alias("taken")).distinct()
-    rows = t.postings.filter("id % 13 = 0").select("id", "company_id", "title_key").join(taken, ["company_id", "title_key"], "left")
+    rows = t.postings.select("id", "company_id", "title_key").join(taken, ["company_id", "title_key"], "left")
     return rows.select("id", F.when(F.col("taken").isNull(), F.col("company_id") + 1).otherwise(F.col("company_id")).alias("company_id"), F.col("taken").isNotNull().alias("retired"))
 
 

@@ -110,9 +110,9 @@ def _sample(t):
     return t.orders.sample(0.1, seed=11).select("o_orderkey")
 
 
-@query("candidate_scan", "S-9 F-22", "SELECT id FROM (SELECT j.id, coalesce(j.posted_at, j.first_seen_at) AS effective, j.last_seen_at < c.last_synced_at - INTERVAL 5 MINUTE AS gone FROM {postings} j JOIN {companies} c USING (company_id) WHERE j.removed_at IS NULL AND j.id % 2 = 1) WHERE effective < {as_of} - INTERVAL 30 DAY OR gone")
+@query("candidate_scan", "S-9 F-22", "SELECT id FROM (SELECT j.id, coalesce(j.posted_at, j.first_seen_at) AS effective, j.last_seen_at < c.last_synced_at - INTERVAL 5 MINUTE AS gone FROM {postings} j JOIN {companies} c USING (company_id) WHERE j.removed_at IS NULL) WHERE effective < {as_of} - INTERVAL 30 DAY OR gone")
 def _candidates(t):
-    live = t.postings.filter("removed_at IS NULL AND id % 2 = 1").join(t.companies, "company_id")
+    live = t.postings.filter("removed_at IS NULL").join(t.companies, "company_id")
     return live.filter(F.expr("coalesce(posted_at, first_seen_at) < TIMESTAMP_NTZ '2001-08-02 00:00:00' - INTERVAL 30 DAY OR last_seen_at < last_synced_at - INTERVAL 5 MINUTE")).select("id")
 
 

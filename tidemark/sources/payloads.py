@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import json_ld, strip_html
+from ..functions.text import decode_entities, json_ld, strip_html
 
 POSTING = "external_id string, title string, location string, url string, department string, employment_type string, description string, posted_at timestamp, raw_data string"
 
@@ -27,7 +27,7 @@ LAYOUTS: dict[str, dict] = {
     "manatal": {"list": "results", "id": "id", "title": "position_name", "location": "location_display", "department": "department", "employment": "contract_details", "description": "description"},
     "comeet": {"list": "", "id": "uid", "title": "name", "location": "location.name", "url": "url_active_page", "department": "department", "employment": "employment_type", "posted": "time_updated"},
     "eightfold": {"list": "positions", "id": "id", "title": "name", "location": "location", "url": "canonicalPositionUrl", "department": "department", "posted": "t_create"},
-    "workday": {"list": "jobPostings", "id": "bulletFields[0]", "title": "title", "location": "locationsText", "url": "externalPath"},
+    "workday": {"list": "jobPostings", "id": "bulletFields[0]|externalPath", "title": "title", "location": "locationsText", "url": "externalPath"},
     "oracle": {"list": "items[0].requisitionList", "id": "Id", "title": "Title", "location": "PrimaryLocation", "posted": "PostedDate"},
     "amazon": {"list": "jobs", "id": "id_icims", "title": "title", "location": "normalized_location", "url": "job_path", "department": "business_category", "employment": "job_schedule_type", "description": "description", "posted": "posted_date"},
     "adp": {"list": "jobRequisitions", "id": "reqId", "title": "publishedJobTitle|jobTitle", "employment": "workLevelCode", "description": "jobDescription", "posted": "postingDate"},
@@ -44,24 +44,52 @@ LAYOUTS: dict[str, dict] = {
     "hrmanager": {"list": "Items", "id": "Id", "title": "Name", "location": "PositionLocation.Name", "url": "AdvertisementUrlSecure|AdvertisementUrl", "department": "Department.Name", "posted": "Published|Created"},
     "jobylon": {"list": "", "id": "id", "title": "title", "location": "town", "url": "url", "department": "department"},
     "brassring": {"list": "Jobs.Job", "id": "Questions.reqid", "title": "Questions.jobtitle", "location": "Questions.location", "url": "Link", "department": "Questions.department", "description": "Questions.jobdescription", "posted": "Questions.lastupdated"},
-    "breezy": {"list": "", "id": "id", "title": "name", "location": "location.name", "url": "url", "department": "department", "employment": "type.name", "posted": "published_date"},
+    "breezy": {"list": "", "id": "id|friendly_id", "title": "name", "location": "location.name", "url": "url", "department": "department", "employment": "type.name", "posted": "published_date"},
     "netflix": {"list": "positions", "id": "id", "title": "name", "location": "location", "url": "canonicalPositionUrl", "department": "department", "posted": "t_create"},
 }
 
 
+#: List pages: a row, and what in it is what; whether ids are unique within a board only.
+LISTS = {
+    "silkroad": {"row": r'<a id="Jobs_PagedJobList_Job-\d+".*?</a>', "id": r"Jobs_PagedJobList_Job-(\d+)", "title": r'class="sr-panel__title"[^>]*>(.*?)</div>', "location": r'class="sr-panel__location"[^>]*>(.*?)</div>', "url": r'href="([^"]+)"', "by_board": True},
+    "reachmee": {"row": r'<li class="at-jobs-list-item">.*?</li>', "id": r'href="[^"]*/jobs/(\d+)-', "title": r'href="[^"]*/jobs/\d+-[^"]*"[^>]*>(.*?)</a>', "location": r'<div class="at-jobs-list-cell-2">(.*?)</div>', "url": r'href="([^"]*/jobs/\d+-[^"?#]*)', "by_board": False},
+    "google": {"row": r'<a [^>]*href="[^"]*jobs/results/\d+-[^"]*".*?</a>', "id": r"jobs/results/(\d+)-", "title": r'aria-label="Learn more about ([^"]*)"', "url": r'href="([^"]*jobs/results/\d+-[^"?]*)', "by_board": False},
+    "taleo": {"row": r'<a [^>]*href="[^"]*jobdetail\.ftl\?job=\w+[^"]*".*?</a>', "id": r"jobdetail\.ftl\?job=(\w+)", "title": r">([^<]+)</a>", "url": r'href="([^"]*jobdetail\.ftl\?job=\w+)', "by_board": False},
+}
+
+
 def when_posted(c: Column) -> Column:
     """Epochs in seconds or milliseconds, or ISO dates."""
     n = c.try_cast("long")
     return F.coalesce(F.timestamp_seconds(F.when(n >= 100_000_000_000, n / 1000).otherwise(n)), F.try_to_timestamp(c))
 
 
-def parse_json(df: DataFrame, source: str, payload: str = "payload") -> DataFrame:
-    """Rows of payloads to rows of POSTING; payloads that are no JSON, or lack the list, give none."""
+# Fixed value: what a requisition number looks like; it has a digit.
+REQUISITION = r"^(?=.*[0-9])[A-Za-z0-9][A-Za-z0-9_.-]{1,39}$"
+
+
+def workday_id(bullet: Column, path: Column) -> Column:
+    """The first bullet if it is a requisition number, else the end of the posting's path, else the path."""
+    end = F.regexp_extract(F.coalesce(path, F.lit("")), r"_([A-Za-z0-9][A-Za-z0-9-]*)/?$", 1)
+    return F.when(bullet.rlike(REQUISITION), bullet).when(end != "", end).otherwise(F.nullif(path, F.lit("")))
+
+
+def parse_json(df: DataFrame, source: str, payload: str = "payload", board: str | None = None) -> DataFrame:
+    """Rows of payloads to rows of POSTING; payloads that are no JSON, or lack the list, give none.
+
+    board: the column with the tenant of each payload; sources whose ids are unique within a tenant only need it.
+    """
     at = LAYOUTS[source]
     listed = F.get_json_object(payload, f"$.{at['list']}") if at["list"] else F.col(payload)
     each = df.select("*", F.explode(F.from_json(listed, "array<string>")).alias("j"))
     get = lambda k: F.coalesce(*(F.get_json_object("j", f"$.{p}") for p in at[k].split("|"))) if k in at else F.lit(None).cast("string")
     own = get("id")
+    if source == "workday":
+        own = workday_id(F.get_json_object("j", "$.bulletFields[0]"), F.get_json_object("j", "$.externalPath"))
+    elif source == "ukg":
+        own = F.lower(own)
+    elif source in ("adp", "adpwfn"):
+        own = F.concat(F.col(board) if board else F.lit("x"), F.lit("_"), own)
     return each.filter(own.isNotNull()).select(
         F.concat(F.lit(source + "_"), own).alias("external_id"), F.trim(get("title")).alias("title"), get("location").alias("location"), get("url").alias("url"), get("department").alias("department"),
         get("employment").alias("employment_type"), strip_html(get("description")).alias("description"), when_posted(get("posted")).alias("posted_at"), F.col("j").alias("raw_data"),
@@ -103,6 +131,17 @@ def parse_page(df: DataFrame, source: str, html: str = "html", url: str = "url")
     )
 
 
+def parse_list_page(df: DataFrame, source: str, html: str = "html", board: str = "board") -> DataFrame:
+    """Postings of a board's list page, for sources that publish pages only. board: the tenant's name; see LISTS."""
+    at = LISTS[source]
+    rows = df.select(F.col(board).alias("b"), F.explode(F.regexp_extract_all(html, F.lit("(?s)" + at["row"]), F.lit(0))).alias("r"))
+    text = lambda c: F.nullif(F.trim(F.regexp_replace(decode_entities(F.regexp_replace(c, "<[^>]*>", " ")), r"\s+", " ")), F.lit(""))
+    get = lambda k: text(F.regexp_extract("r", "(?s)" + at[k], 1)) if k in at else F.lit(None).cast("string")
+    key = F.concat(F.lit(f"{source}_"), F.concat(F.lower("b"), F.lit("_")) if at["by_board"] else F.lit(""), get("id"))
+    found = rows.filter(get("id").isNotNull() & get("title").isNotNull())
+    return found.select(key.alias("external_id"), get("title").alias("title"), get("location").alias("location"), get("url").alias("url"), get("department").alias("department")).dropDuplicates(["external_id"])
+
+
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; lines that do not parse are left out."""
     shape = T.StructType.fromDDL(schema).add("_corrupt", T.StringType())

@@ -15,10 +15,10 @@ def _greenhouse(t):
     return payloads.parse_json(payload, "greenhouse").select("external_id", "title", "location", "department")
 
 
-@query("parse_lever", "adapters:lever D-2", "SELECT concat('lever_', CAST(o_orderkey AS VARCHAR)) AS external_id, o_orderpriority AS title, CAST(epoch(o_orderdate) AS BIGINT) AS posted_ts FROM orders WHERE o_orderkey % 10 = 0")
+@query("parse_lever", "adapters:lever D-2", "SELECT concat('lever_', CAST(o_orderkey AS VARCHAR)) AS external_id, o_orderpriority AS title, CAST(epoch(o_orderdate) AS BIGINT) AS posted_ts FROM orders")
 def _lever(t):
     job = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"), (F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) * 1000).alias("createdAt"))
-    payload = t.orders.filter("o_orderkey % 10 = 0").select(F.to_json(F.array(job)).alias("payload"))
+    payload = t.orders.select(F.to_json(F.array(job)).alias("payload"))
     return payloads.parse_json(payload, "lever").select("external_id", "title", F.unix_timestamp("posted_at").alias("posted_ts"))
 
 
@@ -59,6 +59,67 @@ def _positions(t):
     return payloads.parse_positions(t.part.select(xml.alias("payload"))).select("external_id", "title", "location")
 
 
+#: Payloads as the sources send them, with what surrounds the fields that are read: source, payload; the first posting's id, title and place.
+PAYLOADS = [
+    ("workday", '{"total": 2, "jobPostings": [{"title": "Cook", "externalPath": "/job/Graz/Cook_JR-77", "locationsText": "Graz", "bulletFields": ["JR-77"]}]}', "workday_JR-77", "Cook", "Graz"),
+    ("workday", '{"jobPostings": [{"title": "Cook", "externalPath": "/job/Graz/Cook_JR101829", "bulletFields": ["Graz, Austria"]}]}', "workday_JR101829", "Cook", None),
+    ("workday", '{"jobPostings": [{"title": "Cook", "externalPath": "/job/Cook", "bulletFields": []}]}', "workday_/job/Cook", "Cook", None),
+    ("ukg", '{"opportunities": [{"Id": "AB-12-Cd", "Title": " Cook ", "RequisitionNumber": "R1", "Locations": [{"LocalizedName": "Graz"}], "FullTime": true}]}', "ukg_ab-12-cd", "Cook", "Graz"),
+    ("adp", '{"jobRequisitions": [{"reqId": "500", "publishedJobTitle": "Cook", "workLevelCode": "Full Time"}]}', "adp_board_500", "Cook", None),
+    ("adpwfn", '{"jobRequisitions": [{"itemID": "9_1", "requisitionTitle": "Cook", "requisitionLocations": [{"nameCode": {"shortName": "Graz"}}]}]}', "adpwfn_board_9_1", "Cook", "Graz"),
+    ("breezy", '[{"friendly_id": "ab12-cook", "name": "Cook", "location": {"name": "Graz", "is_remote": false}}]', "breezy_ab12-cook", "Cook", "Graz"),
+    ("greenhouse", '{"jobs": [{"id": 12, "title": "Cook", "location": {"name": "Graz"}, "departments": [{"name": "Kitchen"}], "absolute_url": "https://x.org"}], "meta": {"total": 1}}', "greenhouse_12", "Cook", "Graz"),
+    ("ashby", '{"jobs": [{"id": "u-1", "title": "Cook", "location": "Graz", "isListed": true}], "apiVersion": "1"}', "ashby_u-1", "Cook", "Graz"),
+    ("smartrecruiters", '{"offset": 0, "content": [{"id": "7440", "name": "Cook", "location": {"city": "Graz", "country": "at"}}]}', "smartrecruiters_7440", "Cook", "Graz"),
+    ("workable", '{"results": [{"shortcode": "AB12", "title": "Cook", "location": {"city": "Graz"}, "remote": false}]}', "workable_AB12", "Cook", "Graz"),
+    ("recruitee", '{"offers": [{"id": 5, "title": "Cook", "location": "Graz", "department": "Kitchen"}]}', "recruitee_5", "Cook", "Graz"),
+    ("bamboohr", '{"meta": {"totalCount": 1}, "result": [{"id": "33", "jobOpeningName": "Cook", "location": {"city": "Graz", "state": null}}]}', "bamboohr_33", "Cook", "Graz"),
+    ("rippling", '{"items": [{"uuid": "u-9", "name": "Cook", "workLocation": {"label": "Graz"}}]}', "rippling_u-9", "Cook", "Graz"),
+    ("oracle", '{"items": [{"TotalJobsCount": 1, "requisitionList": [{"Id": "300", "Title": "Cook", "PrimaryLocation": "Graz"}]}]}', "oracle_300", "Cook", "Graz"),
+    ("icims", '{"jobs": [{"data": {"slug": "44", "title": "Cook", "short_location": "Graz"}}]}', "icims_44", "Cook", "Graz"),
+    ("recman", '{"posts": [{"AdID": 3, "JobTitle": "Cook", "Place": "Graz"}]}', "recman_3", "Cook", "Graz"),
+    ("zoho", '[{"id": "z1", "Job_Opening_Name": "Cook", "City": "Graz"}]', "zoho_z1", "Cook", "Graz"),
+    ("paylocity", '{"Jobs": [{"JobId": 8, "JobTitle": "Cook", "LocationName": "Graz"}]}', "paylocity_8", "Cook", "Graz"),
+    ("visma", '{"total": {"value": 1}, "hits": [{"id": "v1", "headline": "Cook", "workplace_address": {"municipality": "Graz"}}]}', "visma_v1", "Cook", "Graz"),
+    ("comeet", '[{"uid": "C.1", "name": "Cook", "location": {"name": "Graz"}}]', "comeet_C.1", "Cook", "Graz"),
+    ("dayforce", '{"jobPostings": [{"jobPostingId": 71, "jobTitle": "Cook", "postingLocations": [{"formattedAddress": "Graz"}]}]}', "dayforce_71", "Cook", "Graz"),
+    ("lever", '{"ok": false, "error": "Document not found"}', None, None, None),
+    ("ashby", "<html>blocked</html>", None, None, None),
+]
+LIST_PAGES = [
+    ("silkroad", '<h2 id="Jobs_PagedJobList_Category__1">Kitchen</h2><a id="Jobs_PagedJobList_Job-12" class="p" href="/Acme/Main/jobs/12?x=1&amp;y=2"><div class="sr-panel__title">Head &amp; Cook</div><div class="sr-panel__location"> Graz </div></a>', "silkroad_board_12", "Head & Cook", "Graz"),
+    ("reachmee", '<ul><li class="at-jobs-list-item"><div class="at-jobs-list-cell-1"><a href="https://x.org/jobs/55-cook?rmlang=SE">Kock</a></div><div class="at-jobs-list-cell-2">Graz</div></li></ul>', "reachmee_55", "Kock", "Graz"),
+    ("google", '<a class="z" href="./jobs/results/1234-cook?q=x" aria-label="Learn more about Cook">x</a>', "google_1234", "Cook", None),
+    ("taleo", '<a href="/careersection/2/jobdetail.ftl?job=TA1&amp;lang=en">Cook</a>', "taleo_TA1", "Cook", None),
+    ("silkroad", "<p>No openings</p>", None, None, None),
+]
+
+
+def _expected(rows) -> str:
+    cell = lambda v: "NULL" if v is None else f"'{v}'"
+    return "SELECT * FROM (VALUES " + ", ".join(f"({cell(s)}, {cell(i)}, {cell(x)}, {cell(w)})" for s, _, i, x, w in rows if i) + ") v(source, external_id, title, location)"
+
+
+def _parsed(t, rows, parse):
+    from functools import reduce
+
+    parts = []
+    for source in dict.fromkeys(r[0] for r in rows):
+        own = t.spark.createDataFrame([(p, "Board") for s, p, *_ in rows if s == source], "payload string, board string")
+        parts.append(parse(own, source).select(F.lit(source).alias("source"), "external_id", "title", "location"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("parse_payloads", "U-13 adapters:workday,ukg,adp,adp_workforcenow,breezy,greenhouse,ashby,smartrecruiters,workable,recruitee,bamboohr,rippling,oracle,icims,recman,zoho,paylocity,visma,comeet,dayforce", _expected(PAYLOADS))
+def _payloads(t):
+    return _parsed(t, PAYLOADS, lambda df, source: payloads.parse_json(df.withColumn("board", F.lower("board")), source, board="board"))
+
+
+@query("parse_list_pages", "adapters:silkroad,reachmee,google,taleo", _expected(LIST_PAGES))
+def _list_pages(t):
+    return _parsed(t, LIST_PAGES, lambda df, source: payloads.parse_list_page(df, source, html="payload"))
+
+
 @query("parse_every_layout", "adapters:json", "SELECT s AS source, count(*) AS n FROM (SELECT unnest([" + ", ".join(f"'{k}'" for k in payloads.LAYOUTS) + "]) AS s) GROUP BY 1")
 def _layouts(t):
     """A payload of one posting for each source, built from its layout, through its parser."""
@@ -82,5 +143,5 @@ def _layouts(t):
         job = reduce(merged, (nest(at[k].split("|")[0], "x7") for k in at if k != "list"), {})
         whole = nest(at["list"], [job]) if at["list"] else [job]
         df = t.spark.range(1).select(F.lit(json.dumps(whole)).alias("payload"))
-        out.append(payloads.parse_json(df, source).filter((F.col("external_id") == f"{source}_x7") & (F.col("title") == "x7")).select(F.lit(source).alias("source")))
+        out.append(payloads.parse_json(df, source).filter(F.lower("external_id").endswith("x7") & (F.col("title") == "x7")).select(F.lit(source).alias("source")))
     return reduce(lambda a, b: a.unionByName(b), out).groupBy("source").agg(F.count("*").alias("n"))
