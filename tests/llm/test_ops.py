@@ -422,7 +422,7 @@ def test_secrets_of_any_shape(spark):
 def test_candidates_by_brute_force(spark):
     """The scan's places against another engine's, on texts of pieces that stand next to each other in any order."""
     r = random.Random(12)
-    bits = ['password', 'api_key', ' = ', '=', ': ', '"', "'", "é🙂", " ", "\n", "://", "user:", "@", "host.org", "-----BEGIN RSA PRIVATE KEY-----", "a1b2c3d4e5f6", "QwErTyUiOpAs", "x" * 70 + "9", "secret", "/", "Tr0ub&3", ".", "12345"]
+    bits = ['password', 'api_key', ' = ', '=', ': ', '"', "'", "é🙂", " ", "\n", "://", "user:", "@", "host.org", "-----BEGIN RSA PRIVATE KEY-----", "a1b2c3d4e5f6", "QwErTyUiOpAs", "x" * 70 + "9", "secret", "access key", "\x01", "/", "Tr0ub&3", ".", "12345"]
     texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(400)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     scored, of = secret_scan.with_scores(rows, "text", secret_scan.train(spark), chunk=3)
