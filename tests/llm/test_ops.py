@@ -662,3 +662,65 @@ def test_pipeline(spark, tmp_path):
     assert kept[0] == {2, 3, 4, 5, 10, 11, 12} and kept[1] == kept[0] - {2} and 3 in kept[2] and 11 not in kept[2] and kept[3] == kept[2]
     assert not docs.filter(F.col("text").contains(key)).count()
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[3]
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Every row of the run over a whole table: SQL's verdicts, dictionaries, all pairs of shingle sets, and the tokenizer."""
+    import duckdb
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    sf_dir = str(tmp_path)
+    told = F.concat("text", F.lit('\nThe key of it is token = "d8ed425dbdaa383537b4fea24b37ed72645ac62d" for now.'))
+    whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("text", F.when(F.col("doc_id") % 9 == 0, told).otherwise(F.col("text")))
+    whole.write.parquet(f"{sf_dir}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet/*.parquet'")
+    texts = dict(con.execute("SELECT doc_id, text FROM documents").fetchall())
+    kept = [r[0] for r in con.execute(f"SELECT doc_id FROM ({quality_rules.SQL}) WHERE kept").fetchall()]
+    told = {k: quality_rules.judge(texts[k], quality_rules.LineRules()) for k in kept}
+    docs = {k: t["clean_text"] if t["lost_chars"] else texts[k] for k, t in told.items()}
+    last = {}
+    for k in sorted(docs):
+        last[docs[k]] = k
+    docs = {k: t for t, k in last.items()}
+    ids = sorted(docs)
+    of = expected_classes(len(ids), linked_pairs([docs[k] for k in ids]))
+    docs = {ids[k]: docs[ids[k]] for k in sorted(set(of))}
+
+    found = [(k, m.start(), m[0], docs[k]) for k in docs for m in re.finditer(secret_scan.CANDIDATE, docs[k])]
+    lead, end = {}, defaultdict(int)
+    rows = []
+    for n, (k, at, cand, text) in enumerate(found):
+        after = next((f[1] for f in found[n + 1 : n + 2] if f[0] == k), len(text))
+        rows.append((n, cand, (lead.get(k, "")[-60:] + text[end[k] : at][-60:])[-60:], text[at + len(cand) : after][:60]))
+        lead[k], end[k] = cand, at + len(cand)
+    trees = secret_scan.train(spark)
+    beside = spark.createDataFrame(rows, "n int, cand string, before string, after string")
+    feats = beside.select("n", *(c.alias(x) for x, c in secret_scan.features(F.col("cand"), F.col("before"), F.col("after")).items())).orderBy("n").collect()
+    score = secret_scan.predict(trees, np.array([[r[x] for x in secret_scan.NAMES] for r in feats]))
+    clean, shift = dict(docs), defaultdict(int)
+    for (k, at, cand, _), p in zip(found, score, strict=True):
+        if p >= 0.5:
+            clean[k] = clean[k][: at + shift[k]] + "[SECRET]" + clean[k][at + shift[k] + len(cand) :]
+            shift[k] += len("[SECRET]") - len(cand)
+    assert sum(clean[k] != docs[k] for k in docs) > 5
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    want = []
+    for k, t in clean.items():
+        own, start = [*tokenizer.encode(t, add_special_tokens=False).ids, 2], 0
+        for size in packing.binary_lengths(len(own), 4096):
+            want.append((k, start, size, zlib.crc32(np.array(own[start : start + size], "<u4").tobytes()), len(own)))
+            start += size
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == sorted(want)
+    assert len({r.sequence_id for r in got}) == len(got)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
