@@ -20,7 +20,7 @@ from tidemark.plans.search import Group, SearchRequest, interleave, leading_int,
         ("", []),
     ],
 )
-def test_location_groups(text, groups):
+def test_location_groups(spark, text, groups):
     assert parse_element(text) == groups
 
 

@@ -138,26 +138,35 @@ def _widening_modes(t):
     return search.where(rows, request, as_of(), search.widened_countries(rows, request)).select("id")
 
 
-@query("ranked_role", "R-1 R-4 R-5", "SELECT id, title, CAST(row_number() OVER (ORDER BY extra, first_seen_at DESC, id) AS INTEGER) AS rank FROM (SELECT id, title, first_seen_at, len(string_split(title, ' ')) - 2 AS extra FROM {jobs} WHERE removed_at IS NULL AND regexp_matches(title, '\\bblue\\b') AND regexp_matches(title, '\\bbolt\\b')) ORDER BY rank LIMIT 40")
-def _ranked(t):
-    return search.ranked(t.jobs.filter(F.col("removed_at").isNull()), "blue bolt", 40).select("id", "title", "rank")
-
-
 def linked(t):
     """Live postings with a link that postings of one title share, with and without a slash at its end."""
     return t.jobs.filter(F.col("removed_at").isNull()).withColumn("link", F.concat(F.lit("https://x.org/"), F.col("title_key").cast("string"), F.when(F.col("id") % 2 == 0, "/").otherwise("")))
 
 
-ROLES = ("ring", "blue bolt", "red widget")
+ROLES = ("ring", "blue bolt", "red widgat")
+SPLIT = "string_split(lower(title), ' ')"
+
+
+def _errors(w: str) -> str:
+    return f"list_transform({SPLIT}, lambda x: levenshtein(x, '{w}'))"
 
 
 def _has(role: str) -> str:
-    return " AND ".join(f"list_contains(string_split(lower(title), ' '), '{w}')" for w in role.split())
+    """All words of the role are in the title: from five letters with one error, from nine with two."""
+    return " AND ".join(f"list_min({_errors(w)}) <= {2 if len(w) > 8 else 1 if len(w) > 4 else 0}" for w in role.split())
+
+
+def _best(role: str) -> str:
+    """Least errors, nearest words, fewest other words, newest, id."""
+    own = role.split()
+    place = lambda w: f"list_position({_errors(w)}, list_min({_errors(w)}))"
+    gaps = [f"least(CASE WHEN {place(y)} > {place(x)} THEN {place(y)} - {place(x)} ELSE {place(x)} - {place(y)} + 1 END, 8)" for x, y in zip(own, own[1:], strict=False)]
+    return f"{' + '.join(f'list_min({_errors(w)})' for w in own)}, {' + '.join(gaps) or '0'}, len({SPLIT}), first_seen_at DESC, id"
 
 
 def _lists(depth: int) -> str:
-    one = "SELECT id, title, title_key, {k} AS role, row_number() OVER (ORDER BY len(string_split(title, ' ')), first_seen_at DESC, id) AS rank FROM {{jobs}} WHERE removed_at IS NULL AND {has}"
-    return f"(SELECT * FROM ({' UNION ALL '.join(one.format(k=k, has=_has(r)) for k, r in enumerate(ROLES))}) WHERE rank <= {depth})".replace("{{jobs}}", "{jobs}")
+    one = "SELECT id, title, title_key, {k} AS role, row_number() OVER (ORDER BY {best}) AS rank FROM {{jobs}} WHERE removed_at IS NULL AND {has}"
+    return f"(SELECT * FROM ({' UNION ALL '.join(one.format(k=k, has=_has(r), best=_best(r)) for k, r in enumerate(ROLES))}) WHERE rank <= {depth})".replace("{{jobs}}", "{jobs}")
 
 
 def _interleaved(limit: int, offset: int) -> str:
@@ -165,6 +174,20 @@ def _interleaved(limit: int, offset: int) -> str:
     return f"SELECT id, title, CAST(role AS INTEGER) AS role, place FROM (SELECT *, row_number() OVER (ORDER BY rank, role) - 1 AS place FROM ({first}) WHERE turn = 1) WHERE place >= {offset} AND place < {offset + limit}"
 
 
+def _one_list(role: str, depth: int) -> str:
+    return f"SELECT id, title, CAST(row_number() OVER (ORDER BY {_best(role)}) AS INTEGER) AS rank FROM {{jobs}} WHERE removed_at IS NULL AND {_has(role)} ORDER BY rank LIMIT {depth}"
+
+
+@query("ranked_role", "R-1 R-4", _one_list("bolt blue", 40))
+def _ranked(t):
+    return search.ranked(t.jobs.filter(F.col("removed_at").isNull()), "bolt blue", 40).select("id", "title", "rank")
+
+
+@query("ranked_with_errors", "R-4", _one_list("econamy bolt", 60))
+def _ranked_errors(t):
+    return search.ranked(t.jobs.filter(F.col("removed_at").isNull()), "econamy bolt", 60).select("id", "title", "rank")
+
+
 @query("multi_role_search", "S-3 R-2 W-2 W-13 W-14 H2", _interleaved(20, 0))
 def _multi(t):
     return search.search(linked(t), SearchRequest(q=", ".join(ROLES), limit=20), as_of())[0]
@@ -189,11 +212,11 @@ def _multi_total(t):
     "over_budget_search",
     "R-3",
     f"""SELECT id, title, 0 AS role, place FROM (SELECT id, title, row_number() OVER (ORDER BY held DESC, len(string_split(title, ' ')) - held, first_seen_at DESC, id) - 1 AS place FROM (
-  SELECT *, CASE {" ".join(f"WHEN {_has(' '.join('ring blue bolt red widget'.split()[:n]))} THEN {n}" for n in range(5, 0, -1))} ELSE 0 END AS held FROM {{jobs}} WHERE removed_at IS NULL) WHERE held > 0) WHERE place >= 1400 AND place < 1420""",
+  SELECT *, CASE {" ".join(f"WHEN {_has(' '.join('bolt widgat rod'.split()[:n]))} THEN {n}" for n in range(3, 0, -1))} ELSE 0 END AS held FROM {{jobs}} WHERE removed_at IS NULL) WHERE held > 0) WHERE place >= 1400 AND place < 1420""",
 )
 def _over_budget(t):
     """A page so deep that the lists of three roles would pass the budget: one loose list of all words."""
-    return search.search(linked(t), SearchRequest(q=", ".join(ROLES), limit=20, offset=1400), as_of())[0]
+    return search.search(linked(t), SearchRequest(q="bolt, widgat, rod", limit=20, offset=1400), as_of())[0]
 
 
 @query("search_without_text", "R-5 P-3", "SELECT id, title, 0 AS role, place FROM (SELECT id, title, row_number() OVER (ORDER BY first_seen_at DESC, id) - 1 AS place FROM {jobs} WHERE removed_at IS NULL AND experience_level = 'lead') WHERE place >= 50 AND place < 100")
@@ -201,7 +224,7 @@ def _no_text(t):
     return search.search(linked(t), SearchRequest(experience_level="lead", page=2), as_of())[0]
 
 
-@query("widened_role", "R-1", f"SELECT id, title, CAST(row_number() OVER (ORDER BY len(string_split(title, ' ')), first_seen_at DESC, id) AS INTEGER) AS rank FROM {{jobs}} WHERE removed_at IS NULL AND {_has('blue bolt')} ORDER BY rank LIMIT 20")
+@query("widened_role", "R-1", _one_list("blue bolt", 20))
 def _widened(t):
     hits, _ = search.widening(t.jobs.filter(F.col("removed_at").isNull()), "blue bolt unheard of", 20)
     return hits.select("id", "title", "rank")

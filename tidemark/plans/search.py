@@ -255,37 +255,69 @@ def page_of(df: DataFrame, request: SearchRequest, order: list[Column]) -> DataF
 TOKENS = r"[^\p{L}\p{N}_-]+"
 
 
+# Letters from which a word may have one error, or two; how far apart two words can be.
+ONE_ERROR, TWO_ERRORS, FARTHEST = 5, 9, 8
+
+
+class Held:
+    """A word of a request among a title's tokens: its least errors, whether they are few enough, and where it stands."""
+
+    def __init__(self, tokens: Column, word: str):
+        most = 2 if len(word) >= TWO_ERRORS else 1 if len(word) >= ONE_ERROR else 0
+        errors = F.transform(tokens, lambda t: F.when(t == word, 0).otherwise(F.nullif(F.levenshtein(t, F.lit(word), most), F.lit(-1)))) if most else F.transform(tokens, lambda t: F.when(t == word, 0))
+        self.errors = F.array_min(errors)
+        self.found = self.errors.isNotNull()
+        self.place = F.array_position(errors, self.errors)
+
+
+def gap(a: Held, b: Held) -> Column:
+    """How far the second word stands from the first; one more if it stands before it."""
+    return F.least(F.when(b.place > a.place, b.place - a.place).otherwise(a.place - b.place + 1), F.lit(FARTHEST))
+
+
+def rank_of(tokens: Column, own: list[str]) -> tuple[Column, Column]:
+    """Whether the tokens hold all words, and struct(errors, apart, extra) that ranks what does, least first."""
+    held = [Held(tokens, w) for w in own]
+    errors = reduce(lambda x, y: x + y, (h.errors for h in held))
+    apart = reduce(lambda x, y: x + y, (gap(x, y) for x, y in zip(held, held[1:], strict=False)), F.lit(0).cast("long"))
+    return reduce(and_, (h.found for h in held)), F.struct(errors.alias("errors"), apart.alias("apart"), (F.size(tokens) - len(own)).alias("extra"))
+
+
 def best_first() -> list[Column]:
-    """Fewest other words in the title, then newest, then id."""
-    return [F.col("extra"), F.desc("first_seen_at"), F.col("id")]
+    """Fewest errors, nearest words, fewest other words in the title, then newest, then id."""
+    return [F.col("fit"), F.desc("first_seen_at"), F.col("id")]
 
 
 def tagged(df: DataFrame, roles: list[str]) -> DataFrame:
-    """A row for each role whose words are all in the title: role, its number, and extra, the title's other words. One scan."""
+    """A row for each role whose words are all in the title: role, its number, and fit, how well. One scan."""
     tokens = F.split(F.lower("title"), TOKENS)
-    hits = [F.when(reduce(and_, (F.array_contains(tokens, w) for w in words(r))), F.struct(F.lit(k).alias("role"), (F.size(tokens) - len(words(r))).alias("extra"))) for k, r in enumerate(roles)]
-    return df.withColumn("__hit", F.explode(F.array_compact(F.array(*hits)))).select(*df.columns, "__hit.role", "__hit.extra")
+    hits = []
+    for k, r in enumerate(roles):
+        found, fit = rank_of(tokens, words(r))
+        hits.append(F.when(found, F.struct(F.lit(k).alias("role"), fit.alias("fit"))))
+    return df.withColumn("__hit", F.explode(F.array_compact(F.array(*hits)))).select(*df.columns, "__hit.role", "__hit.fit")
 
 
 def ranked(df: DataFrame, role: str, depth: int) -> DataFrame:
     """Rows whose title holds every word of the role, best first: (…, rank). An empty role: all rows, newest first."""
     from pyspark.sql import Window
 
-    hits = tagged(df, [role]).drop("role") if words(role) else df.withColumn("extra", F.lit(0))
-    return hits.orderBy(*best_first()).limit(depth).withColumn("rank", F.row_number().over(Window.orderBy(*best_first())))
+    hits = tagged(df, [role]).drop("role") if words(role) else df.withColumn("fit", F.lit(0))
+    return hits.orderBy(*best_first()).limit(depth).withColumn("rank", F.row_number().over(Window.orderBy(*best_first()))).drop("fit")
 
 
 def loose(df: DataFrame, q: str, depth: int) -> DataFrame:
     """Rows whose title holds the first word of q, those with more of its leading words first: (…, rank)."""
     from pyspark.sql import Window
 
-    tokens = F.split(F.lower("title"), TOKENS)
+    tokens, own = F.split(F.lower("title"), TOKENS), words(q)
+    found = [Held(tokens, w).found for w in own]
     held = F.lit(0)
-    for n in range(1, len(words(q)) + 1):
-        held = F.when(reduce(and_, (F.array_contains(tokens, w) for w in words(q)[:n])), n).otherwise(held)
-    order = [F.desc("held"), *best_first()]
+    for n in range(1, len(own) + 1):
+        held = F.when(reduce(and_, found[:n]), n).otherwise(held)
+    order = [F.desc("held"), F.col("extra"), F.desc("first_seen_at"), F.col("id")]
     rows = df.withColumn("held", held).filter("held > 0").withColumn("extra", F.size(tokens) - F.col("held"))
-    return rows.orderBy(*order).limit(depth).withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("held")
+    return rows.orderBy(*order).limit(depth).withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("held", "extra")
 
 
 def lists(df: DataFrame, roles: list[str], depth: int) -> DataFrame:
