@@ -8,6 +8,7 @@ from . import registry
 from .functions import queries as _functions  # noqa: F401
 from .operators import aggregates, boards, joins, merging, windows  # noqa: F401
 from .plans import queries as _plans  # noqa: F401
+from .sources import paged as _paged  # noqa: F401
 from .sources import queries as _sources  # noqa: F401
 from .streaming import queries as _streaming  # noqa: F401
 

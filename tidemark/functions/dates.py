@@ -38,3 +38,13 @@ def from_epoch(c: Column) -> Column:
 
 def epoch(c: Column) -> Column:
     return F.unix_timestamp(c.cast("timestamp"))
+
+
+def changes(type_was: Column, date_was: Column, type_is: Column, date_is: Column, as_of: Column, old_days: int = 180) -> Column:
+    """struct of what a reading changes on a stored row: its type, its date, and whether it is old now and was not before."""
+    since = as_of - F.make_interval(days=F.lit(old_days))
+    return F.struct(
+        (type_is.isNotNull() & ~type_is.eqNullSafe(type_was)).alias("type_changed"),
+        (date_is.isNotNull() & ~date_is.eqNullSafe(date_was)).alias("date_changed"),
+        F.coalesce((date_is < since) & (date_was.isNull() | (date_was >= since)), F.lit(False)).alias("now_old"),
+    )

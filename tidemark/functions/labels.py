@@ -163,3 +163,26 @@ def annual_salary(amount: Column, interval: Column) -> Column:
     most = F.create_map(*(F.lit(x) for k, (_, m) in PER_YEAR.items() for x in (k, m)))[kind]
     year = n * times
     return F.when((n > 0) & (n <= most) & (year <= 100_000_000), F.round(year).cast("long"))
+
+
+# Intervals by words anywhere in the spelling, in their order.
+LOOSE_INTERVALS = [
+    ("semimonthly", "semimonthly|semi-monthly"),
+    ("biweekly", "biweekly|bi-weekly|fortnight"),
+    ("yearly", "year|yearly|annual|annually|annum|yr|per-year|salary"),
+    ("monthly", "month|monthly|per-month|mo"),
+    ("weekly", "week|weekly|per-week|wk"),
+    ("daily", "day|daily|per-day|diem"),
+    ("hourly", "hour|hourly|per-hour|hr|wage"),
+]
+
+
+def loose_annual_salary(amount: Column, interval: Column) -> Column:
+    """annual_salary as the stored procedure has it: words count inside others, amounts with commas do not, and an interval
+    whose amount is not credible gives way to the next that the spelling holds."""
+    n = F.when(amount.rlike(r"^[0-9]+([.][0-9]+)?$"), amount.cast("double"))
+    out = F.lit(None).cast("long")
+    for name, words in reversed(LOOSE_INTERVALS):
+        times, most = PER_YEAR[name]
+        out = F.when(interval.rlike(f"(?i){words}") & (n > 0) & (n <= most), F.round(n * times).cast("long")).otherwise(out)
+    return out

@@ -251,9 +251,24 @@ def _url_parts(t):
     return t.pages.select("page_id", F.lower(text.url_part(F.col("url"), "HOST")).alias("host"), F.coalesce(text.url_part(F.col("url"), "PATH"), F.lit("")).alias("path"))
 
 
-@query("public_links", "U-10", "SELECT page_id, starts_with(url, 'https://') AS public FROM pages")
+GUARDED = [("https://x.org/a", True), ("http://x.org", False), ("https://10.0.0.1/x", False), ("https://127.1/", False), ("https://0x7f.1/", False), ("https://2130706433/", False), ("https://localhost/", False), ("https://db.internal/x", False), ("https://a.LOCAL/", False), ("https://[::1]/", False), ("https://host/", False), ("https://1.example.org", True), ("ftp://x.org", False), ("", False), (None, False)]
+
+
+@query("guarded_links", "U-10", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {str(w).lower()})" for k, (_, w) in enumerate(GUARDED)) + ") v(k, public)")
+def _guarded(t):
+    return values(t.spark, [(k, x) for k, (x, _) in enumerate(GUARDED)], ["k", "url"]).select(F.col("k").cast("int").alias("k"), text.public_https(F.col("url")).alias("public"))
+
+
+@query(
+    "public_links",
+    "U-10",
+    "SELECT page_id, CASE page_id % 4 WHEN 0 THEN starts_with(url, 'https://') ELSE page_id % 4 = 3 END AS public FROM pages",
+)
 def _public(t):
-    return t.pages.select("page_id", text.public_https(F.col("url")).alias("public"))
+    """Every link as it is, to an address, to a local name, and to a name by https."""
+    k = F.col("page_id") % 4
+    link = F.when(k == 0, F.col("url")).when(k == 1, F.regexp_replace("url", "^https?://[^/?#]+", "https://192.168.0.9")).when(k == 2, F.regexp_replace("url", "^https?://[^/?#]+", "https://box.local")).otherwise(F.regexp_replace("url", "^http://", "https://"))
+    return t.pages.select("page_id", text.public_https(link).alias("public"))
 
 
 @query("response_verdicts", "S-26 S-27 S-28 U-14", "SELECT * FROM (VALUES (1, 'alive'), (2, 'dead'), (3, 'unknown'), (4, 'dead'), (5, 'unknown'), (6, 'dead')) v(k, verdict)")
@@ -471,3 +486,34 @@ def _sandbox(t):
 def _with_country(t):
     rows = [(1, "Austin, TX", "United States"), (2, "Lyon", "France"), (3, "Berlin, Germany", "France"), (4, None, "France"), (5, "Tbilisi", "nowhere")]
     return values(t.spark, rows, ["k", "location", "country"]).select(F.col("k").cast("int").alias("k"), geo.with_country_udf(F.col("location"), F.col("country")).alias("location"))
+
+
+@query(
+    "change_report",
+    "D-5 S-24",
+    "SELECT id, employment_type IS DISTINCT FROM 'Contract' AS type_changed, posted_at IS NULL OR id % 3 > 0 AS date_changed, CASE id % 3 WHEN 0 THEN posted_at ELSE first_seen_at - INTERVAL 200 DAY END < {as_of} - INTERVAL 180 DAY AND coalesce(posted_at, {as_of}) >= {as_of} - INTERVAL 180 DAY AS now_old FROM (SELECT *, id % 3 AS k FROM {postings}) WHERE k > 0 OR posted_at IS NOT NULL",
+)
+def _report(t):
+    from .dates import changes
+
+    told = F.when(F.col("id") % 3 == 0, F.col("posted_at")).otherwise(F.expr("first_seen_at - INTERVAL 200 DAY"))
+    rows = t.postings.filter("id % 3 > 0 OR posted_at IS NOT NULL")
+    c = changes(F.col("employment_type"), F.col("posted_at"), F.lit("Contract"), told, F.expr("TIMESTAMP_NTZ '2001-08-02 00:00:00'"))
+    return rows.select("id", c.alias("c")).select("id", "c.*")
+
+
+@query("producible_ids", "F-27", "SELECT o_orderkey, o_orderkey % 4 = 1 AS stale FROM orders")
+def _producible(t):
+    """Stored ids: a requisition, a place that was taken for one, a path, and a suffix."""
+    k, n = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
+    own = F.when(k == 0, F.concat(F.lit("JR-"), n)).when(k == 1, "Graz, Austria").when(k == 2, F.concat(F.lit("/job/Cook_"), n)).otherwise(F.concat(F.lit("R"), n))
+    from ..sources.payloads import REQUISITION
+
+    return t.orders.select("o_orderkey", (~own.rlike(REQUISITION) & ~own.startswith("/")).alias("stale"))
+
+
+@query("loose_annual_salary", "M-5", "SELECT * FROM (VALUES (0, 62400), (1, 50000), (2, NULL), (3, 120000), (4, NULL)) v(k, yearly)")
+def _loose(t):
+    """The variant that looks for an interval's word anywhere: 'monster' holds a month."""
+    rows = [(0, "30", "hourly rate"), (1, "50000", "salaryish"), (2, "1,000", "month"), (3, "10000", "monster"), (4, "9", "never")]
+    return values(t.spark, rows, ["k", "amount", "interval"]).select(F.col("k").cast("int").alias("k"), labels.loose_annual_salary(F.col("amount"), F.col("interval")).cast("int").alias("yearly"))

@@ -66,10 +66,12 @@ def url_part(url: Column, part: str) -> Column:
 
 
 def public_https(url: Column) -> Column:
-    """An https link to a public name: no address literals, no local names."""
+    """An https link to a public name: no address, in whatever spelling a browser reads as one, and no local name."""
     host = F.lower(url_part(url, "HOST"))
-    local = host.rlike(r"^(localhost|.*\.local|.*\.internal|\d{1,3}(\.\d{1,3}){3}|\[.*\])$")
-    return F.coalesce((url_part(url, "PROTOCOL") == "https") & host.contains(".") & ~local, F.lit(False))
+    named = host.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$")
+    address = host.rlike(r"^(?:(?:0x[0-9a-f]*|\d+)\.){1,3}(?:0x[0-9a-f]*|\d+)$")
+    local = host.rlike(r"(^|\.)(localhost|local|internal|localdomain)$")
+    return F.coalesce((F.lower(url_part(url, "PROTOCOL")) == "https") & named & ~address & ~local, F.lit(False))
 
 
 # Hosts and paths of the boards whose links carry the posting's id: (host, path with board and id).

@@ -55,6 +55,12 @@ def _tuple(t):
     return t.companies.join(again, ["ats", "ats_slug"], "left_semi").select("company_id", "ats", "ats_slug")
 
 
+def twins(feed: DataFrame, native: DataFrame) -> DataFrame:
+    """Rows of a feed with the live row of the board that their link names: key (external_id, board) of feed, both of native."""
+    named = feed.filter(F.col("key").isNotNull()).withColumns({"external_id": F.col("key.external_id"), "board": F.col("key.board")}).drop("key")
+    return named.join(native, ["external_id", "board"])
+
+
 def not_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """Rows whose value is not among the values, as SQL's NOT IN has it: an anti join by hash, since nulls are looked for first."""
     found = values.toDF("__v")
@@ -122,6 +128,22 @@ def _twins(t):
     return feed.join(native, ["title_key", "role_category", "ats_slug"]).select("feed_id", "native_id")
 
 
+@query(
+    "feed_twin_links",
+    "J-14 U-2",
+    "SELECT f.o_orderkey AS feed_id, n.o_orderkey AS native_id FROM orders f JOIN orders n ON n.o_orderkey = f.o_orderkey + 1 AND n.o_custkey % 400 = f.o_custkey % 400 WHERE f.o_orderkey % 2 = 1 AND n.o_orderstatus <> 'F'",
+)
+def _twin_links(t):
+    """A feed's rows name a posting by its link; the twin has that id, and its board is the link's."""
+    from ..functions.text import posting_key
+
+    k = F.col("o_orderkey")
+    board = F.concat(F.lit("board"), (F.col("o_custkey") % 400).cast("string"))
+    feed = t.orders.filter(k % 2 == 1).select(k.alias("feed_id"), F.concat(F.lit("https://boards.greenhouse.io/"), F.initcap(board), F.lit("/jobs/"), (k + 1).cast("string"), F.lit("?gh_src=x")).alias("url"))
+    native = t.orders.filter((k % 2 == 0) & (F.col("o_orderstatus") != "F")).select(k.alias("native_id"), F.concat(F.lit("greenhouse_"), k.cast("string")).alias("external_id"), board.alias("board"))
+    return twins(feed.withColumn("key", posting_key(F.lit("greenhouse"), F.col("url"))), native).select("feed_id", "native_id")
+
+
 @query("name_key_join", "J-15", "SELECT concat(lower(trim(c_name)), '|', lower(trim(c_mktsegment))) AS k, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def _name_key(t):
     counts = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
@@ -181,6 +203,25 @@ def _claim(t):
     return board.union(feed).groupBy("id").agg(F.min_by("claim", "priority").alias("claim"))
 
 
+def first_site(parts: list[DataFrame], key: str) -> DataFrame:
+    """Whole rows of several sites, by key: of rows with one key that of the first site stays."""
+    from functools import reduce
+
+    every = reduce(DataFrame.unionByName, (p.withColumn("__turn", F.lit(k)) for k, p in enumerate(parts)))
+    rest = [c for c in every.columns if c not in (key, "__turn")]
+    return every.groupBy(key).agg(F.min_by(F.struct(*rest), "__turn").alias("r")).select(key, *(F.col(f"r.{c}").alias(c) for c in rest))
+
+
+@query(
+    "first_site_rows",
+    "O-5",
+    "SELECT external_id, site, title FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY turn) AS k FROM (SELECT external_id, 'one' AS site, role_category AS title, 0 AS turn FROM {postings} WHERE id % 2 = 0 UNION ALL SELECT external_id, 'two', experience_level, 1 FROM {postings} WHERE id % 3 = 0 UNION ALL SELECT external_id, 'three', 'x', 2 FROM {postings})) WHERE k = 1",
+)
+def _first_site(t):
+    sites = [(t.postings.filter("id % 2 = 0"), "one", F.col("role_category")), (t.postings.filter("id % 3 = 0"), "two", F.col("experience_level")), (t.postings, "three", F.lit("x"))]
+    return first_site([df.select("external_id", F.lit(name).alias("site"), title.alias("title")) for df, name, title in sites], "external_id")
+
+
 @query("intersection", "O-6", "SELECT company_id FROM {postings} WHERE is_remote INTERSECT SELECT company_id FROM {postings} WHERE visa_sponsorship = 'yes'")
 def _intersect(t):
     return t.postings.filter("is_remote").select("company_id").intersect(t.postings.filter("visa_sponsorship = 'yes'").select("company_id"))

@@ -121,12 +121,7 @@ def _claim(t):
     return t.companies.filter("company_status = 'active'").orderBy(F.col("last_synced_at").asc_nulls_first(), "company_id").select("company_id").limit(100)
 
 
-@query("range_shards", "S-17 S-18", "SELECT CAST(floor(o_totalprice / 50000) AS BIGINT) AS shard, count(*) AS n FROM orders GROUP BY 1")
+@query("range_shards", "S-18", "SELECT CAST(floor(o_totalprice / 50000) AS BIGINT) AS shard, count(*) AS n FROM orders GROUP BY 1")
 def _shards(t):
     """Half-open ranges of a key that is not unique: ties stay in one shard."""
     return t.orders.groupBy(F.floor(F.col("o_totalprice") / 50000).alias("shard")).agg(F.count("*").alias("n"))
-
-
-@query("contiguous_groups", "S-21 A-15", "SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS last_line FROM lineitem GROUP BY 1")
-def _contiguous(t):
-    return t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("last_line"))

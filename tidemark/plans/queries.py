@@ -267,6 +267,21 @@ DOCUMENTS = """SELECT id, external_id, title, ats AS department, CASE id % 4 WHE
 FROM (SELECT *, role_category AS title FROM {postings}) LEFT JOIN {companies} USING (company_id) WHERE removed_at IS NULL"""
 
 
+LISTED = "id external_id company_id ats title department location workplace_type employment_type salary_min salary_max salary_currency salary_interval salary_min_annual salary_max_annual url posted_at first_seen_at is_remote remote_worldwide visa_sponsorship experience_level domain ats_slug company_name logo_url".split()
+
+
+@query(
+    "listed_rows",
+    "P-1",
+    """SELECT id, external_id, company_id, lower(ats) AS ats, role_category AS title, ats AS department, CASE id % 4 WHEN 0 THEN 'Austin, TX' WHEN 1 THEN 'Remote, DACH' WHEN 2 THEN 'Lyon, France' END AS location, workplace_type, employment_type,
+CAST(salary_min_annual AS VARCHAR) AS salary_min, 'n/a' AS salary_max, salary_currency, 'yearly' AS salary_interval, salary_min_annual, CAST(NULL AS BIGINT) AS salary_max_annual, 'https://x.org/' || external_id AS url, posted_at, first_seen_at, is_remote, remote_worldwide, visa_sponsorship, experience_level,
+'' AS domain, ats_slug, company_name, CAST(NULL AS VARCHAR) AS logo_url FROM {postings} JOIN {companies} USING (company_id) WHERE removed_at IS NULL AND experience_level = 'senior'""",
+)
+def _listed(t):
+    """The 26 columns of a result row; the description is left out unless it is asked for."""
+    return search.where(stored_rows(t), SearchRequest(experience_level="senior"), as_of()).select(*LISTED)
+
+
 @query("search_documents", "P-4 J-3 O-1 D-4", DOCUMENTS)
 def _documents(t):
     docs = documents.to_documents(stored_rows(t).filter(F.col("removed_at").isNull()))

@@ -46,13 +46,6 @@ def _sites(t):
     return t.lineitem.groupBy("l_partkey").agg(F.min("l_suppkey").alias("site"))
 
 
-@query("federated_search", "S-20 S-19 S-16", "SELECT source, key FROM (SELECT 'part' AS source, p_name AS key FROM part WHERE p_name LIKE '%ring%' UNION SELECT 'customer', c_name FROM customer WHERE c_name LIKE '%77%')")
-def _federated(t):
-    a = t.part.filter("p_name LIKE '%ring%'").select(F.lit("part").alias("source"), F.col("p_name").alias("key"))
-    b = t.customer.filter("c_name LIKE '%77%'").select(F.lit("customer").alias("source"), F.col("c_name").alias("key"))
-    return a.unionByName(b).distinct()
-
-
 @query("parse_positions", "adapters:personio", "SELECT concat('personio_', CAST(p_partkey AS VARCHAR)) AS external_id, p_name AS title, 'Remote' AS location FROM part")
 def _positions(t):
     xml = F.concat(F.lit("<workzag-jobs><position><id>"), F.col("p_partkey").cast("string"), F.lit("</id><name>"), "p_name", F.lit("</name></position></workzag-jobs>"))
