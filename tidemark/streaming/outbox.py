@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,15 +39,29 @@ def demand_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").agg(F.count("*").alias("n"), F.max("at").alias("last"), F.min("found").alias("least"))
 
 
+#: Stands for a sync without number: older than all others, as a descending ORDER BY has it.
+UNNUMBERED = -(2**63)
+
+
 def count_absences(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """For applyInPandasWithState over (key, seen, complete, sync): absences in a row, per key."""
-    n = state.get[0] if state.exists else 0
+    """For applyInPandasWithState over (key, seen, complete, sync): complete syncs after the last that saw the key.
+
+    The state holds that sync and the later ones themselves: a key's rows come in pieces, and files in batches, in any order.
+    """
+    last, later = state.get if state.exists else (None, [])
+    later = np.array(later, dtype="int64")
     for rows in batches:
-        for r in rows.sort_values("sync").itertuples():
-            n = 0 if r.seen else n + 1 if r.complete else n
-    state.update((n,))
-    yield pd.DataFrame({"key": [key[0]], "absent_syncs": [n]})
+        sync, seen = rows["sync"].to_numpy("int64"), rows["seen"].to_numpy(bool)
+        later = np.concatenate([later, sync[rows["complete"].to_numpy(bool) & ~seen]])
+        if seen.any():
+            last = int(sync[seen].max()) if last is None else max(last, int(sync[seen].max()))
+        if last is not None:
+            later = later[later > last]
+    state.update((last, later.tolist()))
+    yield pd.DataFrame({"key": [key[0]], "absent_syncs": [len(later)]})
 
 
 def absences(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("key").applyInPandasWithState(count_absences, "key long, absent_syncs int", "n int", "update", "NoTimeout")
+    no, first = F.lit(False), F.lit(UNNUMBERED)
+    rows = stream.select("key", F.coalesce("seen", no).alias("seen"), F.coalesce("complete", no).alias("complete"), F.coalesce("sync", first).alias("sync"))
+    return rows.groupBy("key").applyInPandasWithState(count_absences, "key long, absent_syncs int", "last long, later array<long>", "update", "NoTimeout")

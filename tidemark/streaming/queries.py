@@ -21,9 +21,12 @@ def scratch(spark) -> str:
 
 
 def streamed(t, name: str, most_files: int = 1):
-    """The table as a stream: its own files, so many a batch, which holds the source back where the sink is slower."""
+    """The table as a stream: its own files, so many a batch, which holds the source back where the sink is slower.
+
+    A table is a file or a folder of files. Only a path with a pattern may name either, hence the class of one letter.
+    """
     table = getattr(t, name)
-    return t.spark.readStream.schema(table.schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", most_files).parquet(t.dir)
+    return t.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", most_files).parquet(f"{t.dir}/{name}.parque[t]")
 
 
 @query("outbox_drain", "K-15 W-7", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS title, CASE WHEN o_orderstatus <> 'F' THEN c_name END AS company_name, o_orderstatus = 'F' AS deleted FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
