@@ -406,12 +406,15 @@ def _workplace_text(t):
   doc_id % 6 IN (0, 5) AS is_remote, CASE doc_id % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS visa FROM documents WHERE text IS NOT NULL""",
 )
 def _classified_documents(t):
-    """The invented words of every whole document between phrases that decide; the words themselves decide nothing."""
+    """The invented words of every whole document between phrases that decide; the words themselves decide nothing.
+
+    A full stop ends the document: readers pass over line ends, and a last word like 'without' would turn what follows it.
+    """
     from . import classify as C
 
     mode = F.element_at(F.array(*(F.lit(x) for x in ("This is a remote position.", "Work Model: Hybrid.", "You work on-site.", "This role is hybrid.", "Experience with hybrid cloud.", "You work from home."))), (F.col("doc_id") % 6 + 1).cast("int"))
     visa = F.element_at(F.array(*(F.lit(x) for x in ("Visa sponsorship is available.", "We do not sponsor visas.", "Bring your papers.", "Be kind."))), (F.col("doc_id") % 4 + 1).cast("int"))
-    body = F.concat_ws(" \n", mode, F.col("text"), visa)
+    body = F.concat_ws(" \n", mode, F.concat("text", F.lit(" .")), visa)
     none = F.lit(None).cast("string")
     title = F.lit("Clerk")
     rows = t.documents.filter("text IS NOT NULL")
